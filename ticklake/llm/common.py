@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections import defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: White space and word rule of the near-duplicate, quality and benchmark operators (fixed values).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
-_written: list[str] = []
+_written: dict[str, list[str]] = defaultdict(list)
+_scope = [""]
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -31,22 +34,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/ticklake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _written[_scope[-1]].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables that ``written`` made, but for the last ``keep``. Call it when no
-    DataFrame over them is needed any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while len(_written) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop(0))
-        path.getFileSystem(conf).delete(path, True)
+@contextlib.contextmanager
+def scratch_scope(name: str) -> Iterator[None]:
+    """What is written inside belongs to ``name``."""
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def drop_written(spark: SparkSession, scope: str) -> None:
+    """Delete a scope's tables. Call it when no DataFrame over them is needed any more."""
+    for name in _written.pop(scope, []):
+        drop_path(spark, name)
+
+
+def drop_path(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

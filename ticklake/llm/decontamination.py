@@ -59,7 +59,9 @@ def _need(n: int, threshold: float) -> int:
     return math.ceil(threshold * n - 1e-9)
 
 
-def _search(items: list[tuple[object, str]], threshold: float):
+def _search(items: list[tuple[object, str]], threshold: float, flags: bool = False):
+    """Of (key or row, text): the pairs found, or with ``flags`` each row and whether it has any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact = [exact_shingles(t) for _, t in items]
         sizes: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -89,6 +91,11 @@ def _search(items: list[tuple[object, str]], threshold: float):
                     common = len(exact[i] & own)
                     if common >= _need(len(exact[i]), threshold):
                         out.append((first + r, items[i][0], len(exact[i]), common))
+            if flags:
+                hit = np.zeros(batch.num_rows, bool)
+                hit[[x[0] for x in out]] = True
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hit)], ["row", "contained"])
+                continue
             rows = pa.array([x[0] for x in out], pa.int64())
             cols = [pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *cols], ["key", "item_id", "item_shingles", "common_shingles"])
@@ -96,6 +103,24 @@ def _search(items: list[tuple[object, str]], threshold: float):
     return run
 
 
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    total = items.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    n = max(1, -(-total // block_bytes))
+    for block in range(n):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)
+        yield [(r["item_id"], r["text"] or "") for r in part.select(F.col("item_id").cast("long"), "text").collect()]
+
+
+def without_items(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that contain no item, by the rules of ``contained_items``, where they lie."""
+    out = docs
+    for rows in _blocks(items, block_bytes):
+        packed = out.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"))
+        marked = packed.mapInArrow(_search(rows, threshold, True), f"row {packed.schema['row'].dataType.simpleString()}, contained boolean")
+        out = marked.where("not contained").select("row.*")
+    return out
+
+
 def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document and item it contains: key, ``item_id`` (long), ``item_shingles``,
     ``common_shingles``, ``containment``.
@@ -106,12 +131,8 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8
     which is searched for in all documents; nothing is shuffled.
     """
     kind = dict(docs.dtypes)[key]
-    total = items.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    n_blocks = max(1, -(-total // block_bytes))
     found = None
-    for block in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        rows = [(r["item_id"], r["text"] or "") for r in part.select(F.col("item_id").cast("long"), "text").collect()]
+    for rows in _blocks(items, block_bytes):
         got = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
             _search(rows, threshold), f"key {kind}, item_id long, item_shingles long, common_shingles long"
         )
