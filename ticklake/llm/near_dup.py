@@ -1,19 +1,19 @@
 """Near-duplicate groups by a chosen-path similarity join over 5-word shingles.
 
 Every distinct shingle set (a class of documents) walks down independent trees. At a node it goes to
-the child named by its minwise shingle under that node level's hash function; below the root level
-it goes to two children, by two functions. Nodes of at most ``NODE`` sets are compared exhaustively;
-larger ones branch again, down to ``DEPTH`` levels, where groups of close copies remain. Compared
-first are sketches of 64 minwise values, whose cut lies five standard deviations under the threshold;
-what passes is confirmed on the full sets.
+the child named by its minwise shingle under the hash function of that tree and level. Nodes of at
+most ``NODE`` sets are compared exhaustively; larger ones branch again, down to ``DEPTH`` levels,
+where groups of close copies remain. Compared first are sketches of 64 minwise values, whose cut lies
+five standard deviations under the threshold; what passes is confirmed on the full sets.
 
 Links are confirmed in two rounds, as components are what is asked for: first each set against the
 smallest-numbered set of its node that its sketch resembles, then every resembling pair of a node
 whose members the first round left in different components.
 
-A pair of similarity s (and below) meets in a small node of one tree with probability s, in one of
-``TREES`` trees with 1 - (1 - s)^8: 0.9999997 at 0.85; for pairs in nodes that branch twice the share
-of a tree is s (1 - (1 - s)^2)^2, at 0.85 0.81, and of eight trees 0.999998.
+A pair of similarity s meets in a root's child of one tree with probability s, so in one of ``TREES``
+trees with 1 - (1 - s)^12 (over 0.9999999 at 0.85); where all nodes above are large it must agree at
+every level, with s^4 a tree and 1 - (1 - s^4)^12 in all (0.9998 at 0.85), and groups so large are
+linked over many pairs.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ from .common import table, written
 from .components import components
 from .shingles import shingle_hashes
 
-TREES, DEPTH, NODE, SKETCH = 8, 4, 40, 64
+TREES, DEPTH, NODE, SKETCH = 12, 4, 40, 64
 PERCENT = 85
-_CHOICES = TREES * (1 + 2 * (DEPTH - 1))
+_CHOICES = TREES * DEPTH
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**63, SKETCH + _CHOICES, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**63, SKETCH + _CHOICES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,10 +79,8 @@ def _leaves(sets: DataFrame) -> DataFrame:
         if depth == DEPTH:
             break
         large = sized.where(f"size > {NODE}").select("id", "tree", "node")
-        start = (depth - 1) * 2 * TREES
-        token = F.expr(f"slice(branches, {start} + tree * 2 + 1, 2)")
-        level = large.join(sets.select("id", "branches"), "id").select("id", "tree", "node", F.posexplode(token).alias("way", "token"))
-        level = level.select("id", "tree", F.xxhash64("node", "way", "token").alias("node"))
+        token = F.expr(f"branches[{(depth - 1) * TREES} + tree]")
+        level = large.join(sets.select("id", "branches"), "id").select("id", "tree", F.xxhash64("node", token).alias("node"))
     return out
 
 
