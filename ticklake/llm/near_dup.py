@@ -3,11 +3,11 @@
 Every distinct shingle set (a class of documents) walks down independent trees. At a node it goes to
 the child named by its minwise shingle under the hash function of that tree and level. Nodes of at
 most ``NODE`` sets are compared exhaustively; larger ones branch again, down to ``DEPTH`` levels,
-where groups of close copies remain. Compared first are sketches of 64 minwise values, whose cut lies
+where groups of close copies remain. Compared first are sketches of 128 minwise values, whose cut lies
 five standard deviations under the threshold; what passes is confirmed on the full sets.
 
 Links are confirmed in two rounds, as components are what is asked for: first each set against the
-smallest-numbered set of its node that its sketch resembles, then every resembling pair of a node
+smaller-numbered set of its node that its sketch resembles most, then every resembling pair of a node
 whose members the first round left in different components.
 
 A pair of similarity s meets in a root's child of one tree with probability s, so in one of ``TREES``
@@ -30,7 +30,7 @@ from .common import table, written
 from .components import components
 from .shingles import shingle_hashes
 
-TREES, DEPTH, NODE, SKETCH = 12, 4, 40, 64
+TREES, DEPTH, NODE, BLOCK, SKETCH = 12, 4, 40, 2000, 128
 PERCENT = 85
 _CHOICES = TREES * DEPTH
 _rng = np.random.default_rng(77)
@@ -84,28 +84,27 @@ def _leaves(sets: DataFrame) -> DataFrame:
     return out
 
 
-def _alike(sketches: np.ndarray, sizes: np.ndarray, one: int, least: int, percent: int) -> np.ndarray:
-    """Which sets the sketch of ``one`` resembles; sizes must allow it too."""
+def _resemblance(sketches: np.ndarray, sizes: np.ndarray, one: int, least: int, percent: int) -> np.ndarray:
+    """Values each sketch has in common with that of ``one``; 0 where they or the sizes rule a link out."""
     n = sizes[one]
-    return ((sketches == sketches[one]).sum(axis=1) >= least) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+    same = (sketches == sketches[one]).sum(axis=1)
+    return np.where((same >= least) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)), same, 0)
 
 
 def _first_links(node: dict, least: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Each set with the first of the node it resembles; (a, a) marks one that others resemble."""
-    ids, sketches, sizes = node["id"], node["sketch"], node["n"]
-    free = np.ones(len(ids), bool)
-    named = np.zeros(len(ids), bool)
-    for i in range(len(ids)):
-        if free[i] or len(ids) <= NODE:
-            alike = _alike(sketches, sizes, i, least, percent)
-            alike[: i + 1] = False
-            if alike.any() and not named[i]:
-                named[i] = True
+    """Each set with the one it resembles most, of smaller number, among ``BLOCK`` sets of the node;
+    (a, a) marks one that only larger ones resemble."""
+    for start in range(0, len(node["id"]), BLOCK):
+        ids, sketches, sizes = (node[k][start : start + BLOCK] for k in ("id", "sketch", "n"))
+        named = np.zeros(len(ids), bool)
+        for i in range(len(ids) - 1, -1, -1):
+            same = _resemblance(sketches, sizes, i, least, percent)
+            best = int(np.argmax(same[:i])) if i else 0
+            if i and same[best]:
+                named[[i, best]] = True
+                yield ids[i], ids[best]
+            elif not named[i] and same[i + 1 :].any():
                 yield ids[i], ids[i]
-            for j in np.flatnonzero(alike & free):
-                free[j] = False
-                named[j] = True
-                yield ids[j], ids[i]
 
 
 def _other_links(node: dict, least: int, percent: int) -> Iterator[tuple[int, int]]:
@@ -116,14 +115,14 @@ def _other_links(node: dict, least: int, percent: int) -> Iterator[tuple[int, in
         return
     giant = int(np.argmax(counts))
     for i in np.flatnonzero(member != giant):
-        alike = _alike(sketches, sizes, i, least, percent) & (member != member[i])
+        alike = (_resemblance(sketches, sizes, i, least, percent) > 0) & (member != member[i])
         for j in np.flatnonzero(alike):
             if member[j] == giant or j > i:
                 yield max(ids[i], ids[j]), min(ids[i], ids[j])
 
 
 def _by_node(work, least: int, percent: int):
-    """Rows come sorted by node and id; ``work`` gets a node at a time (96 bytes a set)."""
+    """Rows come sorted by node and id; ``work`` gets a node at a time (280 bytes a set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, held = [], None
@@ -199,22 +198,29 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     sort = lambda df: df.repartition("node").sortWithinPartitions("node", "id")
     first = written(sort(described).mapInArrow(_by_node(_first_links, least, percent), "a long, b long").distinct(), "links")
 
-    wanted = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    full = written(ids.join(wanted, "id", "left_semi").mapInArrow(_full_sets, "id long, set binary").dropDuplicates(["id", "set"]), "full")
+    both_ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        return written(ids.join(wanted, "id", "left_semi").mapInArrow(_full_sets, "id long, set binary").dropDuplicates(["id", "set"]), "full")
+
+    full = full_sets(both_ids(first))
+
+    def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
         """The hot side of a pair, which many have in common, is joined while rows are two numbers."""
         right = pairs.join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         both = right.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y")
         return both.mapInArrow(_confirm(percent), "a long, b long")
 
-    links = written(confirmed(first.where("a <> b")), "confirmed")
+    links = written(confirmed(first.where("a <> b"), full), "confirmed")
     labels = components(links)
     apart = described.join(labels, "id", "left").select("node", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
     mixed = apart.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
     rest = sort(apart.join(mixed, "node", "left_semi")).mapInArrow(_by_node(_other_links, least, percent), "a long, b long").distinct()
     second = written(rest.join(first, ["a", "b"], "left_anti"), "links")
-    more = written(confirmed(second), "confirmed")
+    unread = both_ids(second).join(full.select("id"), "id", "left_anti")
+    if unread.head(1):  # of nodes over BLOCK sets
+        full = full.unionAll(full_sets(unread))
+    more = written(confirmed(second, full), "confirmed")
     if more.head(1):
         labels = components(links.unionAll(more))
 
