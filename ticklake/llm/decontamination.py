@@ -149,9 +149,12 @@ with w as (
   select 'd' as kind, doc_id as id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
   union all
   select 'i', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') from benchmark
+), u as (
+  select kind, id, unnest(range(len(ws))) as i, unnest(ws) as w from w where len(ws) >= 5
 ), s as (
-  select distinct kind, id, unnest(case when len(ws) = 0 then []::varchar[] when len(ws) < 5 then [array_to_string(ws, ' ')]
-    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) end) as sh from w
+  select distinct kind, id, concat_ws(' ', w, lead(w, 1) over t, lead(w, 2) over t, lead(w, 3) over t, lead(w, 4) over t) as sh from u window t as (partition by kind, id order by i) qualify lead(w, 4) over t is not null
+  union
+  select kind, id, array_to_string(ws, ' ') from w where len(ws) between 1 and 4
 ), n as (select id, count(*) as item_shingles from s where kind = 'i' group by id)
 select d.id as doc_id, i.id as item_id, n.item_shingles, count(*) as common_shingles, count(*) / n.item_shingles as containment
 from s d join s i on d.sh = i.sh and d.kind = 'd' and i.kind = 'i' join n on n.id = i.id

@@ -82,8 +82,10 @@ ORACLE = r"""
 with d as (
   select doc_id, coalesce(source, '') as host, coalesce(text, '') as text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents
+), word as (
+  select doc_id, unnest(range(len(ws))) as i, unnest(ws) as w from d where len(ws) >= 5
 ), win as (
-  select doc_id, unnest(range(len(ws) - 4)) as i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))) as w from d where len(ws) >= 5
+  select doc_id, i, concat_ws(' ', w, lead(w, 1) over t, lead(w, 2) over t, lead(w, 3) over t, lead(w, 4) over t) as w from word window t as (partition by doc_id order by i) qualify lead(w, 4) over t is not null
 ), rep as (
   select doc_id, i, count(*) over (partition by doc_id, w) as n from win
 ), cov as (
