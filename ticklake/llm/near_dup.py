@@ -3,16 +3,18 @@
 Every distinct shingle set (a class of documents) walks down independent trees. At a node it goes to
 the child named by its minwise shingle under the hash function of that tree and level. Nodes of at
 most ``NODE`` sets are compared exhaustively; larger ones branch again, down to ``DEPTH`` levels,
-where groups of close copies remain. Compared first are sketches of 128 minwise values, whose cut lies
-five standard deviations under the threshold; what passes is confirmed on the full sets.
+where groups of close copies remain. Compared first are sketches of 384 minwise values, a byte
+each, whose cut lies five standard deviations under the threshold; what passes is confirmed on the
+full sets.
 
 Links are confirmed in two rounds, as components are what is asked for: first each set against the
 smaller-numbered set of its node that its sketch resembles most, then every resembling pair of a node
-whose members the first round left in different components.
+whose members the first round left in different components. A pair that meets in several nodes comes
+from the one of smallest number only.
 
 A pair of similarity s meets in a root's child of one tree with probability s, so in one of ``TREES``
-trees with 1 - (1 - s)^12 (over 0.9999999 at 0.85); where all nodes above are large it must agree at
-every level, with s^4 a tree and 1 - (1 - s^4)^12 in all (0.9998 at 0.85), and groups so large are
+trees with 1 - (1 - s)^16 (over 0.9999999 at 0.85); where all nodes above are large it must agree at
+every level, with s^4 a tree and 1 - (1 - s^4)^16 in all (0.99999 at 0.85), and groups so large are
 linked over many pairs.
 """
 
@@ -30,12 +32,13 @@ from .common import table, written
 from .components import components
 from .shingles import shingle_hashes
 
-TREES, DEPTH, NODE, BLOCK, SKETCH = 12, 4, 40, 2000, 128
+TREES, DEPTH, NODE, BLOCK, SKETCH = 16, 4, 40, 2000, 384
 PERCENT = 85
 _CHOICES = TREES * DEPTH
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**63, SKETCH + _CHOICES, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**63, SKETCH + _CHOICES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LAST = 2**63 - 1
 SIGNATURE = "id long, n long, set_id binary, sketch binary, roots array<long>, branches array<int>"
 
 
@@ -55,7 +58,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             back = np.full(len(counts), -1)
             back[rows] = np.arange(len(rows))
             # the minimum's low bits: its high ones are all near zero
-            sketch = (least[:, :SKETCH] & np.uint64(0xFFFF)).astype("<u2")
+            sketch = (least[:, :SKETCH] & np.uint64(0xFF)).astype(np.uint8)
             roots = least[:, SKETCH : SKETCH + TREES].astype(np.int64)
             more = (least[:, SKETCH + TREES :] & np.uint64(0x7FFFFFFF)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -108,21 +111,26 @@ def _first_links(node: dict, least: int, percent: int) -> Iterator[tuple[int, in
 
 
 def _other_links(node: dict, least: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Every resembling pair in different components, found from the smaller components' side."""
+    """Every resembling pair in different components that meets in no node of smaller number, found
+    from the smaller components' side."""
     ids, sketches, sizes, component = node["id"], node["sketch"], node["n"], node["component"]
+    here = node["node"][0]
     names, member, counts = np.unique(component, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return
     giant = int(np.argmax(counts))
     for i in np.flatnonzero(member != giant):
-        alike = (_resemblance(sketches, sizes, i, least, percent) > 0) & (member != member[i])
-        for j in np.flatnonzero(alike):
-            if member[j] == giant or j > i:
-                yield max(ids[i], ids[j]), min(ids[i], ids[j])
+        alike = (_resemblance(sketches, sizes, i, least, percent) > 0) & (member != member[i]) & ((member == giant) | (np.arange(len(ids)) > i))
+        alike = np.flatnonzero(alike)
+        earlier = node["nodes"][i][node["nodes"][i] < here]
+        if len(alike) and len(earlier):
+            alike = alike[~np.isin(node["nodes"][alike], earlier).any(axis=1)]
+        for j in alike:
+            yield max(ids[i], ids[j]), min(ids[i], ids[j])
 
 
 def _by_node(work, least: int, percent: int):
-    """Rows come sorted by node and id; ``work`` gets a node at a time (280 bytes a set)."""
+    """Rows come sorted by node and id; ``work`` gets a node at a time (520 bytes a set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, held = [], None
@@ -141,8 +149,10 @@ def _by_node(work, least: int, percent: int):
             if not batch.num_rows:
                 continue
             names = batch.schema.names
-            now = {k: np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in names if k != "sketch"}
-            now["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u2").reshape(-1, SKETCH)
+            now = {k: np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in names if k not in ("sketch", "nodes")}
+            now["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            if "nodes" in names:
+                now["nodes"] = np.array([x + [_LAST] * (TREES - len(x)) for x in batch.column("nodes").to_pylist()], np.int64)
             held = {k: np.concatenate([held[k], v]) for k, v in now.items()} if held else now
             last = int(np.searchsorted(held["node"], held["node"][-1]))
             if last:
@@ -213,9 +223,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     links = written(confirmed(first.where("a <> b"), full), "confirmed")
     labels = components(links)
-    apart = described.join(labels, "id", "left").select("node", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
-    mixed = apart.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
-    rest = sort(apart.join(mixed, "node", "left_semi")).mapInArrow(_by_node(_other_links, least, percent), "a long, b long").distinct()
+    own_nodes = leaves.groupBy("id").agg(F.collect_list("node").alias("nodes"))  # at most one a tree
+    named = leaves.join(labels, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
+    mixed = named.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
+    apart = named.join(mixed, "node", "left_semi").join(sets.select("id", "n", "sketch").join(own_nodes, "id"), "id").select("node", "id", "n", "sketch", "component", "nodes")
+    rest = sort(apart).mapInArrow(_by_node(_other_links, least, percent), "a long, b long")
     second = written(rest.join(first, ["a", "b"], "left_anti"), "links")
     unread = both_ids(second).join(full.select("id"), "id", "left_anti")
     if unread.head(1):  # of nodes over BLOCK sets
@@ -224,8 +236,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     if more.head(1):
         labels = components(links.unionAll(more))
 
-    named = classes.join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
-    out = signatures.select("id", "n", "set_id").join(named, "set_id", "left")
+    classes = classes.join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
+    out = signatures.select("id", "n", "set_id").join(classes, "set_id", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
