@@ -32,7 +32,7 @@ SAMPLE = 12_000
 WORDS = 4_000
 LEAST_TEXTS = 3
 THRESHOLD = 0.3
-MEMO = 1_000_000
+MEMO = 300_000
 _SIZE = 28
 
 #: Letters, digits and signs that stand for letters (fixed values).
@@ -124,19 +124,22 @@ class Model:
 
     def top_two(self, texts: list[str | None], memo: dict[str, float]) -> np.ndarray:
         """The two highest word values of each text; -9 where there is no word."""
-        split = [(t or "").lower().split() for t in texts]
-        for start in range(0, len(split), 64):
-            part = split[start : start + 64]
+        out = np.full((len(texts), 2), -9.0)
+        for start in range(0, len(texts), 64):  # words of a few texts at a time, which bounds memory
+            part = [(t or "").lower().split() for t in texts[start : start + 64]]
             missing = list(set().union(*part) - memo.keys())
             if missing:
                 if len(memo) > MEMO:
                     memo.clear()
                     missing = list(set().union(*part))
                 memo.update(zip(missing, word_values(missing, self.weights, self.bias).tolist()))
-            for k, words in enumerate(part):
+            for k, words in enumerate(part, start):
                 values = np.fromiter(map(memo.__getitem__, words), float, len(words))
-                split[start + k] = np.sort(np.partition(values, -2)[-2:])[::-1] if len(values) > 1 else np.concatenate([values, [-9.0] * (2 - len(values))])
-        return np.array(split, float).reshape(-1, 2)
+                if len(values) > 1:
+                    out[k] = np.sort(np.partition(values, -2)[-2:])[::-1]
+                elif len(values):
+                    out[k, 0] = values[0]
+        return out
 
     def scores(self, top: np.ndarray) -> np.ndarray:
         z = np.clip(top, -3, 3) @ self.link[:2] + self.link[2]
