@@ -51,7 +51,7 @@ def _places(digests: bytes, bits: int) -> np.ndarray:
 
 def _note(least: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)  # pages that stay untouched take no memory
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         touched = np.zeros(bits // SEGMENT_BITS, bool)
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -59,13 +59,14 @@ def _note(least: int, bits: int):
                 if not keys:
                     continue
                 at = _places(b"".join(keys), bits)
-                again = at[once[at].all(axis=1)]
-                twice[again] = True
-                once[at] = True
+                byte, bit = (at >> np.uint64(3)).astype(np.int64), np.right_shift(128, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8)
+                again = (once[byte] & bit).all(axis=1)
+                np.bitwise_or.at(twice, byte[again], bit[again])
+                np.bitwise_or.at(once, byte, bit)
                 touched[at // np.uint64(SEGMENT_BITS)] = True
         for s in np.flatnonzero(touched).tolist():
-            part = slice(s * SEGMENT_BITS, (s + 1) * SEGMENT_BITS)
-            pack = [pa.array([zlib.compress(np.packbits(x[part]).tobytes(), 1)], pa.binary()) for x in (once, twice)]
+            part = slice(s * SEGMENT_BITS // 8, (s + 1) * SEGMENT_BITS // 8)
+            pack = [pa.array([zlib.compress(x[part].tobytes(), 1)], pa.binary()) for x in (once, twice)]
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *pack], ["segment", "once", "twice"])
 
     return run
