@@ -20,6 +20,37 @@ def test_main_text():
     assert len(main_text("<div>" * 3000 + "<p>deep, text</p>")) > 0
 
 
+def test_whole_articles():
+    prose = [f"Paragraph {k}, with a comma, and words enough that it would be scored as prose by any rule, number {k}." for k in range(12)]
+    ps = lambda a, b: "".join(f"<p>{x}</p>" for x in prose[a:b])
+    page = lambda body: f"<body><nav><a href=/>Home</a></nav>{body}<div class=ad>Buy, now</div><footer>End</footer></body>"
+    whole = lambda *parts: "\n\n".join(parts)
+    # sections, in an article and in plain containers
+    for tag in ("article", "div"):
+        for cuts in ((0, 3, 6), (0, 3, 6, 9, 12), (0, 7, 8)):
+            parts = "".join(f"<section><h2>Part {a}</h2>{ps(a, b)}</section>" for a, b in zip(cuts, cuts[1:]))
+            texts = [x for a, b in zip(cuts, cuts[1:]) for x in (f"Part {a}", *prose[a:b])]
+            assert main_text(page(f"<{tag}><h1>Title</h1>{parts}</{tag}>")) == whole("Title", *texts)
+    nested = "".join(f"<div><div>{ps(a, a + 3)}</div></div>" for a in (0, 3))
+    assert main_text(page(f"<div><h1>Title</h1>{nested}</div>")) == whole("Title", *prose[:6])
+    # short blocks beside the container, links alone beside it
+    links = "<div><a href=a>Elsewhere one</a> <a href=b>Elsewhere two</a></div>"
+    assert main_text(page(f"{links}<h1>Title</h1><p>Short lead.</p><div>{ps(0, 5)}</div><p>Short end.</p>")) == whole("Title", "Short lead.", *prose[:5], "Short end.")
+    assert main_text(page(f"<div>{links}<div>{ps(0, 4)}</div><div>{ps(4, 8)}</div></div>")) == whole(*prose[:8])
+    # lists and tables
+    items = [f"Item {k}" for k in range(30)]
+    for tag in ("article", "div"):
+        body = f"<h1>Title</h1><p>Short lead.</p><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><p>Short end.</p>"
+        assert main_text(page(f"<{tag}>{body}</{tag}>")) == whole("Title", "Short lead.", *items, "Short end.")
+        rows = "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in zip(items[::2], items[1::2]))
+        for part in (rows, f"<tbody>{rows}</tbody>", rows[: rows.index("</tr>", 60) + 5]):
+            got = main_text(page(f"<{tag}><h1>Title</h1><p>Short lead.</p><table>{part}</table><p>Short end.</p></{tag}>"))
+            assert got == whole("Title", "Short lead.", *items[: part.count("<td>")], "Short end.")
+    # captions and formulas
+    figure = "<figure><img src=x><figcaption>Caption.</figcaption></figure><p>So <math><mi>x</mi><annotation>\\x</annotation></math> it is.</p>"
+    assert main_text(page(f"<article>{ps(0, 3)}{figure}{ps(3, 6)}</article>")) == whole(*prose[:3], "Caption.", "So x it is.", *prose[3:6])
+
+
 def test_pages_keep_rows(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = registry.queries()["op3_html_text"](spark, sf_dir)

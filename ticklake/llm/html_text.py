@@ -3,8 +3,9 @@
 A page is read into a tree of block elements, without markup that is never text and without
 containers that name themselves as furniture. Every paragraph passes points (one, one a comma, up to
 three for length) to its parent, and half of them to its grandparent; a container's points are
-discounted by the share of its text that is link text. The container with most points is kept, with
-siblings that score well enough beside it or are plain prose.
+discounted by the share of its text that is link text. The article is the smallest container that
+holds the one with most points and all others whose own paragraphs score well beside it; all its
+blocks are kept, with the headings, paragraphs, lists and tables next to it.
 """
 
 from __future__ import annotations
@@ -25,13 +26,17 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(?:\b(class|id|role|style|aria-hidden)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b)", re.I)
 #: Elements of the HTML standard by their part here (fixed values).
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-DROP = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "noscript", "template", "svg", "canvas", "object", "audio", "video", "menu", "dialog", "fieldset", "label", "figcaption", "math", *RAW}
+DROP = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "noscript", "template", "svg", "canvas", "object", "audio", "video", "menu", "dialog", "fieldset", "label", "annotation", "annotation-xml", *RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "center",
 }
 PROSE = {"p", "pre", "blockquote", "td", "dd", "li"}
+#: Of these a part is never the whole article.
+PARTS = {"ul", "ol", "dir", "dl", "li", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "p", "pre", "blockquote", "figure", "figcaption", "caption"}
+#: Containers of anything: next to the article they need a title, or paragraphs where no element says what the article is.
+GENERIC = {"div", "section", "article", "main", "center", "details", "dialog", "search", "td", "th"}
 #: What furniture calls itself in class, id or role; whole words between separators.
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menu\w*|modal|nav\w*|newsletter|notice|notices|notification|pagination|pager|popup|promo\w*|recommend\w*|related|replies|respond|search|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|tooltip|widgets?|alert|complementary|contentinfo|navigation)(?:$|[\s_-])",
@@ -45,12 +50,18 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 
 
 class _Node:
-    __slots__ = ("name", "up", "dropped", "score", "chars", "linked", "blocks")
+    __slots__ = ("name", "up", "dropped", "score", "own", "chars", "linked", "title", "prose")
 
     def __init__(self, name: str, up: _Node | None, dropped: bool) -> None:
         self.name, self.up, self.dropped = name, up, dropped
-        self.score, self.chars, self.linked = 0.0, 0, 0
-        self.blocks: list[int] = []
+        self.score, self.own, self.chars, self.linked = 0.0, 0.0, 0, 0
+        self.title = self.prose = False  # holds an h1, a paragraph or the like
+
+    def parent(self) -> _Node | None:
+        up = self.up
+        while up is not None and up.name not in BLOCK:
+            up = up.up
+        return up
 
 
 def _furniture(name: str, attributes: str) -> bool:
@@ -171,48 +182,66 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     scored: dict[int, _Node] = {}
-    for k, (node, text, linked) in enumerate(found):
+    for node, text, linked in found:
         up: _Node | None = node
         while up is not None:
             up.chars += len(text)
             up.linked += linked
+            up.title |= node.name == "h1"
+            up.prose |= node.name in PROSE
             up = up.up
         if node.name in PROSE or node.name in ("div", "article", "section", "main", "body", "html"):
             points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
-            near = node.up if node.name in PROSE else node
-            while near is not None and near.name not in BLOCK:
-                near = near.up
+            near = node.parent() if node.name in PROSE else node
+            if near is not None:
+                near.own += points
             for share in (1.0, 0.5):
                 if near is not None:
                     near.score += points * share
                     scored[id(near)] = near
-                    near = near.up
-                    while near is not None and near.name not in BLOCK:
-                        near = near.up
-    worth = lambda n: n.score * (1 - n.linked / max(1, n.chars))
+                    near = near.parent()
+    plain = lambda n: 1 - n.linked / max(1, n.chars)
     if not scored:
         return "\n\n".join(text for _, text, _ in found)
-    best = max(scored.values(), key=worth)
-    cut = max(10.0, 0.2 * worth(best))
-    inside: dict[int, bool] = {}
+    best = max(scored.values(), key=lambda n: n.score * plain(n))
+    cut = 0.2 * best.score * plain(best)
+    good = [n for n in scored.values() if n is best or n.own * plain(n) > max(cut, 0)]
+    holds: dict[int, int] = {}
+    for n in good:
+        up = n
+        while up is not None:
+            holds[id(up)] = holds.get(id(up), 0) + 1
+            up = up.up
+    top = best
+    while holds[id(top)] < len(good) or top.name not in BLOCK:
+        top = top.up
+    while top.name in PARTS and top.parent() is not None and top.parent().name in PARTS:
+        top = top.parent()
+    up = top
+    while up is not None and up.name not in ("article", "main"):
+        up = up.up
+    named = up is not None
+    whole = named or top is best
+    top = up or top
+    around = top.parent()
+    verdict: dict[int, bool] = {id(top): True}
 
-    def kept(node: _Node | None, text: str, linked: int) -> bool:
+    def kept(node: _Node, text: str, linked: int) -> bool:
+        if node is around:  # text of its own, between its containers
+            return linked < 0.25 * len(text)
         path = []
-        while node is not None and id(node) not in inside:
+        while id(node) not in verdict:
             path.append(node)
-            if node is best:
-                break
-            node = node.up
-        good = node is best or node is not None and inside[id(node)]
-        if not good and best.up is not None:
-            for n in path:
-                if n.up is best.up and n is not best:
-                    prose = n.name in PROSE and (len(text) > 80 and linked < 0.25 * len(text))
-                    good = prose or worth(n) >= cut
-                    break
-        for n in path:
-            if n.name not in PROSE or good:
-                inside[id(n)] = good and (n is best or node is best)
+            up = node.parent()
+            if up is top:
+                # beside well-scored containers, one of links alone is navigation
+                verdict[id(node)] = whole or node.name in PROSE or id(node) in holds or plain(node) >= 0.5
+            elif up is around or up is None:
+                verdict[id(node)] = up is not None and plain(node) > 0.75 and (node.name not in GENERIC or node.title or node.prose and not named)
+            else:
+                node = up
+        good = verdict[id(node)]
+        verdict.update((id(n), good) for n in path)
         return good
 
     return "\n\n".join(text for node, text, linked in found if kept(node, text, linked))
