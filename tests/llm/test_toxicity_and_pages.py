@@ -70,6 +70,27 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_insults_that_clean_texts_hold_too(spark):
+    import random
+
+    rnd = random.Random(4)
+    word = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
+    plain = [word("abdeilmnorstu", rnd.randrange(3, 9)) for _ in range(800)]
+    insults = ["zgrwk" + word("aeo", 4) for _ in range(12)]
+    rows, fresh = [], []
+    for k in range(640):
+        toxic = int(k % 8 == 0)
+        own = rnd.sample(insults, 3) if toxic else [insults[k // 8 % 12]] if k % 8 == 1 and k < 200 else []
+        words = rnd.sample(plain, 60) + own
+        rnd.shuffle(words)
+        (fresh if k >= 400 else rows).append((k, " ".join(words), toxic))
+    kinds = "doc_id long, text string, toxic int"
+    held = {w for w in insults for _, t, x in rows if not x and w in t.split()}
+    assert held == set(insults)  # none is in toxic texts only
+    got = score(spark.createDataFrame(fresh, kinds), fit(spark.createDataFrame(rows, kinds))).collect()
+    assert [r.predicted for r in got] == [r.toxic for r in got]
+
+
 def test_awkward_inputs(spark, sf_dir):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "word " * 50_000), (3, "word"), (None, "x")], "doc_id long, text string").withColumn("score", F.lit("s")).withColumn("row", F.lit(1))
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")

@@ -4,11 +4,13 @@ Words of labelled texts carry their text's label. The kernel of two words is the
 subsequences of three letters, each weighted by ``DECAY`` for every letter skipped (up to
 ``MOST_GAP`` - 1 at a time), so that an insult with inserted or dropped letters stays close to the
 plain one. Nyström landmarks give words coordinates in which a linear machine is trained, on words
-that only toxic texts hold against words of clean ones; the clean words that a machine rates highest
+that toxic texts hold many times as often as clean ones (by smoothed log odds) against words of clean
+texts; words between the two teach neither class. The clean words that a machine rates highest
 join the next round. The sum over landmarks is then folded into
 one weight a subsequence, so scoring a word costs its subsequences and no landmark.
 
-A text's score is a logistic of its two highest word values.
+A text's score is a logistic of its two highest word values, of how many of its words are rated as
+insults and of its length.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ COST = 0.3
 SAMPLE = 12_000
 WORDS = 4_000
 LEAST_TEXTS = 3
+#: Log odds over which a word counts as an insult, and under which as clean.
+INSULT, CLEAN = 3.0, 1.5
 THRESHOLD = 0.3
 MEMO = 300_000
 _SIZE = 28
@@ -122,9 +126,10 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float, link: np.ndarray | None = None) -> None:
         self.weights, self.bias, self.link = weights, bias, link
 
-    def top_two(self, texts: list[str | None], memo: dict[str, float]) -> np.ndarray:
-        """The two highest word values of each text; -9 where there is no word."""
-        out = np.full((len(texts), 2), -9.0)
+    def marks(self, texts: list[str | None], memo: dict[str, float]) -> np.ndarray:
+        """Of each text the two highest word values (-9 where there is no word), and the logarithms of
+        one more than its distinct words rated above 0 and than its words."""
+        out = np.tile([-9.0, -9.0, 0.0, 0.0], (len(texts), 1))
         for start in range(0, len(texts), 64):  # words of a few texts at a time, which bounds memory
             part = [(t or "").lower().split() for t in texts[start : start + 64]]
             missing = list(set().union(*part) - memo.keys())
@@ -136,21 +141,26 @@ class Model:
             for k, words in enumerate(part, start):
                 values = np.fromiter(map(memo.__getitem__, words), float, len(words))
                 if len(values) > 1:
-                    out[k] = np.sort(np.partition(values, -2)[-2:])[::-1]
+                    out[k, :2] = np.sort(np.partition(values, -2)[-2:])[::-1]
                 elif len(values):
                     out[k, 0] = values[0]
+                out[k, 2:] = np.log1p([len({words[i] for i in np.flatnonzero(values > 0)}), len(words)])
         return out
 
-    def scores(self, top: np.ndarray) -> np.ndarray:
-        z = np.clip(top, -3, 3) @ self.link[:2] + self.link[2]
+    def scores(self, marks: np.ndarray) -> np.ndarray:
+        z = _clipped(marks) @ self.link[:-1] + self.link[-1]
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _clipped(marks: np.ndarray) -> np.ndarray:
+    return np.hstack([np.clip(marks[:, :2], -3, 3), marks[:, 2:]])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    x = np.hstack([np.clip(x, -3, 3), np.ones((len(x), 1))])
-    w = np.zeros(3)
+    x = np.hstack([_clipped(x), np.ones((len(x), 1))])
+    w = np.zeros(x.shape[1])
     weight = np.ones(len(y))
-    ridge = np.diag([0.02, 0.02, 1e-6]) * len(y) * 0.05
+    ridge = np.diag([0.02] * (len(w) - 1) + [1e-6]) * len(y) * 0.05
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
@@ -179,8 +189,13 @@ def fit(labelled: DataFrame) -> Model | None:
 
     only = words.where("clean = 0 and toxic > 0")
     try:
-        positive = take(only.where(F.col("toxic") >= LEAST_TEXTS), "toxic", F.desc("toxic")) or take(only, "toxic", F.desc("toxic"))
-        clean = words.where("clean > 0")
+        texts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+        if len(texts) < 2:
+            return None
+        odds = F.log((F.col("toxic") + 0.5) / (texts[1] + 1)) - F.log((F.col("clean") + 0.5) / (texts[0] + 1))
+        often = words.where(F.col("toxic") >= LEAST_TEXTS)
+        positive = next(filter(None, (take(df, "toxic", F.desc("toxic")) for df in (often.where(odds > INSULT), often.where("clean = 0"), only))), None)
+        clean = words.where((F.col("clean") > 0) & ((F.col("toxic") == 0) | (odds < CLEAN)))
         negative = take(clean, "clean", F.desc("clean"), most=WORDS // 2) | take(clean, "clean", F.xxhash64("word"))
         if not positive or not negative:
             return None
@@ -199,13 +214,11 @@ def fit(labelled: DataFrame) -> Model | None:
         def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memo: dict[str, float] = {}
             for batch in batches:
-                top = model.top_two(batch.column(0).to_pylist(), memo)
-                yield pa.RecordBatch.from_arrays([pa.array(top[:, 0]), pa.array(top[:, 1]), batch.column(1)], ["x", "y", "toxic"])
+                marks = model.marks(batch.column(0).to_pylist(), memo)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, np.ascontiguousarray(marks.T)), batch.column(1)], ["x", "y", "high", "words", "toxic"])
 
-        got = np.array(rows.mapInArrow(tops, "x double, y double, toxic int").collect(), float)
-        if not 0 < got[:, 2].sum() < len(got):
-            return None
-        model.link = _logistic(got[:, :2], got[:, 2])
+        got = np.array(rows.mapInArrow(tops, "x double, y double, high double, words double, toxic int").collect(), float)
+        model.link = _logistic(got[:, :-1], got[:, -1])
         return model
     finally:
         words.unpersist()
@@ -235,7 +248,7 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", threshold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         for batch in batches:
-            values = model.scores(model.top_two(batch.column(1).to_pylist(), memo)) if batch.num_rows else np.zeros(0)
+            values = model.scores(model.marks(batch.column(1).to_pylist(), memo)) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["row", "score"])
 
     out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
