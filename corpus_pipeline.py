@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component. Rows without an id stay."""
+    """The smallest document of each component of pairs that share 80 % of their shingles. Rows without an id stay."""
     others = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 

@@ -36,3 +36,18 @@ def test_stages(spark, sf_dir, tmp_path):
             assert out.count() == len(before)
         docs, before = out, now
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+
+
+def test_near_dup_stage_links_from_80_percent(spark, sf_dir):
+    import random
+
+    rnd = random.Random(6)
+    texts = []
+    for changed in (0, 2, 4, 5, 6):  # of 204 words, 200 shingles: similarities of about 0.95 to 0.74
+        words = [f"w{rnd.randrange(10**9)}" for _ in range(204)]
+        other = [f"x{k}" if k % 30 == 10 and k // 30 < changed else w for k, w in enumerate(words)]
+        texts += [" ".join(words), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {i for i, *_, k in brute_components(enumerate(texts), 80) if k}
+    assert kept != {i for i, *_, k in brute_components(enumerate(texts), 85) if k} and len(kept) < len(texts)
+    assert rows(dict(corpus_pipeline.STAGES)["near_dup"](spark, docs, sf_dir)).keys() == kept
