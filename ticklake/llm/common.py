@@ -19,10 +19,12 @@ _scope = [""]
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``. Only where it is unset, as in
-    tests on one machine, a temporary folder is made and set."""
+    """The folder every executor shares: ``spark.checkpoint.dir``. Only where it is unset and driver
+    and executors are one process, as in tests, a temporary folder is made and set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ticklake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

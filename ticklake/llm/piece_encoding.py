@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 MARK = "▁"
-MEMO = 1_000_000
+#: Entries that a worker remembers at most: chunks (about 20 MB) and pairs of pieces (about 25 MB).
+MEMO, PAIRS = 100_000, 300_000
 _models: dict[str, PieceModel] = {}
 
 
@@ -76,7 +77,7 @@ class PieceModel:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether two pieces can stand side by side; remembered in ``fits``."""
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
         a, b = self.pieces[left], self.pieces[right]
         known = self.fits[left << 20 | right] = self.merged(a + b) == [a, b]
@@ -156,7 +157,9 @@ def _model(path: str) -> PieceModel:
 def encode_texts(df: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", keep_ids: bool = False, keep_decoded: bool = False) -> DataFrame:
     """Per row of ``df``: its key, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, and on request
     the ids (binary, little-endian unsigned 32-bit) and the decoded text. Null texts encode as empty
-    ones, which have the begin and end ids only. Rows stay where they are: no shuffle.
+    ones, which have the begin and end ids only. Repeated rows and null keys give a row each; other
+    columns don't matter. Rows stay where they are: no shuffle. A worker keeps the model (20 MB) for
+    its next partition, but not the chunks it met.
     """
     schema = f"`{key}` {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids + ", decoded string" * keep_decoded
 
@@ -176,6 +179,7 @@ def encode_texts(df: DataFrame, model: str, *, key: str = "doc_id", text: str =
                     decoded.append(y)
             more = [pa.array(ids, pa.binary())] * keep_ids + [pa.array(decoded, pa.string())] * keep_decoded
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *more], [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids, *["decoded"] * keep_decoded])
+        own.memo.clear()
 
     return df.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 

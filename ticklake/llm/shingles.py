@@ -34,13 +34,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, _PART + 1)
-        for name, base in (("up", _BASE), ("down", _UNBASE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[name] = np.cumprod(p, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+    """Powers of the base and of its inverse; only those of a usual part are remembered."""
+    if "up" in _powers and len(_powers["up"]) >= n:
+        return _powers["up"], _powers["down"]
+    out = []
+    for name, base in (("up", _BASE), ("down", _UNBASE)):
+        p = np.full(max(n, _PART + 1), base, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+        if n <= _PART + 1:
+            _powers[name] = out[-1]
+    return out[0], out[1]
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,12 +82,30 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)), np.searchsorted(s, bounds)
 
 
+def _long_words(data: np.ndarray) -> np.ndarray:
+    """Word hashes of one long text, cut at white space so that little more than its words is held."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + _PART
+        while end < len(data) and not _SPACE[data[end : end + _PART]].any():
+            end += _PART
+        end = min(end, len(data))
+        end += int(_SPACE[data[end : end + _PART]].argmax()) if end < len(data) else 0
+        out.append(_words(data[at:end], np.array([0, end - at]))[0])
+        at = end
+    return np.concatenate(out)
+
+
 def shingle_hashes(column: pa.Array, size: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, shingle hashes of a run of rows in text order, number of shingles of each row)."""
     data, bounds = texts_of(column)
     for a, b in parts_of(bounds):
         own = bounds[a : b + 1] - bounds[a]
-        words, before = _words(data[bounds[a] : bounds[b]], own)
+        if b - a == 1 and own[1] > 2 * _PART:
+            words = _long_words(data[bounds[a] : bounds[b]])
+            before = np.array([0, len(words)])
+        else:
+            words, before = _words(data[bounds[a] : bounds[b]], own)
         n = np.diff(before)
         if len(words) >= size:
             m = len(words) - size + 1

@@ -36,14 +36,15 @@ LEAST_TEXTS = 3
 #: Log odds over which a word counts as an insult, and under which as clean.
 INSULT, CLEAN = 3.0, 1.5
 THRESHOLD = 0.3
-MEMO = 300_000
+#: Words that a task remembers at most, and symbols that it looks at together.
+MEMO, SYMBOLS = 100_000, 1 << 18
 _SIZE = 28
 
 #: Letters, digits and signs that stand for letters (fixed values).
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _FOLD = {c: f for c in range(0x80, 0x250) if (f := unicodedata.normalize("NFKD", chr(c))[0]) != chr(c) and f.isascii()}
 _FOLD |= {ord(a): b for a, b in STAND_INS.items()} | {ord("ß"): "ss", ord("ø"): "o", ord("æ"): "ae", ord("œ"): "oe", ord("ł"): "l"}
-_SYMBOL = np.full(256, 27, np.int64)
+_SYMBOL = np.full(256, 27, np.int32)
 _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[13] = 0  # stands at both ends of a word
 _ENDS = ".,;:!?\"'()[]{}<>«»“”„’‘…-_*"
@@ -54,26 +55,35 @@ def _flat(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data = "\n".join([f"\r{w.strip(_ENDS)}\r" for w in words]).translate(_FOLD).encode("ascii", "replace")
     raw = np.frombuffer(data, np.uint8)
     cut = raw == 10
-    word = np.cumsum(cut)
+    word = np.cumsum(cut, dtype=np.int32)
     return _SYMBOL[raw[~cut]], word[~cut]
 
 
 def _subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(word, subsequence number, weight) of all occurrences, a pair of gaps at a time."""
-    symbol, word = _flat(words)
-    n = len(symbol)
-    for g in range(1, MOST_GAP + 1):
-        for h in range(1, MOST_GAP + 1):
-            m = n - g - h
-            if m > 0:
-                same = np.flatnonzero(word[:m] == word[g + h :])
-                yield word[same], (symbol[same] * _SIZE + symbol[same + g]) * _SIZE + symbol[same + g + h], DECAY ** (g + h - 2)
+    """(word, subsequence number, weight) of all occurrences, a pair of gaps at a time, of
+    ``SYMBOLS`` first letters at a time: a word of any length takes bounded memory."""
+    symbols, owners = _flat(words)
+    for start in range(0, len(symbols), SYMBOLS):
+        symbol, word = (x[start : start + SYMBOLS + 2 * MOST_GAP] for x in (symbols, owners))
+        for g in range(1, MOST_GAP + 1):
+            for h in range(1, MOST_GAP + 1):
+                m = min(SYMBOLS, len(symbol) - g - h)
+                if m > 0:
+                    same = np.flatnonzero(word[:m] == word[g + h : g + h + m])
+                    yield word[same], (symbol[same] * _SIZE + symbol[same + g]) * _SIZE + symbol[same + g + h], DECAY ** (g + h - 2)
+
+
+def _add(total: np.ndarray, word: np.ndarray, values: np.ndarray | None, weight: float) -> None:
+    """Sums by word; the words of one call lie close together."""
+    if len(word):
+        part = np.bincount(word - word[0], values) * weight
+        total[word[0] : word[0] + len(part)] += part
 
 
 def _norms(words: list[str]) -> np.ndarray:
     total = np.full(len(words), 1e-12)
     for word, _, weight in _subsequences(words):
-        total += np.bincount(word, minlength=len(words)) * weight * weight
+        _add(total, word, None, weight * weight)
     return np.sqrt(total)
 
 
@@ -87,7 +97,7 @@ def _features(words: list[str]) -> np.ndarray:
 def word_values(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     total = np.zeros(len(words))
     for word, number, weight in _subsequences(words):
-        total += np.bincount(word, weights[number], minlength=len(words)) * weight
+        _add(total, word, weights[number], weight)
     return total / _norms(words) + bias
 
 
