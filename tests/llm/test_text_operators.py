@@ -212,9 +212,27 @@ def test_lines_of_odd_texts(odd, clashing, empty, oracle, rows_of):
     assert line_dedup.dedup_lines(empty, bits=1 << 20).count() == 0
 
 
-def test_lines_of_a_full_filter(odd, rows_of):
-    roomy, full = (line_dedup.dedup_lines(odd, bits=b) for b in (1 << 24, 1 << 19))
-    assert rows_of(full) == rows_of(roomy)
+def test_lines_of_a_full_filter_and_of_few_told_lines(odd, rows_of):
+    roomy, full, few = (line_dedup.dedup_lines(odd, **x) for x in ({"bits": 1 << 24}, {"bits": 1 << 19}, {"hot": 1}))
+    assert rows_of(full) == rows_of(roomy) == rows_of(few)
+
+
+def test_lines_of_repeated_rows_and_null_keys(spark, sf_dir):
+    real = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    rows = [(i % 150 if i % 11 else None, t) for i, t in enumerate(real)]
+    rows += rows[:60]
+    holders = {}
+    for i, t in rows:
+        for k in {line_dedup.line_key(x) for x in (t or "").split("\n")}:
+            holders.setdefault(k, set()).add((i is None, i or 0))
+    want = Counter()
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if len(k := line_dedup.line_key(x)) < 10 or min(holders[k]) == (i is None, i or 0) or len(holders[k]) == 1]
+        want[i, len(lines), len(lines) - len(stay), t if len(stay) == len(lines) else "\n".join(stay)] += 1
+    for hot in (3, 1 << 17):
+        got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot)
+        assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == want
 
 
 # near duplicates

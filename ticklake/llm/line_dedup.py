@@ -1,33 +1,31 @@
 """Line deduplication with two Bloom filters.
 
 Every task notes the line keys of its documents in a filter of keys seen once and a filter of keys
-seen in a second document, and sends only the filters' touched segments. Merging segments sets in
-the second filter what either has there and what both have in the first. The merged second filter,
-of fixed size, goes to every task; only lines it suspects are shuffled (as 128-bit digests), to
-confirm them exactly and to choose the smallest document. Full filters cost more shuffling, never
-a wrong line.
+seen in a second document; the merged second filter goes to every task. Only the lines that it
+suspects are shuffled, as 128-bit digests, to confirm them exactly and to choose the smallest
+document. Full filters cost more shuffling, never a wrong line.
+
+The confirmed lines that most documents hold, ``HOT`` at most, go to every task with their first
+document. A document that loses other lines too is shuffled to the list of these; no other text moves.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, table, written
-from .shingles import mix
+from .filters import NOTED, bits_for, filter_of, gathered, has, members, noting
 
 SPACES = SPACE_BYTES.decode()
 UPPER = {i: i + 32 for i in range(65, 91)}
 LEAST = 10
-#: Bits of each filter: its bytes bound what the driver gathers and sends out.
-FILTER_BITS = 1 << 27
-SEGMENT_BITS = 1 << 19
+HOT = 1 << 17
 
 
 def line_key(line: str) -> str:
@@ -35,100 +33,49 @@ def line_key(line: str) -> str:
     return line.lower() if line.isascii() else line.translate(UPPER)
 
 
-def _digest(key: str) -> bytes:
-    return hashlib.blake2b(key.encode(), digest_size=16).digest()
-
-
 def _digests(text: str | None, least: int) -> list[bytes | None]:
     """For each line its key's digest, None where the key is short."""
-    return [_digest(k) if len(k := line_key(x)) >= least else None for x in (text or "").split("\n")]
-
-
-def _places(digests: bytes, bits: int) -> np.ndarray:
-    """Two filter positions a key, as rows."""
-    return np.frombuffer(digests, "<u8").reshape(-1, 2) & np.uint64(bits - 1)
+    digest = xxhash.xxh3_128_digest
+    return [digest(k.encode()) if len(k := line_key(x)) >= least else None for x in (text or "").split("\n")]
 
 
-def _note(least: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        touched = np.zeros(bits // SEGMENT_BITS, bool)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                keys = {d for d in _digests(text, least) if d}
-                if not keys:
-                    continue
-                at = _places(b"".join(keys), bits)
-                byte, bit = (at >> np.uint64(3)).astype(np.int64), np.right_shift(128, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8)
-                again = (once[byte] & bit).all(axis=1)
-                np.bitwise_or.at(twice, byte[again], bit[again])
-                np.bitwise_or.at(once, byte, bit)
-                touched[at // np.uint64(SEGMENT_BITS)] = True
-        for s in np.flatnonzero(touched).tolist():
-            part = slice(s * SEGMENT_BITS // 8, (s + 1) * SEGMENT_BITS // 8)
-            pack = [pa.array([zlib.compress(x[part].tobytes(), 1)], pa.binary()) for x in (once, twice)]
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *pack], ["segment", "once", "twice"])
-
-    return run
-
+def _keys(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys of each text as rows of two numbers, and how many each text has."""
+    own = [{d for d in _digests(t, least) if d} for t in texts.to_pylist()]
+    return np.frombuffer(b"".join([b"".join(x) for x in own]), "<u8").reshape(-1, 2), np.array([len(x) for x in own], np.int64)
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments come in order; a segment's rows are merged one by one."""
-    now, once, twice = None, None, None
 
-    def done():
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], ["segment", "twice"])
+def _suspects(packed, least: int):
+    """(r1, r2, key, text) -> a row for each different suspected line."""
 
-    for batch in batches:
-        for s, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-            if s != now:
-                if now is not None:
-                    yield done()
-                now, once, twice = s, a.copy(), b.copy()
-            else:
-                twice |= b | (once & a)
-                once |= a
-    if now is not None:
-        yield done()
-
-
-def repeated_filter(docs: DataFrame, *, text: str, least: int, bits: int) -> np.ndarray:
-    """The second filter, packed, of all lines of ``docs``."""
-    noted = docs.select(F.col(text).cast("string")).mapInArrow(_note(least, bits), "segment int, once binary, twice binary")
-    merged = noted.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment int, twice binary")
-    filled = np.zeros(bits // 8, np.uint8)
-    for row in merged.collect():  # bits / 8 bytes at most
-        filled[row["segment"] * SEGMENT_BITS // 8 :][: SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
-    return filled
-
-
-def _suspects(packed, least: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = packed.value
         for batch in batches:
-            rows, found = [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                keys = [*{d for d in _digests(text, least) if d}]
-                if keys:
-                    at = _places(b"".join(keys), bits)
-                    hit = ((filled[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
-                    own = [keys[k] for k in np.flatnonzero(hit)]
-                    rows += [r] * len(own)
-                    found += own
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.binary())], ["key", "line"])
+            keys, n = _keys(batch.column(3), least)
+            hit = has(packed.value, keys)
+            who = pa.array(np.repeat(np.arange(len(n)), n)[hit])
+            lines = [pa.array(np.ascontiguousarray(keys[hit, k]).view(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(who) for k in range(3)), *lines], ["r1", "r2", "key", "l1", "l2"])
 
     return run
 
 
-def _rewrite(least: int):
+def _rewrite(least: int, hot):
+    """(row, key, text, others): ``hot`` gives the keys of many documents with their first document,
+    others the further lines to drop."""
+    known: dict[bytes, object] = {}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not known:
+            lines, first = hot.value
+            known.update(zip((lines[16 * k : 16 * k + 16] for k in range(len(first))), first))
         for batch in batches:
             n, dropped, kept = [], [], []
-            for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                lines = (text or "").split("\n")
-                gone = set(drop or ())
-                stay = [x for x, d in zip(lines, _digests(text, least)) if d not in gone] if gone else lines
+            for key, text, others in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                lines, digests = (text or "").split("\n"), _digests(text, least)
+                gone = {d for d in digests if d in known and (key is None or known[d] != key)}
+                if others:
+                    gone.update(np.array([(x["l1"], x["l2"]) for x in others], "<i8")[k].tobytes() for k in range(len(others)))
+                stay = [x for x, d in zip(lines, digests) if d not in gone] if gone else lines
                 n.append(len(lines))
                 dropped.append(len(lines) - len(stay))
                 # a text that loses nothing stays as it is (null too); one that loses all lines is empty
@@ -138,30 +85,61 @@ def _rewrite(least: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST, bits: int = FILTER_BITS) -> DataFrame:
+def repeated_filter(docs: DataFrame, *, text: str, least: int, n_bits: int) -> np.ndarray:
+    """The second filter, packed, of all lines of ``docs``."""
+    return gathered(docs.select(F.col(text).cast("string")).mapInArrow(noting(lambda b: _keys(b.column(0), least)[0], n_bits), NOTED), n_bits, "twice")
+
+
+def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST, bits: int | None = None, hot: int = HOT) -> DataFrame:
     """Every row of ``docs`` with its columns and ``n_lines``, ``n_dropped`` and ``kept_text``.
 
     A line's key is the line without ``[\\x20\\x09-\\x0D]`` at its ends and with A-Z lowered. Keys of
     at least ``least`` characters that two documents hold lose all their lines but in the document
     with the smallest key column. Rows with the same key column are one document; a null one counts
     as larger than all others. Null and empty texts have one empty line and stay as they are. Input
-    columns named like the added ones are replaced. bits: a power of two.
+    columns named like the added ones are replaced. bits: of each filter, a power of two; by default
+    it follows from the number of lines. hot: lines that all tasks are told of at most.
     """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
     kind = dict(docs.dtypes)[key]
-    packed = spark.sparkContext.broadcast(repeated_filter(docs, text=text, least=least, bits=bits))
-    lines = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    suspects = written(lines.mapInArrow(_suspects(packed, least, bits), f"key {kind}, line binary"), "lines")
-    suspects = suspects.select("line", F.struct(F.col("key").isNull().alias("last"), "key").alias("doc"))
-    kept = suspects.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("other")).where("first != other").select("line", "first")
-    drops = suspects.join(kept, "line").where("doc != first").groupBy("doc").agg(F.collect_set("line").alias("__drop"))
-    drops = drops.select(F.col("doc.key").alias("__key"), "__drop")
-    joined = docs.select(*own).join(drops, F.col(key).eqNullSafe(F.col("__key")), "left")
-    packed_row = joined.select(F.struct(*own).alias("row"), F.col(text).cast("string").alias("text"), "__drop")
-    row_type = packed_row.schema["row"].dataType.simpleString()
-    out = packed_row.mapInArrow(_rewrite(least), f"row {row_type}, n_lines long, n_dropped long, kept_text string")
-    return out.select("row.*", "n_lines", "n_dropped", "kept_text")
+    plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    if bits is None:
+        breaks = F.octet_length("text").cast("long") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+        bits = bits_for(plain.agg(F.coalesce(F.sum(breaks + 1), F.lit(0)).alias("n")).first()["n"])
+    packed = spark.sparkContext.broadcast(repeated_filter(plain, text="text", least=least, n_bits=bits))
+    r1, r2 = F.xxhash64("key", "text"), F.xxhash64(F.lit(1), "text", "key")
+    suspects = plain.select(r1.alias("r1"), r2.alias("r2"), "key", "text").mapInArrow(_suspects(packed, least), f"r1 long, r2 long, key {kind}, l1 long, l2 long")
+    suspects = written(suspects, "lines")
+    held = suspects.groupBy("l1", "l2").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.max(F.col("key").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n"))
+    kept = written(held.where((F.col("first") != F.col("last")) | (F.col("first").isNotNull() & F.col("nulls"))).select("l1", "l2", "first", "n"), "kept")
+    # lines by how many hold them, in steps of a sixteenth of a power of two
+    step = F.floor(16 * F.log2("n")).cast("int")
+    sizes = sorted(((r["step"], r["lines"]) for r in kept.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("lines")).collect()), reverse=True)
+    least_step, n_told = 1 << 20, 0
+    for k, n in sizes:
+        if n_told + n > hot:
+            break
+        least_step, n_told = k, n_told + n
+    top = kept.where(step >= least_step).select("l1", "l2", "first").toArrow()
+    lines = np.stack([top.column(c).to_numpy() for c in ("l1", "l2")], axis=1).astype("<i8")
+    told = spark.sparkContext.broadcast((lines.tobytes(), top.column("first").to_pylist()))
+
+    row = docs.select(F.struct(*own).alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    row_type = row.schema["row"].dataType.simpleString()
+    schema = f"row {row_type}, n_lines long, n_dropped long, kept_text string"
+    none = F.lit(None).cast("array<struct<l1:bigint,l2:bigint>>").alias("others")
+    columns = ["row.*", "n_lines", "n_dropped", "kept_text"]
+    if n_told == sum(n for _, n in sizes):
+        return row.select("row", "key", "text", none).mapInArrow(_rewrite(least, told), schema).select(*columns)
+    lost = suspects.join(kept.where(step < least_step), ["l1", "l2"]).where(F.col("key").isNull() | (F.col("key") != F.col("first")))
+    others = written(lost.groupBy("r1", "r2").agg(F.collect_set(F.struct("l1", "l2")).alias("others")), "others")
+    hit = filter_of(others, "r1")
+    named = row.select(r1.alias("r1"), r2.alias("r2"), "row", "key", "text")
+    kinds = f"r1 long, r2 long, row {row_type}, key {kind}, text string"
+    joined = named.mapInArrow(members(hit), kinds).join(others, ["r1", "r2"], "left").select("row", "key", "text", "others")
+    rest = named.mapInArrow(members(hit, False), kinds).select("row", "key", "text", none)
+    return joined.mapInArrow(_rewrite(least, told), schema).unionAll(rest.mapInArrow(_rewrite(least, told), schema)).select(*columns)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
