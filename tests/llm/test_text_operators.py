@@ -269,12 +269,21 @@ def test_near_duplicates_of_real_rows(spark, sf_dir):
     assert got == brute_components(rows)
 
 
-def test_large_groups_stay_whole(spark):
+@pytest.mark.parametrize("block", [2000, 25])
+def test_large_groups_stay_whole(spark, monkeypatch, block):
     import random
 
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     rnd = random.Random(9)
     base = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
     rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(300) for k in [rnd.randrange(200)]]
     rows += [(1000 + i, " ".join(f"v{rnd.randrange(10**6)}" for _ in range(60))) for i in range(200)]
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got if r.doc_id < 300} == {0} and sum(r.kept for r in got) == 201
+
+
+def test_near_duplicates_of_repeated_rows_and_null_keys(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, words), (5, words), (None, words), (9, words + " more"), (9, words + " more"), (None, "alone in its set of words"), (None, None), (7, "other text of its own here"), (3, None), (3, None)]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(5, 5, True): 2, (None, 5, False): 1, (9, 5, False): 2, (None, None, True): 2, (7, 7, True): 1, (3, 3, True): 2}

@@ -11,7 +11,8 @@ from .common import written
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every vertex of ``edges`` (a, b: longs) but the smallest of each
     component, which is its name. Each round is a grouping by vertex with a map-side minimum; the
-    rounds grow with the logarithm of the vertices, and each round's edges are written out.
+    rounds grow with the logarithm of the vertices, and each round's edges are written out. So are the
+    minima, so that the joins to them deal both sides anew and Spark can split a hot vertex.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = written(now, "edges")
@@ -22,9 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(least, "u")
         small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         now = written(small, "edges")

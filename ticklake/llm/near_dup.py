@@ -10,7 +10,9 @@ full sets.
 Links are confirmed in two rounds, as components are what is asked for: first each set against the
 smaller-numbered set of its node that its sketch resembles most, then every resembling pair of a node
 whose members the first round left in different components. A pair that meets in several nodes comes
-from the one of smallest number only.
+from the one of smallest number only. No task holds a node: the first round cuts one of more than
+``BLOCK`` sets into blocks, the second compares blocks of the sets outside its largest component with
+blocks of all its sets.
 
 A pair of similarity s meets in a root's child of one tree with probability s, so in one of ``TREES``
 trees with 1 - (1 - s)^16 (over 0.9999999 at 0.8); where all nodes above are large it must agree at
@@ -20,6 +22,7 @@ linked over many pairs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import drop_written, scratch_scope, table, written
 from .components import components
 from .shingles import shingle_hashes
 
@@ -69,15 +72,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leaves(sets: DataFrame) -> DataFrame:
-    """(node, id) for every node with two sets or more that doesn't branch further."""
+    """(node, id, size) for every node with two sets or more that doesn't branch further."""
     level = sets.select("id", F.posexplode("roots").alias("tree", "token"))
     level = level.select("id", "tree", F.xxhash64(F.lit(1), "tree", "token").alias("node"))
     out = None
     for depth in range(1, DEPTH + 1):
         level = written(level, f"level{depth}")
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        sizes = written(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
         sized = level.join(sizes, "node")
-        leaf = sized.where(f"size <= {NODE}" if depth < DEPTH else "true").select("node", "id")
+        leaf = sized.where(f"size <= {NODE}" if depth < DEPTH else "true").select("node", "id", "size")
         out = leaf if out is None else out.unionAll(leaf)
         if depth == DEPTH:
             break
@@ -87,6 +90,15 @@ def _leaves(sets: DataFrame) -> DataFrame:
     return out
 
 
+def _blocks(rows) -> F.Column:
+    return F.ceil(rows / F.lit(BLOCK))
+
+
+def _dealt(blocks) -> F.Column:
+    """The block of a set."""
+    return F.pmod(F.xxhash64(F.lit(5), "id"), blocks)
+
+
 def _resemblance(sketches: np.ndarray, sizes: np.ndarray, one: int, least: int, percent: int) -> np.ndarray:
     """Values each sketch has in common with that of ``one``; 0 where they or the sizes rule a link out."""
     n = sizes[one]
@@ -94,70 +106,67 @@ def _resemblance(sketches: np.ndarray, sizes: np.ndarray, one: int, least: int,
     return np.where((same >= least) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)), same, 0)
 
 
-def _first_links(node: dict, least: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Each set with the one it resembles most, of smaller number, among ``BLOCK`` sets of the node;
-    (a, a) marks one that only larger ones resemble."""
-    for start in range(0, len(node["id"]), BLOCK):
-        ids, sketches, sizes = (node[k][start : start + BLOCK] for k in ("id", "sketch", "n"))
-        named = np.zeros(len(ids), bool)
-        for i in range(len(ids) - 1, -1, -1):
-            same = _resemblance(sketches, sizes, i, least, percent)
-            best = int(np.argmax(same[:i])) if i else 0
-            if i and same[best]:
-                named[[i, best]] = True
-                yield ids[i], ids[best]
-            elif not named[i] and same[i + 1 :].any():
-                yield ids[i], ids[i]
-
-
-def _other_links(node: dict, least: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Every resembling pair in different components that meets in no node of smaller number, found
-    from the smaller components' side."""
-    ids, sketches, sizes, component = node["id"], node["sketch"], node["n"], node["component"]
-    here = node["node"][0]
-    names, member, counts = np.unique(component, return_inverse=True, return_counts=True)
-    if len(names) < 2:
-        return
-    giant = int(np.argmax(counts))
-    for i in np.flatnonzero(member != giant):
-        alike = (_resemblance(sketches, sizes, i, least, percent) > 0) & (member != member[i]) & ((member == giant) | (np.arange(len(ids)) > i))
-        alike = np.flatnonzero(alike)
-        earlier = node["nodes"][i][node["nodes"][i] < here]
+def _first_links(block: dict, least: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Each set with the one of smaller number in the block that it resembles most; (a, a) marks one
+    that only larger ones resemble."""
+    ids, sketches, sizes = block["id"], block["sketch"], block["n"]
+    named = np.zeros(len(ids), bool)
+    for i in range(len(ids) - 1, -1, -1):
+        same = _resemblance(sketches, sizes, i, least, percent)
+        best = int(np.argmax(same[:i])) if i else 0
+        if i and same[best]:
+            named[[i, best]] = True
+            yield ids[i], ids[best]
+        elif not named[i] and same[i + 1 :].any():
+            yield ids[i], ids[i]
+
+
+def _other_links(block: dict, least: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Every resembling pair of an asking set and another in different components that meets in no
+    node of smaller number. Of two asking sets the larger asks."""
+    ids, component, here, asks = block["id"], block["component"], block["node"][0], block["asks"]
+    others = np.flatnonzero(~asks)
+    sketches, sizes, nodes = block["sketch"][others], block["n"][others], block["nodes"][others]
+    rest = component[others] == block["giant"][0]
+    for i in np.flatnonzero(asks):
+        same = (sketches == block["sketch"][i]).sum(axis=1)
+        n = block["n"][i]
+        alike = (same >= least) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+        alike = np.flatnonzero(alike & (component[others] != component[i]) & (rest | (ids[others] < ids[i])))
+        earlier = block["nodes"][i][block["nodes"][i] < here]
         if len(alike) and len(earlier):
-            alike = alike[~np.isin(node["nodes"][alike], earlier).any(axis=1)]
-        for j in alike:
-            yield max(ids[i], ids[j]), min(ids[i], ids[j])
+            alike = alike[~np.isin(nodes[alike], earlier).any(axis=1)]
+        for j in ids[others[alike]].tolist():
+            yield max(ids[i], j), min(ids[i], j)
 
 
-def _by_node(work, least: int, percent: int):
-    """Rows come sorted by node and id; ``work`` gets a node at a time (520 bytes a set)."""
+def _by_block(work, least: int, percent: int):
+    """Rows come sorted by block and id; ``work`` gets a block at a time (520 bytes a set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = [], None
-
-        def out(part: dict) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero(np.diff(part["node"])) + 1
-            pairs = []
-            for a, b in zip([0, *cuts], [*cuts, len(part["node"])]):
-                if b - a > 1:
-                    pairs += work({k: v[a:b] for k, v in part.items()}, least, percent)
-            if pairs:
-                x = np.array(pairs, np.int64)
+        held: list[dict] = []
+
+        def out(part: list[dict]) -> Iterator[pa.RecordBatch]:
+            block = {k: np.concatenate([x[k] for x in part]) for k in part[0]}
+            links = list(work(block, least, percent)) if len(block["id"]) > 1 else []
+            if links:
+                x = np.array(links, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = batch.schema.names
-            now = {k: np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in names if k not in ("sketch", "nodes")}
+            now = {k: np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in batch.schema.names if k not in ("sketch", "nodes")}
             now["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            if "nodes" in names:
+            if "nodes" in batch.schema.names:
                 now["nodes"] = np.array([x + [_LAST] * (TREES - len(x)) for x in batch.column("nodes").to_pylist()], np.int64)
-            held = {k: np.concatenate([held[k], v]) for k, v in now.items()} if held else now
-            last = int(np.searchsorted(held["node"], held["node"][-1]))
-            if last:
-                yield from out({k: v[:last] for k, v in held.items()})
-                held = {k: v[last:] for k, v in held.items()}
+            cuts = np.flatnonzero(np.diff(now["block"])) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                part = {k: v[a:b] for k, v in now.items()}
+                if held and held[0]["block"][0] != part["block"][0]:
+                    yield from out(held)
+                    held = []
+                held.append(part)
         if held:
             yield from out(held)
 
@@ -198,49 +207,67 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     ids = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     signatures = written(ids.mapInArrow(_signatures, SIGNATURE), "signatures")
-    classes = signatures.where("n > 0 and id is not null").groupBy("set_id").agg(F.min("id").alias("id"))
-    sets = signatures.where("n > 0").join(classes.select("set_id", F.col("id").alias("least")), "set_id").where("id = least").drop("least").dropDuplicates(["set_id"])
+    classes = written(signatures.where("n > 0 and id is not null").groupBy("set_id").agg(F.min("id").alias("id")), "classes")
+    scope = f"near_dup-{uuid.uuid4().hex}"
+    with scratch_scope(scope):
+        labels = _labels(ids, signatures, classes, percent)
+    labels = written(labels, "labels")
+    drop_written(docs.sparkSession, scope)
+
+    classes = classes.join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
+    out = signatures.select("id", "n", "set_id").join(classes, "set_id", "left")
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
+    out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def _labels(ids: DataFrame, signatures: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of each class that is linked to a smaller one."""
+    sets = signatures.where("n > 0").join(classes, ["set_id", "id"], "left_semi").dropDuplicates(["set_id"])
     sets = written(sets.select("id", "n", "sketch", "roots", "branches"), "sets")
     leaves = written(_leaves(sets), "leaves")
 
     least = int(SKETCH * percent / 100 - 5 * (SKETCH * percent / 100 * (1 - percent / 100)) ** 0.5)
-    described = leaves.join(sets.select("id", "n", "sketch"), "id").select("node", "id", "n", "sketch")
-    sort = lambda df: df.repartition("node").sortWithinPartitions("node", "id")
-    first = written(sort(described).mapInArrow(_by_node(_first_links, least, percent), "a long, b long").distinct(), "links")
+    block = F.when(F.col("size") <= BLOCK, F.col("node")).otherwise(F.xxhash64("node", _dealt(_blocks(F.col("size")))))
+    described = leaves.select("id", block.alias("block")).join(sets.select("id", "n", "sketch"), "id")
+    sort = lambda df: df.repartition("block").sortWithinPartitions("block", "id")
+    first = written(sort(described).mapInArrow(_by_block(_first_links, least, percent), "a long, b long").distinct(), "links")
 
     both_ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def full_sets(wanted: DataFrame) -> DataFrame:
         return written(ids.join(wanted, "id", "left_semi").mapInArrow(_full_sets, "id long, set binary").dropDuplicates(["id", "set"]), "full")
 
-    full = full_sets(both_ids(first))
+    full = full_sets(written(both_ids(first), "wanted"))
 
     def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
-        """The hot side of a pair, which many have in common, is joined while rows are two numbers."""
-        right = pairs.join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        both = right.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y")
+        """Many pairs can share b, the smaller one, but few share a: a's set is what moves with a pair."""
+        left = pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+        both = left.join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
         return both.mapInArrow(_confirm(percent), "a long, b long")
 
     links = written(confirmed(first.where("a <> b"), full), "confirmed")
     labels = components(links)
+    named = written(leaves.join(labels, "id", "left").select("node", "id", "size", F.coalesce("component", "id").alias("component")), "named")
+    shares = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = shares.groupBy("node").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    mixed = written(mixed.select("node", F.col("most.component").alias("giant"), F.col("most.n").alias("in_giant")), "mixed")
+    apart = named.join(mixed, "node")
+    asking = apart.where("component <> giant")
     own_nodes = leaves.groupBy("id").agg(F.collect_list("node").alias("nodes"))  # at most one a tree
-    named = leaves.join(labels, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
-    apart = named.join(mixed, "node", "left_semi").join(sets.select("id", "n", "sketch").join(own_nodes, "id"), "id").select("node", "id", "n", "sketch", "component", "nodes")
-    rest = sort(apart).mapInArrow(_by_node(_other_links, least, percent), "a long, b long")
-    second = written(rest.join(first, ["a", "b"], "left_anti"), "links")
-    unread = both_ids(second).join(full.select("id"), "id", "left_anti")
+    every, asked = _blocks(F.col("size")), _blocks(F.col("size") - F.col("in_giant"))
+    block = lambda x, y: F.xxhash64("node", x, y).alias("block")
+    columns = ["node", "id", "component", "giant"]
+    answers = apart.select(*columns, F.lit(False).alias("asks"), _dealt(every).alias("x"), F.explode(F.sequence(F.lit(0), asked - 1)).alias("y"))
+    asks = asking.select(*columns, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), every - 1)).alias("x"), _dealt(asked).alias("y"))
+    rows = answers.unionAll(asks).select(*columns, "asks", block("x", "y")).join(sets.select("id", "n", "sketch").join(own_nodes, "id"), "id")
+    rest = sort(rows).mapInArrow(_by_block(_other_links, least, percent), "a long, b long")
+    second = written(rest.distinct().join(first, ["a", "b"], "left_anti"), "links")
+    unread = written(both_ids(second).join(full.select("id"), "id", "left_anti"), "wanted")
     if unread.head(1):  # of nodes over BLOCK sets
         full = full.unionAll(full_sets(unread))
     more = written(confirmed(second, full), "confirmed")
-    if more.head(1):
-        labels = components(links.unionAll(more))
-
-    classes = classes.join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
-    out = signatures.select("id", "n", "set_id").join(classes, "set_id", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    return components(links.unionAll(more)) if more.head(1) else labels
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
