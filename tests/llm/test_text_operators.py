@@ -56,6 +56,19 @@ def test_shards(odd, clashing, empty):
     assert sorted(Counter(r.shard for r in twice).values()) == [len(TEXTS) * 2 // 3] * 3
 
 
+def test_shards_of_copies_and_of_order(spark):
+    copies = spark.range(4000).select(F.lit(1).alias("doc_id"), F.lit("same " * 200).alias("text")).repartition(4)
+    rows = sharding.shuffle_shards(copies, 8, bucket_bytes=100_000)
+    assert rows.count() == 4000 and Counter(r.shard for r in rows.collect()) == Counter({k: 500 for k in range(8)})
+    buckets = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert len(buckets) > 30 and max(r["count"] for r in buckets) < 200
+    # over many seeds a row is in each place about as often
+    few = spark.range(12).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).coalesce(1)
+    places = Counter((r.doc_id, r.slot) for seed in range(60) for r in sharding.shuffle_shards(few, 1, seed=seed, bucket_bytes=60).collect())
+    expected = 60 / 12
+    assert sum((places[i, k] - expected) ** 2 / expected for i in range(12) for k in range(12)) < 121 + 4 * (2 * 121) ** 0.5
+
+
 def test_written_shards_hold_every_row(spark, odd, tmp_path):
     sharding.write_shards(odd, str(tmp_path / "out"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(TEXTS)
@@ -193,8 +206,11 @@ def test_quality_of_odd_texts(odd, clashing, empty, oracle, rows_of):
     got = quality.judge(odd, limit=20).drop("removed")
     assert rows_of(got) == oracle(quality.ORACLE, {"documents": odd})
     assert quality.judge(clashing).count() == len(TEXTS) and quality.judge(empty).count() == 0
-    copies = odd.unionAll(odd)
-    assert quality.judge(copies).count() == 2 * len(TEXTS)
+    copies = odd
+    for _ in range(5):
+        copies = copies.unionAll(copies)
+    once = Counter(tuple(r) for r in got.collect())  # 32 rows of one document aren't 32 documents
+    assert Counter(tuple(r) for r in quality.judge(copies).drop("removed").collect()) == Counter({r: 32 for r in once})
 
 
 def test_frequent_lines_reject(spark):
@@ -202,6 +218,9 @@ def test_frequent_lines_reject(spark):
     rows = [(i, body + f"own words of page number {'x' * i}", "en", "h" if i < 30 else "g", 1) for i in range(40)]
     got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, DOCS), limit=20, most=0.4).collect()}
     assert [k for k, v in got.items() if v and k < 14] == [] and all(got[i] for i in range(30, 40))
+    cut = {r.doc_id: r.text for r in quality.without_frequent_lines(spark.createDataFrame(rows, DOCS).withColumn("gone", F.lit("x")), limit=20, most=0.4).collect()}
+    assert cut.keys() == {i for i, *_ in rows if i >= 30 or len(body) - 1 <= 0.4 * (len(rows[i][1]) - 1)}
+    assert all(t == (rows[i][1][len(body) :] if i < 30 else rows[i][1]) for i, t in cut.items())
 
 
 def test_lines_of_odd_texts(odd, clashing, empty, oracle, rows_of):

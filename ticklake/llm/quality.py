@@ -2,8 +2,8 @@
 cross-document line frequency.
 
 Lines are normalised (trimmed, lowered, digit runs as 0) and hashed; for each host (``source``) the
-documents that hold a line are counted. Lines over the limit are boilerplate of their host and count
-as removed; a document that loses more than its share of characters this way is rejected.
+different documents that hold a line are counted. Lines over the limit are boilerplate of their host
+and are removed; a document that loses more than its share of characters this way is rejected.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, SPACE_CLASS, table
+from .common import SPACE_BYTES, SPACE_CLASS, table, written
 
 LINE_LIMIT, MOST_REMOVED = 20, 0.5
 
@@ -45,31 +45,67 @@ def base_signals(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return df.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
-def removed_share(docs: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
-    """(key, th, host, ``removed``): the share of a text's line characters in lines that more than
-    ``limit`` documents of its host hold; no row for texts without lines. Rows with one key, text
-    and host are one."""
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_BYTES.decode())) != "")
+def _lines(text: Column) -> Column:
+    """(line, h, g, chars) of each line with a word; h and g hash its normal form."""
     norm = lambda x: F.lower(F.regexp_replace(F.btrim(x, F.lit(SPACE_BYTES.decode())), "[0-9]+", "0"))
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(norm(x)).alias("h"), F.hash(norm(x)).alias("g"), F.length(x).alias("chars")))
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), hashed.alias("lines"))
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_BYTES.decode())) != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(norm(x)).alias("h"), F.hash(norm(x)).alias("g"), F.length(x).alias("chars")))
+
+
+def _identity(key: str, text: str, host: str) -> list[Column]:
+    return [F.col(key).alias("__key"), F.xxhash64(text).alias("__th"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("__host")]
+
+
+def frequent_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
+    """(host, h, g): lines by hash that more than ``limit`` different documents (keys) of a host hold."""
+    rows = docs.select(*_identity(key, text, host), _lines(F.col(text)).alias("lines"))
     own = F.array_distinct(F.transform("lines", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"))))
-    held = rows.select("host", F.explode(own).alias("line")).groupBy("host", "line.h", "line.g").agg(F.count(F.lit(1)).alias("docs"))
-    frequent = held.where(F.col("docs") > limit).select("host", "h", "g", F.lit(True).alias("frequent"))
-    every = rows.select("key", "th", "host", F.explode("lines").alias("line")).select("key", "th", "host", "line.*")
-    marked = every.join(frequent, ["host", "h", "g"], "left")
-    sums = marked.groupBy("key", "th", "host").agg(F.sum(F.when(F.col("frequent"), F.col("chars")).otherwise(0)).alias("gone"), F.sum("chars").alias("chars"))
-    return sums.select("key", "th", "host", (F.col("gone") / F.col("chars")).alias("removed"))
+    held = rows.select("__key", F.col("__host").alias("host"), F.explode(own).alias("line")).groupBy("host", "line.h", "line.g")
+    return held.agg(F.count_distinct("__key").alias("docs")).where(F.col("docs") > limit).select("host", "h", "g")
+
+
+def removed_share(docs: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", limit: int = LINE_LIMIT, lines: bool = False) -> DataFrame:
+    """(__key, __th, __host, ``removed``): the share of a text's line characters in lines that more than
+    ``limit`` documents of its host hold, and on request these lines' hashes (``gone``); no row for
+    texts without lines. Rows with one key, text and host are one."""
+    # written, so that both sides of the join are dealt anew and Spark can split a common line
+    frequent = written(frequent_lines(docs, key=key, text=text, host=host, limit=limit), "frequent").withColumn("frequent", F.lit(True))
+    every = docs.select(*_identity(key, text, host), F.explode(_lines(F.col(text))).alias("line")).select("*", "line.*")
+    marked = every.join(frequent, (F.col("__host") == F.col("host")) & (every["h"] == frequent["h"]) & (every["g"] == frequent["g"]), "left")
+    sums = [F.sum(F.when(F.col("frequent"), F.col("chars")).otherwise(0)).alias("lost"), F.sum("chars").alias("all")]
+    gone = [F.collect_set(F.when(F.col("frequent"), F.struct(every["h"], every["g"]))).alias("gone")] * lines
+    out = marked.groupBy("__key", "__th", "__host").agg(*sums, *gone)
+    return out.select("__key", "__th", "__host", (F.col("lost") / F.col("all")).alias("removed"), *["gone"] * lines)
+
+
+def _attached(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    rest = rest.withColumnsRenamed({"__key": "__k", "__th": "__t", "__host": "__h"})
+    same = rows["__key"].eqNullSafe(rest["__k"]) & (rows["__th"] == rest["__t"]) & (rows["__host"] == rest["__h"])
+    return rows.join(rest, same, "left").withColumn("removed", F.coalesce("removed", F.lit(0.0))).drop("__k", "__t", "__h")
+
+
+def without_frequent_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", limit: int = LINE_LIMIT, most: float = MOST_REMOVED) -> DataFrame:
+    """The rows of ``docs`` that lose at most ``most`` of their line characters, without their host's
+    frequent lines; the other lines stay as they are, lines without words too. Texts without lines
+    (null, empty) stay. Hosts and keys can be null; rows equal in key, text and host stay as often
+    as they come."""
+    rest = written(removed_share(docs, key=key, text=text, host=host, limit=limit, lines=True), "removed")
+    rows = _attached(docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).cast("string").alias("__text"), *_identity(key, text, host)), rest)
+    split = F.split("__text", "\n", -1)
+    norm = lambda x: F.lower(F.regexp_replace(F.btrim(x, F.lit(SPACE_BYTES.decode())), "[0-9]+", "0"))
+    stays = F.filter(split, lambda x: (F.btrim(x, F.lit(SPACE_BYTES.decode())) == "") | ~F.array_contains("gone", F.struct(F.xxhash64(norm(x)).alias("h"), F.hash(norm(x)).alias("g"))))
+    cut = F.when(F.size("gone") > 0, F.array_join(stays, "\n")).otherwise(F.col("__text"))
+    return rows.where(F.col("removed") <= most).select("__row", cut.alias("__cut")).select(*[F.col("__cut").alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", limit: int = LINE_LIMIT, most: float = MOST_REMOVED) -> DataFrame:
     """One row for each row of ``docs``: key, the base signals, ``base_failed``, ``removed`` and
     ``kept``: not base_failed, and at most ``most`` of the text's line characters removed. A null host
-    is a host of its own; null keys are allowed."""
-    rest = removed_share(docs, key=key, text=text, host=host, limit=limit)
-    rows = base_signals(docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__th"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("__host"), F.col(text).cast("string").alias("__text")), text="__text").drop("__text")
-    same = rows["__key"].eqNullSafe(rest["key"]) & (rows["__th"] == rest["th"]) & (rows["__host"] == rest["host"])
-    out = rows.join(rest, same, "left").withColumn("removed", F.coalesce("removed", F.lit(0.0)))
+    is a host of its own; null keys are allowed, but count as no document in a line's count. A document
+    in several rows counts once. Other columns, of whatever name, don't matter."""
+    rest = written(removed_share(docs, key=key, text=text, host=host, limit=limit), "removed")
+    rows = base_signals(docs.select(*_identity(key, text, host), F.col(text).cast("string").alias("__text")), text="__text").drop("__text")
+    out = _attached(rows, rest)
     kept = ~F.col("base_failed") & (F.col("removed") <= most)
     return out.select(F.col("__key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "removed")
 
