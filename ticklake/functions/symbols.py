@@ -5,31 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Quote currencies that end a pair, and other names of an asset (fixed values).
-QUOTES = ("USDT", "USDC", "FDUSD", "USD", "EUR", "BTC", "ETH")
-OTHER_NAMES = {"XBT": "BTC", "XDG": "DOGE"}
+#: Quote currencies that end a name, assets of the usual order, and names that tell a market's kind
+#: (fixed values).
+QUOTES = ("USDT", "USDC", "USD", "EUR", "BTC", "ETH", "BNB")
+ASSET_ORDER = ("BTC", "ETH", "SOL", "XRP", "BNB")
+PERPETUAL_VENUES = ("deribit", "binance-usdm", "binance-coinm", "okx-swap", "bybit-linear")
+SPOT_VENUES = ("gemini", "bitstamp", "bitfinex", "coinbase-spot", "kraken-spot", "binance-spot", "bybit-spot", "okx-spot")
 _QUOTE = f"(?:{'|'.join(QUOTES)})"
 
 
 def base_asset(symbol: Column) -> Column:
-    """BTC of BTCUSDT, tBTCUSD, BTC-USD-SWAP, PF_XBTUSD, BTC-PERPETUAL; null where none is found."""
-    s = F.upper(F.regexp_replace(symbol, r"^t(?=[A-Z])", ""))
-    s = F.regexp_replace(s, r"^(?:PF|PI|FI|FF)_", "")
-    s = F.regexp_replace(s, r"[-_/:]?(?:PERPETUAL|PERP|SWAP|[0-9]{6,8}|F0)$", "")
-    first = F.when(s.rlike("[-_/:]"), F.regexp_extract(s, r"^([^-_/:]+)", 1)).otherwise(F.regexp_replace(s, f"^(.+?){_QUOTE}[MF]?$", "$1"))
-    names = F.create_map(*[F.lit(x) for pair in OTHER_NAMES.items() for x in pair])
-    return F.when(first.rlike("^[A-Z0-9]{2,}$"), F.coalesce(names[first], first))
+    """BTC of BTCUSDT, tBTCUSD, BTC-USD-SWAP, XBT/USD: the name before its quote currency, of two to six
+    characters; else what BTC, XBT and ETH names start with; else null."""
+    s = F.regexp_replace(F.upper(F.trim(symbol)), "^T(?=[A-Z])", "")
+    s = F.regexp_replace(F.regexp_replace(s, "[-_/]", ""), "(?:PERPETUAL|PERP|SWAP|SPOT)$", "")
+    base = F.regexp_extract(s, f"^(.+){_QUOTE}$", 1)
+    named = F.when(base == "XBT", "BTC").when(F.length(base).between(2, 6), base)
+    return F.coalesce(named, F.when(s.rlike("^(?:XBT|BTC)"), "BTC").when(s.startswith("ETH"), "ETH"))
 
 
 def market_kind(venue: Column, symbol: Column) -> Column:
-    v, s = F.lower(venue), F.upper(symbol)
-    perpetual = s.rlike(r"PERP|SWAP|^PF_|^PI_|F0") | v.rlike(r"linear|inverse|usdm|coinm|swap|futures|derivatives|deribit|intl")
-    return F.when(perpetual, "perp").when(v.rlike(r"spot|exchange|advanced|gemini|bitstamp"), "spot").otherwise("other")
+    """perp, spot or other: by the symbol first, then by the venue."""
+    v, s = F.lower(F.coalesce(venue, F.lit(""))), F.upper(F.coalesce(symbol, F.lit("")))
+    perpetual = s.rlike("PERPETUAL|PERP|SWAP") | v.isin(*PERPETUAL_VENUES) | v.rlike("usdm|coinm|swap|linear|perp|futures|inverse")
+    return F.when(perpetual, "perp").when(v.isin(*SPOT_VENUES) | v.contains("spot"), "spot").otherwise("other")
 
 
 def display_pair(symbol: Column) -> Column:
-    """BTC/USDT of BTCUSDT; names with a separator stay as they are."""
-    return F.when(symbol.rlike("[-_/:]"), symbol).otherwise(F.regexp_replace(symbol, f"^(.+?)({_QUOTE})$", "$1/$2"))
+    """BTC/USDT of BTCUSDT, btc-usdt and BTC_USDT; other names get their first dash as a slash."""
+    pair = f"(?i)^([A-Z0-9]+)[-_/]?({_QUOTE})$"
+    joined = F.concat_ws("/", F.upper(F.regexp_extract(symbol, pair, 1)), F.upper(F.regexp_extract(symbol, pair, 2)))
+    return F.when(symbol.rlike(pair), joined).otherwise(F.regexp_replace(symbol, "^([^-]*)-", "$1/"))
+
+
+def asset_rank(asset: Column) -> Column:
+    """Place of an asset in lists: the usual ones first, then by name."""
+    at = F.array_position(F.array(*[F.lit(x) for x in ASSET_ORDER]), asset).cast("int")
+    return F.when(at > 0, at - 1).otherwise(50)
 
 
 #: Nanoseconds of candle intervals (fixed values).

@@ -58,14 +58,17 @@ def depth_sample(levels: DataFrame, tick: str, depth: int, *, keys: list[str] =
 
 def price_ladder(levels: DataFrame, tick: str, depth: int, *, keys: list[str] = BOOK, outliers: bool = True) -> DataFrame:
     """One row a price step with both sides side by side and cumulative sums away from the middle.
-    Levels further from it than a quarter percent and 80 ticks are left out."""
-    rows = ranked(levels, depth, keys=keys)
+    Levels further from it (or from the only best price) than a quarter percent and 80 ticks are left
+    out before the best ``depth`` of each side are taken."""
+    rows = levels.where("quantity > 0")
     if outliers:
-        mids = best_prices(levels, keys=keys).select(*keys, "mid")
-        rows = rows.join(mids, keys, "left")
-        far = F.greatest(F.col("mid") * 0.0025, F.lit(float(tick) * 80))
-        rows = rows.where(F.col("mid").isNull() | (F.abs(F.col("price").cast("double") - F.col("mid")) <= far))
-    cells = rows.groupBy(*keys, quantize("price", tick).alias("price_step")).agg(
+        book = Window.partitionBy(*keys)
+        bid, ask = (f(F.when(side(name), F.col("price").cast("double"))).over(book) for name, f in (("bid", F.max), ("ask", F.min)))
+        mid = F.coalesce((bid + ask) / 2, bid, ask)
+        rows = rows.withColumn("__mid", mid)
+        far = F.greatest(F.col("__mid") * 0.0025, F.lit(float(tick) * 80))
+        rows = rows.where(F.abs(F.col("price").cast("double") - F.col("__mid")) <= far).drop("__mid")
+    cells = ranked(rows, depth, keys=keys).groupBy(*keys, quantize("price", tick).alias("price_step")).agg(
         F.coalesce(F.sum(F.when(side("bid"), F.col("quantity"))), F.lit(0)).alias("bid_quantity"), F.coalesce(F.sum(F.when(side("ask"), F.col("quantity"))), F.lit(0)).alias("ask_quantity")
     )
     run = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -69,10 +69,12 @@ def footprint(trades: DataFrame, step: int, tick: str, *, keys: list[str] = KEYS
 
 
 def bubbles(trades: DataFrame, tick: str, *, step_ms: int = 500, keys: list[str] = KEYS, newest: int = 180, least_usd: float = 0) -> DataFrame:
-    """Trades by (time, price step) with total and signed turnover; the newest cells of each key."""
+    """Trades by (time, price step) with total and signed turnover, and turnover bought and sold (unknown
+    trades half each); the newest cells of each key."""
     usd = notional()
+    half = lambda share: F.sum(F.col("price") * (F.col("quantity") * share)).cast("decimal(38,9)")
     at = F.floor(F.col("sec") * 1000 / step_ms).cast("long") * step_ms
-    cells = trades.groupBy(*keys, at.alias("time_ms"), quantize("price", tick).alias("price_step")).agg(F.sum(usd).alias("usd"), F.sum(usd * aggressor_sign()).alias("delta_usd"), F.count(F.lit(1)).alias("trades"))
+    cells = trades.groupBy(*keys, at.alias("time_ms"), quantize("price", tick).alias("price_step")).agg(F.sum(usd).alias("usd"), F.sum(usd * aggressor_sign()).alias("delta_usd"), half(buy_share("half")).alias("buy_usd"), half(sell_share("half")).alias("sell_usd"), F.count(F.lit(1)).alias("trades"))
     return top(cells.where(F.col("usd") >= least_usd), keys, newest, F.desc("time_ms"), F.desc("price_step"))
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import BANDS, HIGH_VOLUME_BANDS, classify_band, percent_change
+from ..functions.scalars import BANDS, HIGH_VOLUME_BANDS, bucket, classify_band, percent_change
+from .bars import high_volume_gate, roll_up
+from .flow import large_orders
 
 DAY, KEYS = 86_400, ["venue", "instrument"]
 #: Change since the day's open and distance from its extreme, in percent (fixed values).
 DAY_MOVE, NEAR_EXTREME = 8, 5
-KINDS = ("new_24h_high", "new_24h_low", "new_7d_high", "new_7d_low", "new_30d_high", "new_30d_low", "rise_5m", "fall_5m", "rise_2h", "fall_2h", "pullback", "rally", "up_high_volume", "down_high_volume")
+KINDS = ("new_24h_high", "new_24h_low", "new_7d_high", "new_7d_low", "new_30d_high", "new_30d_low", "rise_5m", "fall_5m", "rise_2h", "fall_2h", "pullback", "rally", "up_high_volume", "down_high_volume", "large_buy", "large_sell")
 
 
 def measures(bars: DataFrame, *, keys: list[str] = KEYS) -> DataFrame:
@@ -59,3 +61,40 @@ def high_volume_moves(gate: DataFrame, moves: DataFrame, *, keys: list[str] = KE
     rows = gate.where("high_volume").join(moves.select(*keys, "time", change.alias("change")), [*keys, "time"])
     kind = F.when(F.col("change") > 0, "up_high_volume").otherwise("down_high_volume")
     return rows.select(*keys, "time", kind.alias("kind"), classify_band(F.col("change"), HIGH_VOLUME_BANDS).alias("band"), "change", "limited").where("band is not null")
+
+
+def volume_statuses(bars: DataFrame, *, keys: list[str] = KEYS, step: int = 900, times: float = 50.0) -> DataFrame:
+    """(keys, kind, band, change, limited) where the bucket of the newest bar has ``times`` the mean
+    turnover of the 24 before it and the price moved by a band since ``step`` seconds before."""
+    tip = bars.groupBy(*keys).agg(F.max("time").alias("now"))
+    now, t, close = F.col("now"), F.col("time"), F.col("close").cast("double")
+    before = F.max_by(F.when(t <= now - step, close), F.when(t <= now - step, t))
+    moved = bars.join(tip, keys).groupBy(*keys, "now").agg(percent_change(before, F.max_by(close, t)).alias("change"))
+    buckets = roll_up(bars, step, keys=keys).withColumn("notional", F.col("volume"))
+    gate = high_volume_gate(buckets, keys=keys, times=times).where("high_volume")
+    rows = moved.withColumn("time", bucket("now", step)).join(gate, [*keys, "time"])
+    kind = F.when(F.col("change") >= 0, "up_high_volume").otherwise("down_high_volume")
+    return rows.select(*keys, kind.alias("kind"), classify_band(F.col("change"), HIGH_VOLUME_BANDS).alias("band"), "change", "limited").where("band is not null")
+
+
+def order_statuses(trades: DataFrame, *, keys: list[str] = KEYS, times: float = 50.0, lookback: int = 120 * 3600) -> DataFrame:
+    """(keys, kind, band, change, limited): large_buy and large_sell among the newest prints; change is
+    the quantity over the mean of the others. Limited: trades span less than nine tenths of ``lookback``."""
+    span = trades.where("quantity > 0").groupBy(*keys).agg((F.max("sec") - F.min("sec")).alias("__span"))
+    found = large_orders(trades.where("quantity > 0"), keys=keys, times=times).join(span, keys)
+    ratio = F.col("quantity").cast("double") / F.col("mean_of_others")
+    return found.select(*keys, F.concat(F.lit("large_"), F.col("aggressor")).alias("kind"), F.lit(None).cast("string").alias("band"), ratio.alias("change"), (F.col("__span") < 0.9 * lookback).alias("limited"))
+
+
+def coverage_of(bars: DataFrame, *, keys: list[str] = KEYS, step: int = 900) -> DataFrame:
+    """What history the statuses stand on: has_utc_day (the day's first bar within a minute of midnight),
+    has_7d and has_30d (less a minute), prior_buckets (of ``step`` seconds, before the newest bar's)."""
+    tip = bars.groupBy(*keys).agg(F.max("time").alias("now"), F.min("time").alias("oldest"))
+    rows = bars.join(tip, keys)
+    day = F.col("now") - F.pmod("now", F.lit(DAY))
+    at = bucket("time", step)
+    out = rows.groupBy(*keys, "now", "oldest").agg(
+        F.min(F.when(F.col("time") >= day, F.col("time") - day)).alias("__first"), F.count_distinct(F.when(at < bucket("now", step), at)).alias("prior_buckets"),
+    )
+    span = F.col("now") - F.col("oldest")
+    return out.select(*keys, (F.col("__first") <= 60).alias("has_utc_day"), (span >= 7 * DAY - 60).alias("has_7d"), (span >= 30 * DAY - 60).alias("has_30d"), "prior_buckets")

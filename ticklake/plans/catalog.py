@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars, symbols
+from ..functions import scalars
 from ..operators import bars, books, cross_venue, flow, movers, sampling, stream_quality, windows
 from ..sources.tables import SQL, book_levels, instruments, sequence_ids, tape, trades
 from ..streaming.books import book_at
@@ -153,7 +153,8 @@ def footprint(spark, sf_dir):
     return flow.footprint(trades(spark, sf_dir), HOUR, "5")
 
 
-@query("venue instrument time_ms:l price_step:d usd:d delta_usd:d trades:l", sql=f"""c as (select venue, instrument, sec * 1000 // 500 * 500 as time_ms, {STEP}, sum(price * quantity) as usd, {SIGNED}, count(*) as trades from trades group by 1, 2, 3, 4),
+@query("venue instrument time_ms:l price_step:d usd:d delta_usd:d buy_usd:d sell_usd:d trades:l", sql=f"""c as (select venue, instrument, sec * 1000 // 500 * 500 as time_ms, {STEP}, sum(price * quantity) as usd, {SIGNED}, count(*) as trades,
+    sum(price * quantity * case aggressor when 'buy' then 1 when 'sell' then 0 else 0.5 end) as buy_usd, sum(price * quantity * case aggressor when 'buy' then 0 when 'sell' then 1 else 0.5 end) as sell_usd from trades group by 1, 2, 3, 4),
   q as (select * from c qualify row_number() over (partition by venue, instrument order by time_ms desc, price_step desc) <= 180)""")
 def trade_bubbles(spark, sf_dir):
     return flow.bubbles(trades(spark, sf_dir), "5")
@@ -216,9 +217,10 @@ def depth_sample(spark, sf_dir):
     return books.depth_sample(book_levels(spark, sf_dir), "100", 50)
 
 
-@query("book_id:l price_step:d bid_quantity:d ask_quantity:d cum_bid:d cum_ask:d", "book", sql=RANKED + """, m as (select book_id, (max(price) filter (where side = 'bid')::double + min(price) filter (where side = 'ask')) / 2 as mid from book where quantity > 0 group by 1),
+@query("book_id:l price_step:d bid_quantity:d ask_quantity:d cum_bid:d cum_ask:d", "book", sql="""e as (select book_id, max(price) filter (where side = 'bid')::double as b, min(price) filter (where side = 'ask')::double as a from book where quantity > 0 group by 1), m as (select book_id, coalesce((b + a) / 2, b, a) as mid from e),
+  near as (select book.* from book join m using (book_id) where quantity > 0 and abs(price - mid) <= greatest(mid * 0.0025, 800)), ranked as (select *, row_number() over (partition by book_id, side order by case side when 'bid' then -price else price end) as level from near),
   c as (select book_id, floor(price / 10 + 0.5) * 10 as price_step, coalesce(sum(quantity) filter (where side = 'bid'), 0) as bid_quantity, coalesce(sum(quantity) filter (where side = 'ask'), 0) as ask_quantity
-    from ranked join m using (book_id) where level <= 50 and (mid is null or abs(price - mid) <= greatest(mid * 0.0025, 800)) group by 1, 2),
+    from ranked where level <= 50 group by 1, 2),
   q as (select *, sum(bid_quantity) over (partition by book_id order by price_step desc rows unbounded preceding) as cum_bid, sum(ask_quantity) over (partition by book_id order by price_step rows unbounded preceding) as cum_ask from c)""")
 def price_ladder(spark, sf_dir):
     return books.price_ladder(book_levels(spark, sf_dir), "10", 50)
@@ -391,17 +393,12 @@ def books_from_updates(spark, sf_dir):
     return book_at(rows, keys=["book_id"])
 
 
-@query("symbol base kind pair", sql="""s as (select unnest(['BTCUSDT', 'tBTCUSD', 'BTC-USD-SWAP', 'PF_XBTUSD', 'BTC-PERPETUAL', 'ETH/USD', 'SOLUSDC']) as symbol, unnest(['BTC', 'BTC', 'BTC', 'BTC', 'BTC', 'ETH', 'SOL']) as base,
-  unnest(['spot', 'spot', 'perp', 'perp', 'perp', 'spot', 'spot']) as kind, unnest(['BTC/USDT', 'tBTC/USD', 'BTC-USD-SWAP', 'PF_XBTUSD', 'BTC-PERPETUAL', 'ETH/USD', 'SOL/USDC']) as pair), q as (select * from s)""")
-def symbol_names(spark, sf_dir):
-    names = spark.createDataFrame([(x,) for x in ("BTCUSDT", "tBTCUSD", "BTC-USD-SWAP", "PF_XBTUSD", "BTC-PERPETUAL", "ETH/USD", "SOLUSDC")], "symbol string")
-    s = F.col("symbol")
-    return names.select("symbol", symbols.base_asset(s).alias("base"), symbols.market_kind(F.lit("spot"), s).alias("kind"), symbols.display_pair(s).alias("pair"))
-
-
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(_oracle)
+
+
+from . import screens  # noqa: E402, F401  (registers more queries with the decorator above)
