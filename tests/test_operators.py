@@ -135,7 +135,7 @@ def feed(spark):
 
 
 WANT = [
-    ("a", 1, "no snapshot", None, None), ("a", 2, "", 100, 101), ("a", 3, "stale", 100, 101), ("a", 4, "", 99, 101), ("a", 5, "crossed", 99, 101), ("a", 6, "", 99, 102), ("a", 7, "gap", None, None), ("a", 8, "no snapshot", None, None), ("a", 9, "", 50, 60),
+    ("a", 1, "buffered", None, None), ("a", 2, "", 100, 101), ("a", 3, "stale", 100, 101), ("a", 4, "", 99, 101), ("a", 5, "crossed", 99, 101), ("a", 6, "", 99, 102), ("a", 7, "gap", None, None), ("a", 8, "buffered", None, None), ("a", 9, "", 50, 60),
     ("b", 1, "crossed snapshot", None, None), ("b", 2, "", 10, 11),
 ]
 

@@ -17,7 +17,7 @@ from ..functions.decimals import parse_decimal
 FIELDS = {
     "kind": "string", "symbol": "string", "price": "decimal(38,18)", "quantity": "decimal(38,18)", "side": "string", "trade_id": "string", "bid_price": "decimal(38,18)", "bid_quantity": "decimal(38,18)", "ask_price": "decimal(38,18)",
     "ask_quantity": "decimal(38,18)", "open": "decimal(38,18)", "high": "decimal(38,18)", "low": "decimal(38,18)", "close": "decimal(38,18)", "volume": "decimal(38,18)", "interval": "string", "start_ns": "bigint", "rate": "decimal(38,18)",
-    "next_funding_ns": "bigint", "bids": "array<array<string>>", "asks": "array<array<string>>", "first_seq": "bigint", "last_seq": "bigint", "previous_seq": "bigint", "snapshot": "boolean", "checksum": "bigint", "exchange_ts_ns": "bigint",
+    "next_funding_ns": "bigint", "bids": "array<array<string>>", "asks": "array<array<string>>", "first_seq": "bigint", "last_seq": "bigint", "previous_seq": "bigint", "quote_volume": "decimal(38,18)", "snapshot": "boolean", "checksum": "bigint", "exchange_ts_ns": "bigint",
 }
 
 
@@ -30,7 +30,7 @@ def event(kind: str | Column, when: Column, **fields: Column) -> Column:
 
 
 def ms(c: Column) -> Column:
-    return c.cast("long") * 1_000_000
+    return c.try_cast("long") * 1_000_000
 
 
 def taker(maker_is_buyer: Column) -> Column:
@@ -57,14 +57,17 @@ def binance(raw: Column) -> Column:
     candle = dict(open=k["o"], high=k["h"], low=k["l"], close=k["c"], volume=k["v"], interval=k["i"], start_ns=ms(k["t"]))
     return F.array(
         event("trade", e.isin("trade", "aggTrade"), symbol=j["s"], price=j["p"], quantity=j["q"], side=taker(j["m"] == "true"), trade_id=F.coalesce(j["t"], j["a"]), exchange_ts_ns=ms(j["T"])),
-        event("quote", (e.isNull() | (e == "bookTicker")) & j["A"].isNotNull() & j["b"].isNotNull() & j["s"].isNotNull(), symbol=j["s"], bid_price=j["b"], bid_quantity=j["B"], ask_price=j["a"], ask_quantity=j["A"], exchange_ts_ns=ms(j["T"])),
+        event("quote", (e.isNull() | (e == "bookTicker")) & j["lastUpdateId"].isNull() & j["A"].isNotNull() & j["b"].isNotNull() & j["s"].isNotNull(), symbol=j["s"], bid_price=j["b"], bid_quantity=j["B"], ask_price=j["a"], ask_quantity=j["A"], exchange_ts_ns=ms(j["T"])),
         event("candle", e == "kline", symbol=j["s"], exchange_ts_ns=ms(j["E"]), **candle),
         event("book_delta", e == "depthUpdate", symbol=j["s"], bids=bids, asks=asks, first_seq=j["U"], last_seq=j["u"], previous_seq=j["pu"], snapshot=F.lit(False), exchange_ts_ns=ms(j["E"])),
         event("book_snapshot", j["lastUpdateId"].isNotNull(), bids=bids, asks=asks, last_seq=j["lastUpdateId"], snapshot=F.lit(True)),
         event("mark_price", e == "markPriceUpdate", symbol=j["s"], price=j["p"], exchange_ts_ns=ms(j["E"])),
         event("index_price", (e == "markPriceUpdate") & j["i"].isNotNull(), symbol=j["s"], price=j["i"], exchange_ts_ns=ms(j["E"])),
         event("funding", (e == "markPriceUpdate") & (F.coalesce(j["r"], F.lit("")) != ""), symbol=j["s"], rate=j["r"], next_funding_ns=ms(j["T"]), exchange_ts_ns=ms(j["E"])),
-        event("liquidation", e == "forceOrder", symbol=o["s"], price=o["p"], quantity=o["q"], side=F.lower(o["S"]), exchange_ts_ns=ms(o["T"])),
+        event("index_price", e == "indexPriceUpdate", symbol=j["i"], price=j["p"], exchange_ts_ns=ms(j["E"])),
+        event("open_interest", j["openInterest"].isNotNull(), symbol=j["symbol"], quantity=j["openInterest"], exchange_ts_ns=ms(j["time"])),
+        event("statistics_24h", e == "24hrTicker", symbol=j["s"], open=j["o"], high=j["h"], low=j["l"], close=j["c"], volume=j["v"], quote_volume=j["q"], exchange_ts_ns=ms(j["E"])),
+        event("liquidation", e == "forceOrder", symbol=o["s"], price=F.coalesce(o["ap"], o["p"]), quantity=o["q"], side=F.lower(o["S"]), exchange_ts_ns=ms(o["T"])),
     )
 
 
@@ -102,8 +105,15 @@ def bybit(raw: Column) -> Column:
     candles = F.transform(F.from_json(j["data"], BYBIT_CANDLE), lambda c: event("candle", topic.startswith("kline"), symbol=name, open=c["open"], high=c["high"], low=c["low"], close=c["close"], volume=c["volume"], interval=c["interval"], start_ns=ms(c["start"]), exchange_ts_ns=at))
     snapshot = j["type"] == "snapshot"
     level = event(F.when(snapshot, "book_snapshot").otherwise("book_delta"), topic.startswith("orderbook"), symbol=book["s"], bids=book["b"], asks=book["a"], last_seq=book["u"], snapshot=snapshot, exchange_ts_ns=at)
+    t = F.from_json(j["data"], KEYED)
+    tick, now = topic.startswith("tickers"), dict(symbol=t["symbol"], exchange_ts_ns=at)
+    measures = F.array(
+        event("mark_price", tick & t["markPrice"].isNotNull(), price=t["markPrice"], **now), event("index_price", tick & t["indexPrice"].isNotNull(), price=t["indexPrice"], **now),
+        event("funding", tick & (F.coalesce(t["fundingRate"], F.lit("")) != ""), rate=t["fundingRate"], next_funding_ns=ms(t["nextFundingTime"]), **now), event("open_interest", tick & t["openInterest"].isNotNull(), quantity=t["openInterest"], **now),
+        event("statistics_24h", tick & t["lastPrice"].isNotNull(), open=t["prevPrice24h"], high=t["highPrice24h"], low=t["lowPrice24h"], close=t["lastPrice"], volume=t["volume24h"], quote_volume=t["turnover24h"], **now),
+    )
     none = F.array().cast(f"array<struct<{', '.join(f'{n}: {t}' for n, t in FIELDS.items())}>>")
-    return F.concat(F.array(level), *[F.coalesce(F.when(topic.startswith(t), x), none) for t, x in (("publicTrade", trades), ("allLiquidation", forced), ("kline", candles))])
+    return F.concat(F.array(level), measures, *[F.coalesce(F.when(topic.startswith(t), x), none) for t, x in (("publicTrade", trades), ("allLiquidation", forced), ("kline", candles))])
 
 
 def kraken(raw: Column) -> Column:
@@ -137,13 +147,21 @@ def coinbase(raw: Column) -> Column:
     )
 
 
+def coinbase_candles(rows: Column, symbol: Column) -> Column:
+    """The first row of a REST answer: time in seconds, low, high, open, close, volume."""
+    c = F.from_json(rows, "array<array<string>>")[0]
+    return event("candle", c.isNotNull(), symbol=symbol, start_ns=c[0].cast("long") * 1_000_000_000, low=c[1], high=c[2], open=c[3], close=c[4], volume=c[5])
+
+
 VENUES: dict[str, Callable[[Column], Column]] = {"binance": binance, "okx": okx, "bybit": bybit, "kraken": kraken, "coinbase": coinbase}
 
 
-def normalize(raw: DataFrame, venue: str, *, value: str = "value", **options) -> DataFrame:
-    """Events of a venue's frames with the frame's other columns and ``event_index``. A frame that no
-    rule knows gives one row of kind ``unknown_message``."""
-    rest = [c for c in raw.columns if c != value]
-    got = F.array_compact(F.coalesce(VENUES[venue](F.col(value), **options), F.array()))
+def normalize(raw: DataFrame, venue: str, *, value: str = "value", keep: tuple[str, ...] | None = None, **options) -> DataFrame:
+    """Events of a venue's frames with the frame's other columns (or those of ``keep``) and ``event_index``.
+    A frame that no rule knows gives one row of kind ``unknown_message``."""
+    rest = [c for c in raw.columns if c != value] if keep is None else list(keep)
+    from .more_venues import MORE  # they build on the rules here
+
+    got = F.array_compact(F.coalesce((VENUES | MORE)[venue](F.col(value), **options), F.array()))
     rows = raw.select(*rest, F.posexplode_outer(got).alias("event_index", "__e"))
     return rows.select(*rest, F.coalesce("event_index", F.lit(0)).alias("event_index"), F.coalesce("__e.kind", F.lit("unknown_message")).alias("kind"), *[f"__e.{n}" for n in FIELDS if n != "kind"])

@@ -2,15 +2,19 @@
 
 ``book_at`` is the distributed form: the last snapshot of a book and the later change of each level
 are two aggregations, so one busy book is many tasks. ``fold_books`` checks every update in order
-(continuity, crossing), which is sequential by nature: rows of a book come sorted and pass through one
-state of bounded depth; no group is held. ``stream_books`` runs the same fold on a stream.
+(continuity, crossing, scales, checksums), which is sequential by nature: rows of a book come sorted and
+pass through one state of bounded depth; no group is held. Deltas that come before their snapshot wait in a
+bounded buffer. ``stream_books`` runs the same fold on a stream.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +22,9 @@ from pyspark.sql import functions as F
 
 OUT = "book string, ord long, seq long, validity string, reason string, best_bid double, best_ask double, levels int"
 UPDATE = ["book", "ord", "snapshot", "first_seq", "last_seq", "previous_seq", "bids", "asks"]
-RULES = ("spanning", "previous", "plus_one", "at_most_next", "drop_stale", "replace")
+RULES = ("spanning", "previous", "plus_one", "at_most_next", "drop_stale", "replace", "checksum")
+#: Rules under which deltas wait for their snapshot, and how many wait at most (fixed value).
+BUFFERED, MOST_BUFFERED = ("spanning", "previous", "plus_one"), 10_000
 
 
 def book_at(updates: DataFrame, *, keys: list[str] = ["book"]) -> DataFrame:  # noqa: B006
@@ -30,27 +36,82 @@ def book_at(updates: DataFrame, *, keys: list[str] = ["book"]) -> DataFrame:  #
     return last.where("quantity > 0")
 
 
+class Side:
+    """Levels of a side by exact price: quantity and both as written."""
+
+    def __init__(self, best_last: bool) -> None:
+        self.best_last, self.prices, self.levels = best_last, [], {}
+
+    def set(self, price: Decimal, level: tuple[Decimal, str, str] | None) -> None:
+        known = price in self.levels
+        if level is None:
+            if known:
+                del self.levels[price], self.prices[bisect_left(self.prices, price)]
+            return
+        if not known:
+            insort(self.prices, price)
+        self.levels[price] = level
+
+    def best(self) -> Decimal | None:
+        return self.prices[-1 if self.best_last else 0] if self.prices else None
+
+    def trim(self, depth: int) -> None:
+        while len(self.prices) > depth:
+            del self.levels[self.prices.pop(0 if self.best_last else -1)]
+
+    def from_best(self) -> list[Decimal]:
+        return self.prices[::-1] if self.best_last else self.prices
+
+
+def _within(value: Decimal, scale: int | None) -> bool:
+    return scale is None or value.normalize().as_tuple().exponent >= -scale
+
+
 @dataclass
 class Book:
+    """One book. Scales: digits that prices and quantities may have, None for any."""
+
     depth: int = 0
-    bids: dict[float, float] = field(default_factory=dict)
-    asks: dict[float, float] = field(default_factory=dict)
+    price_scale: int | None = None
+    quantity_scale: int | None = None
+    bids: Side = field(default_factory=lambda: Side(True))
+    asks: Side = field(default_factory=lambda: Side(False))
     seq: int | None = None
     bridged: bool = False
     validity: str = "uninitialized"
+    waiting: list[dict] = field(default_factory=list)
 
     def crossed(self) -> bool:
-        return bool(self.bids and self.asks) and max(self.bids) >= min(self.asks)
+        bid, ask = self.bids.best(), self.asks.best()
+        return bid is not None and ask is not None and bid >= ask
 
     def trim(self) -> None:
         if self.depth:
-            for side, best_last in ((self.bids, True), (self.asks, False)):
-                for price in sorted(side, reverse=best_last)[self.depth :]:
-                    del side[price]
+            self.bids.trim(self.depth)
+            self.asks.trim(self.depth)
+
+    def read(self, levels: list) -> list[tuple[Decimal, Decimal, str, str]] | None:
+        """Exact (price, quantity) with their text; None if one has more digits than the scales allow.
+        A delete with too many digits can't hit a level and is left out."""
+        out = []
+        for price, quantity in levels:
+            p, q = Decimal(str(price)), Decimal(str(quantity))
+            if not _within(p, self.price_scale) or not _within(q, self.quantity_scale):
+                if q == 0:
+                    continue
+                return None
+            out.append((p, q, str(price), str(quantity)))
+        return out
 
     def snapshot(self, bids: list, asks: list, seq: int | None) -> str | None:
         """Replace the book; a crossed snapshot is refused and the old book stays."""
-        new = Book(self.depth, {p: q for p, q in bids if q > 0}, {p: q for p, q in asks if q > 0})
+        sides = [self.read(x) for x in (bids, asks)]
+        if None in sides:
+            return "scale mismatch"
+        new = Book(self.depth)
+        for side, levels in zip((new.bids, new.asks), sides):
+            for p, q, *text in levels:
+                side.set(p, (q, *text) if q > 0 else None)
         new.trim()
         if new.crossed():
             return "crossed snapshot"
@@ -59,31 +120,33 @@ class Book:
 
     def change(self, bids: list, asks: list) -> str | None:
         """Apply a message as a whole; one that would cross the book changes nothing."""
+        sides = [self.read(x) for x in (bids, asks)]
+        if None in sides:
+            return "scale mismatch"
         undo = []
-        for side, levels in ((self.bids, bids), (self.asks, asks)):
-            for price, quantity in levels:
-                undo.append((side, price, side.get(price)))
-                if quantity:
-                    side[price] = quantity
-                else:
-                    side.pop(price, None)
+        for side, levels in zip((self.bids, self.asks), sides):
+            for p, q, *text in levels:
+                undo.append((side, p, side.levels.get(p)))
+                side.set(p, (q, *text) if q else None)
         if self.crossed():
-            for side, price, old in reversed(undo):
-                if old is None:
-                    side.pop(price, None)
-                else:
-                    side[price] = old
+            for side, p, old in reversed(undo):
+                side.set(p, old)
             return "crossed"
         self.trim()
         return None
 
+    def checksum(self, depth: int = 10) -> int:
+        """CRC-32 over the best asks and then the best bids, digits as written without leading zeros."""
+        bare = lambda text: text.replace(".", "").lstrip("0") or "0"
+        text = "".join(bare(x) for side in (self.asks, self.bids) for p in side.from_best()[:depth] for x in side.levels[p][1:])
+        return zlib.crc32(text.encode())
+
 
 def continuity(rule: str, book: Book, first: int | None, last: int | None, previous: int | None) -> str:
-    """apply, skip or gap. spanning: the first update must reach over the snapshot's number, later ones
-    start by the next; previous: an update names the one before; plus_one: numbers rise by one;
-    at_most_next: an update starts by the next number; drop_stale: only old ones are dropped; replace:
-    all are taken."""
-    if rule == "replace" or book.seq is None or last is None:
+    """apply, skip or gap. spanning: an update starts by the next number; previous: the first update must
+    span the snapshot's number, later ones name the one before; plus_one: numbers rise by one;
+    at_most_next: as spanning; drop_stale: only old ones are dropped; replace and checksum: all are taken."""
+    if rule in ("replace", "checksum") or book.seq is None or last is None:
         return "apply"
     if last <= book.seq:
         return "skip"
@@ -91,21 +154,58 @@ def continuity(rule: str, book: Book, first: int | None, last: int | None, previ
         return "apply" if last == book.seq + 1 else "gap"
     if rule == "previous":
         if not book.bridged and first is not None:
-            return "apply" if first <= book.seq + 1 else "gap"
+            return "apply" if first <= book.seq else "gap"
         return "apply" if previous == book.seq else "gap"
     if rule in ("spanning", "at_most_next"):
         return "apply" if first is not None and first <= book.seq + 1 else "gap"
     return "apply"
 
 
+def _levels(row: dict) -> list[list]:
+    return [[tuple(x.values() if isinstance(x, dict) else x) for x in (row[s] if row[s] is not None else ())] for s in ("bids", "asks")]
+
+
+def _wait(book: Book, row: dict) -> str:
+    if len(book.waiting) >= MOST_BUFFERED:
+        book.waiting.clear()
+        book.validity = "invalid"
+        return "buffer overflow"
+    book.waiting.append({k: row.get(k) for k in (*UPDATE[3:6], "checksum")} | dict(zip(("bids", "asks"), _levels(row))))
+    return "buffered"
+
+
+def _start(book: Book, row: dict, rule: str, lenient: bool) -> str:
+    """Take a snapshot and the deltas that wait for it. One older than they reach back is refused, as is
+    one that leaves a hole before the first delta over it; that hole makes the book invalid."""
+    last, waiting = row["last_seq"], book.waiting
+    if waiting and last is not None and rule == "spanning":
+        if last < waiting[0]["first_seq"]:
+            return "snapshot too old"
+        waiting = [x for x in waiting if x["last_seq"] > last]
+        if waiting and waiting[0]["first_seq"] > last:
+            book.waiting, book.validity = [], "invalid"
+            return "no bridge"
+    failed = book.snapshot(*_levels(row), last)
+    if failed:
+        return failed
+    book.waiting = []
+    if rule == "checksum" and row.get("checksum") is not None and book.checksum() != row["checksum"]:
+        book.validity = "invalid"
+        return "checksum"
+    for held in waiting:
+        reason = step(book, held | {"snapshot": False}, rule, lenient)
+        if reason not in ("", "stale"):
+            return reason
+    return ""
+
+
 def step(book: Book, row: dict, rule: str, lenient: bool) -> str:
     """Take one update; the reason is empty where it was applied. A gap makes the book invalid until the
     next snapshot; lenient: failed updates are passed over and the book stays."""
-    levels = [[tuple(map(float, x.values() if isinstance(x, dict) else x)) for x in (row[s] if row[s] is not None else ())] for s in ("bids", "asks")]
     if row["snapshot"]:
-        return book.snapshot(*levels, row["last_seq"]) or ""
+        return _start(book, row, rule, lenient)
     if book.validity != "valid":
-        return "no snapshot"
+        return _wait(book, row) if rule in BUFFERED and row["last_seq"] is not None and (row["first_seq"] is not None or rule == "plus_one") else "no snapshot"
     what = continuity(rule, book, row["first_seq"], row["last_seq"], row["previous_seq"])
     if what == "skip":
         return "stale"
@@ -113,58 +213,110 @@ def step(book: Book, row: dict, rule: str, lenient: bool) -> str:
         if not lenient:
             book.validity = "invalid"
         return "gap"
-    failed = book.change(*levels)
-    if not failed:
-        book.seq, book.bridged = row["last_seq"] if row["last_seq"] is not None else book.seq, True
-    return failed or ""
+    failed = book.change(*_levels(row))
+    if failed:
+        return failed
+    book.seq, book.bridged = row["last_seq"] if row["last_seq"] is not None else book.seq, True
+    if rule == "checksum" and row.get("checksum") is not None and book.checksum() != row["checksum"]:
+        if not lenient:
+            book.validity = "invalid"
+        return "checksum"
+    return ""
 
 
 def _report(name: str, row: dict, book: Book, reason: str) -> tuple:
     good = book.validity == "valid"
-    return name, row["ord"], book.seq, book.validity, reason, max(book.bids) if good and book.bids else None, min(book.asks) if good and book.asks else None, len(book.bids) + len(book.asks)
+    bid, ask = (float(x) if good and x is not None else None for x in (book.bids.best(), book.asks.best()))
+    return name, row["ord"], book.seq, book.validity, reason, bid, ask, len(book.bids.prices) + len(book.asks.prices)
 
 
 def _rows(batch: pd.DataFrame) -> Iterator[dict]:
     whole = lambda x: None if pd.isna(x) else int(x)
     for r in batch.to_dict("records"):
-        yield r | {k: whole(r[k]) for k in ("first_seq", "last_seq", "previous_seq")}
+        yield r | {k: whole(r[k]) for k in ("first_seq", "last_seq", "previous_seq", "checksum")}
 
 
-def fold_books(updates: DataFrame, *, rule: str = "spanning", depth: int = 0, lenient: bool = False) -> DataFrame:
-    """One row an update: the book's state after it. Updates (UPDATE columns; bids and asks are arrays of
-    (price, quantity) doubles) are taken in the order of ``ord``; rows without a book are left out."""
+def _checked(updates: DataFrame, rule: str, *more: str) -> DataFrame:
     if rule not in RULES:
         raise ValueError(rule)
-    names = [x.split()[0] for x in OUT.split(", ")]
+    checksum = F.col("checksum").cast("long") if "checksum" in updates.columns else F.lit(None).cast("long")
+    return updates.select(*more, *UPDATE, checksum.alias("checksum")).where("book is not null")
+
+
+NAMES = [x.split()[0] for x in OUT.split(", ")]
+KINDS = {"seq": "Int64", "best_bid": float, "best_ask": float}
+
+
+def fold_books(updates: DataFrame, *, rule: str = "spanning", depth: int = 0, lenient: bool = False, price_scale: int | None = None, quantity_scale: int | None = None) -> DataFrame:
+    """One row an update: the book's state after it. Updates (UPDATE columns, ``checksum`` if there is
+    one; bids and asks are arrays of (price, quantity), as text or numbers) are taken in the order of
+    ``ord``; rows without a book are left out. Under ``spanning``, ``previous`` and ``plus_one`` deltas
+    without a valid book wait for its next snapshot. Scales: digits that a level may have."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, book = None, Book(depth)
+        name, book = None, None
         for batch in batches:
             out = []
             for row in _rows(batch):
-                if row["book"] != name:
-                    name, book = row["book"], Book(depth)
+                if book is None or row["book"] != name:
+                    name, book = row["book"], Book(depth, price_scale, quantity_scale)
                 out.append(_report(name, row, book, step(book, row, rule, lenient)))
-            yield pd.DataFrame(out, columns=names).astype({"seq": "Int64", "best_bid": float, "best_ask": float})
+            yield pd.DataFrame(out, columns=NAMES).astype(KINDS)
+
+    return _checked(updates, rule).repartition("book").sortWithinPartitions("book", "ord").mapInPandas(run, OUT)
+
+
+def fold_sessions(updates: DataFrame, *, depth: int = 0) -> DataFrame:
+    """As ``fold_books`` where one sequence (``last_seq``) runs through all books of a ``session``: a
+    break makes all of them invalid. A session's books are held together, its rows aren't."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, last, books = None, None, {}
+        for batch in batches:
+            out = []
+            for row in _rows(batch):
+                if row["session"] != session:
+                    session, last, books = row["session"], None, {}
+                book = books.setdefault(row["book"], Book(depth))
+                broken = last is not None and row["last_seq"] != last + 1
+                last = row["last_seq"]
+                if broken:
+                    for other in books.values():
+                        other.validity = "invalid"
+                reason = step(book, row, "replace", False) if not broken or row["snapshot"] else "gap"
+                out.append((row["session"], *_report(row["book"], row, book, reason)))
+            yield pd.DataFrame(out, columns=["session", *NAMES]).astype(KINDS)
+
+    rows = _checked(updates, "replace", "session")
+    kind = dict(rows.dtypes)["session"]
+    return rows.repartition("session").sortWithinPartitions("session", "ord").mapInPandas(run, f"session {kind}, {OUT}")
+
+
+def _packed(book: Book) -> str:
+    sides = [[side.levels[p][1:] for p in side.prices] for side in (book.bids, book.asks)]
+    return json.dumps({"sides": sides, "seq": book.seq, "bridged": book.bridged, "validity": book.validity, "waiting": book.waiting})
+
 
-    rows = updates.select(*UPDATE).where("book is not null")
-    return rows.repartition("book").sortWithinPartitions("book", "ord").mapInPandas(run, OUT)
+def _unpacked(text: str, book: Book) -> Book:
+    d = json.loads(text)
+    for side, levels in zip((book.bids, book.asks), d["sides"]):
+        for price, quantity in levels:
+            side.set(Decimal(price), (Decimal(quantity), price, quantity))
+    book.seq, book.bridged, book.validity, book.waiting = d["seq"], d["bridged"], d["validity"], d["waiting"]
+    return book
 
 
-def stream_books(updates: DataFrame, *, rule: str = "spanning", depth: int = 0, lenient: bool = False) -> DataFrame:
+def stream_books(updates: DataFrame, *, rule: str = "spanning", depth: int = 0, lenient: bool = False, price_scale: int | None = None, quantity_scale: int | None = None) -> DataFrame:
     """The fold over a stream: each book's state is kept between micro-batches; updates of one batch
     are taken in the order of ``ord``."""
-    names = [x.split()[0] for x in OUT.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        book = Book(depth)
+        book = Book(depth, price_scale, quantity_scale)
         if state.exists:
-            (held,) = state.get
-            d = json.loads(held)
-            book = Book(depth, {float(p): q for p, q in d["bids"]}, {float(p): q for p, q in d["asks"]}, d["seq"], d["bridged"], d["validity"])
+            book = _unpacked(state.get[0], book)
         now = pd.concat(list(batches)).sort_values("ord")  # one book's rows of one micro-batch
         out = [_report(key[0], row, book, step(book, row, rule, lenient)) for row in _rows(now)]
-        state.update((json.dumps({"bids": list(book.bids.items()), "asks": list(book.asks.items()), "seq": book.seq, "bridged": book.bridged, "validity": book.validity}),))
-        yield pd.DataFrame(out, columns=names).astype({"seq": "Int64", "best_bid": float, "best_ask": float})
+        state.update((_packed(book),))
+        yield pd.DataFrame(out, columns=NAMES).astype(KINDS)
 
-    return updates.select(*UPDATE).groupBy("book").applyInPandasWithState(run, OUT, "state string", "append", "NoTimeout")
+    return _checked(updates, rule).groupBy("book").applyInPandasWithState(run, OUT, "state string", "append", "NoTimeout")
