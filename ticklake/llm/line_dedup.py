@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, table, written
+from .common import SPACE_BYTES, pieces, table, written
 from .filters import NOTED, bits_for, filter_of, gathered, has, members, noting
 
 SPACES = SPACE_BYTES.decode()
@@ -49,7 +49,7 @@ def _suspects(packed, least: int):
     """(r1, r2, key, text) -> a row for each different suspected line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 4000):
             keys, n = _keys(batch.column(3), least)
             hit = has(packed.value, keys)
             who = pa.array(np.repeat(np.arange(len(n)), n)[hit])
@@ -59,27 +59,48 @@ def _suspects(packed, least: int):
     return run
 
 
-def _rewrite(least: int, hot):
-    """(row, key, text, others): ``hot`` gives the keys of many documents with their first document,
-    others the further lines to drop."""
-    known: dict[bytes, object] = {}
+def _find(l1: np.ndarray, l2: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in lists sorted by both numbers, -1 for none."""
+    at = np.searchsorted(l1, keys[:, 0])
+    out = np.full(len(keys), -1)
+    open_ = np.arange(len(keys))
+    while len(open_):  # more than once only where lines share their first number
+        here = at[open_]
+        inside = here < len(l1)
+        open_, here = open_[inside], here[inside]
+        same = l1[here] == keys[open_, 0]
+        open_, here = open_[same], here[same]
+        hit = l2[here] == keys[open_, 1]
+        out[open_[hit]] = here[hit]
+        open_ = open_[~hit]
+        at[open_] += 1
+    return out
+
+
+def _rewrite(least: int, told):
+    """(row, key, text, others): ``told`` gives the keys of many documents, sorted, with their first
+    document, others the further lines to drop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not known:
-            lines, first = hot.value
-            known.update(zip((lines[16 * k : 16 * k + 16] for k in range(len(first))), first))
-        for batch in batches:
+        l1, l2, first = told.value
+        for batch in pieces(batches):
             n, dropped, kept = [], [], []
-            for key, text, others in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                lines, digests = (text or "").split("\n"), _digests(text, least)
-                gone = {d for d in digests if d in known and (key is None or known[d] != key)}
+            texts = batch.column(2).to_pylist()
+            own = [_digests(t, least) for t in texts]
+            long = [[k for k, d in enumerate(x) if d] for x in own]
+            found = _find(l1, l2, np.frombuffer(b"".join(x[k] for x, y in zip(own, long) for k in y), "<u8").reshape(-1, 2)).tolist()
+            at = 0
+            for key, text, digests, places, others in zip(batch.column(1).to_pylist(), texts, own, long, batch.column(3).to_pylist()):
+                gone = {k for k, f in zip(places, found[at : at + len(places)]) if f >= 0 and (key is None or first[f] != key)}
+                at += len(places)
                 if others:
-                    gone.update(np.array([(x["l1"], x["l2"]) for x in others], "<i8")[k].tobytes() for k in range(len(others)))
-                stay = [x for x, d in zip(lines, digests) if d not in gone] if gone else lines
-                n.append(len(lines))
-                dropped.append(len(lines) - len(stay))
+                    more = {np.array([x["l1"], x["l2"]], "<i8").tobytes() for x in others}
+                    gone.update(k for k in places if digests[k] in more)
+                lines = (text or "").split("\n") if gone else None
+                n.append(len(digests))
+                dropped.append(len(gone))
                 # a text that loses nothing stays as it is (null too); one that loses all lines is empty
-                kept.append(text if len(stay) == len(lines) else "\n".join(stay))
+                kept.append("\n".join([x for k, x in enumerate(lines) if k not in gone]) if gone else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["row", "n_lines", "n_dropped", "kept_text"])
 
     return run
@@ -122,8 +143,9 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
             break
         least_step, n_told = k, n_told + n
     top = kept.where(step >= least_step).select("l1", "l2", "first").toArrow()
-    lines = np.stack([top.column(c).to_numpy() for c in ("l1", "l2")], axis=1).astype("<i8")
-    told = spark.sparkContext.broadcast((lines.tobytes(), top.column("first").to_pylist()))
+    l1, l2 = (top.column(c).to_numpy().view(np.uint64) for c in ("l1", "l2"))
+    order = np.lexsort((l2, l1))
+    told = spark.sparkContext.broadcast((l1[order], l2[order], top.column("first").take(pa.array(order)).to_pylist()))
 
     row = docs.select(F.struct(*own).alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     row_type = row.schema["row"].dataType.simpleString()

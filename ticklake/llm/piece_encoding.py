@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 MARK = "▁"
 #: Entries that a worker remembers at most: chunks (about 20 MB) and pairs of pieces (about 25 MB).
@@ -165,7 +165,7 @@ def encode_texts(df: DataFrame, model: str, *, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(model)
-        for batch in batches:
+        for batch in pieces(batches):
             n, a, b, ids, decoded = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 x = own.encode(t or "")

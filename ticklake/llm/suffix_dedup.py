@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import pieces, table, written
 from .filters import NOTED, bits_for, filter_of, gathered, has, members, noting, pairs
 from .shingles import mix, parts_of, texts_of
 from .suffix_array import suffix_array
@@ -306,7 +306,7 @@ def _cut(keep_bytes: bool):
         return np.stack([out[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(out) - 1)]], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n, removed, count, sha, kept = [], [], [], [], []
             texts = batch.column(1).cast(pa.binary())
             for r in range(batch.num_rows):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 DECAY, MOST_GAP = 0.6, 3
 LANDMARKS = 256
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             values = model.scores(model.marks(batch.column(1).to_pylist(), memo)) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["row", "score"])
 
