@@ -51,6 +51,60 @@ def test_whole_articles():
     assert main_text(page(f"<article>{ps(0, 3)}{figure}{ps(3, 6)}</article>")) == whole(*prose[:3], "Caption.", "So x it is.", *prose[3:6])
 
 
+def test_names_of_furniture():
+    prose = [f"Paragraph {k}, with a comma, and words enough that it would be scored as prose by any rule, number {k}." for k in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in prose)
+    noise = "<p>Something, else, entirely, that is long enough to be scored, and nobody wants to read it, at all.</p>"
+    for name in ("comment-body", "comment-content", "main-menu", "post-footer", "ad", "article-tags", "nav", "cookie_notice", "widget area"):
+        for page in (f"<div class=content>{body}<div class='{name}'>{noise}</div></div>", f"<article>{body}<section id='{name}'>{noise}</section></article>", f"<div>{body}</div><div class='{name}'>{noise}</div>"):
+            assert main_text(page) == "\n\n".join(prose), (name, page)
+    for name in ("content has-sidebar", "post no-nav", "entry sidebar-left", "main-content"):
+        assert main_text(f"<div class='{name}'>{body}</div><div class=menu>{noise}</div>") == "\n\n".join(prose), name
+    assert main_text(f"<header><h1>Site</h1></header><article><header><h1>Title</h1><p>By me, today</p><nav><h2>x</h2></nav></header>{body}</article>") == "\n\n".join(["Title", *prose])
+    assert main_text(f"<article>{body}<noscript><p>Turn it on</noscript><button><div>Press</button></article>") == "\n\n".join(prose)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for n, part in ((100_000, "<a>"), (100_000, "<b>"), (50_000, "<div>"), (50_000, "<li><div>"), (100_000, "</p></a></div>"), (30_000, "<p>x, y<span>"), (30_000, "<div><p>word, word</p>"), (50_000, "<td><tr>")):
+        start = time.process_time()
+        main_text("<p>" + part * n + "text, here")
+        assert time.process_time() - start < 6, part
+
+
+def test_generated_pages():
+    """Articles of known blocks in random containers, between furniture of known names."""
+    import random
+
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9)))
+    sentence = lambda n: " ".join(word() + ("," if rnd.random() < 0.15 else "") for _ in range(n)).rstrip(",") + "."
+    for _ in range(300):
+        blocks, parts = [], []
+        title = sentence(5)
+        for _ in range(rnd.randrange(1, 5)):
+            inside = []
+            if rnd.random() < 0.4:
+                head = sentence(4)
+                blocks.append(head)
+                inside.append(f"<h2>{head}</h2>")
+            for _ in range(rnd.randrange(2, 6)):
+                text = sentence(rnd.randrange(25, 70))
+                blocks.append(text)
+                at = rnd.randrange(len(text))
+                text = text[:at] + rnd.choice(["", "  ", "<i></i>", "<!-- x -->"]) * (text[at] != " " and rnd.random() < 0.5 and text[at - 1] == " ") + text[at:]
+                inside.append(f"<p>{text}" + rnd.choice(["</p>", "</p>\n", ""]))
+            parts.append("".join(inside))
+        if rnd.random() < 0.5:
+            parts = [f"<section>{x}</section>" for x in parts]
+        tag = rnd.choice(["article", "main", "div class=entry-content", "div id='story'", "section"])
+        noise = lambda: f"<{(t := rnd.choice(['div', 'section', 'aside', 'ul']))} class='{rnd.choice(['ad', 'comments', 'sidebar', 'menu main', 'related-posts', 'share buttons'])}'><p>{sentence(30)}</p></{t}>"
+        extra = noise() if rnd.random() < 0.5 else ""
+        page = f"<html><body><header><p>{sentence(9)}</p></header><nav><ul><li><a href=x>{word()}</a></ul></nav>{noise()}<{tag}><h1>{title}</h1>{''.join(parts)}{extra}</{tag.split()[0]}>{noise()}<footer><p>{sentence(20)}</p></footer></body></html>"
+        assert main_text(page) == "\n\n".join([title, *blocks]), page
+
+
 def test_pages_keep_rows(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = registry.queries()["op3_html_text"](spark, sf_dir)

@@ -37,77 +37,104 @@ PROSE = {"p", "pre", "blockquote", "td", "dd", "li"}
 PARTS = {"ul", "ol", "dir", "dl", "li", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "p", "pre", "blockquote", "figure", "figcaption", "caption"}
 #: Containers of anything: next to the article they need a title, or paragraphs where no element says what the article is.
 GENERIC = {"div", "section", "article", "main", "center", "details", "dialog", "search", "td", "th"}
-#: What furniture calls itself in class, id or role; whole words between separators.
+#: What furniture calls itself in the words of a class, id or role (fixed values).
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menu\w*|modal|nav\w*|newsletter|notice|notices|notification|pagination|pager|popup|promo\w*|recommend\w*|related|replies|respond|search|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|tooltip|widgets?|alert|complementary|contentinfo|navigation)(?:$|[\s_-])",
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menu\w*|modal|nav\w*|newsletter|notice|notices|notification|pagination|pager|popup|promo\w*|recommend\w*|related|replies|respond|search|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|tooltip|widgets?|alert|complementary|contentinfo|navigation)",
     re.I,
 )
-#: A container that holds the article is none of it, whatever else its class says.
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
-CLOSES_P = BLOCK
-SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What the article calls itself, what only says where it stands, and what only says that it has furniture beside it.
+CONTENT = {"article", "content", "main", "post", "entry", "story", "body", "text"}
+PLACES, BESIDE = {"sidebar", "side", "header"}, {"has", "with", "no", "without", "is", "show", "hide"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
 
 class _Node:
-    __slots__ = ("name", "up", "dropped", "score", "own", "chars", "linked", "title", "prose")
+    """A block element. heads: inside an article's header, of which only headings count."""
 
-    def __init__(self, name: str, up: _Node | None, dropped: bool) -> None:
-        self.name, self.up, self.dropped = name, up, dropped
-        self.score, self.own, self.chars, self.linked = 0.0, 0.0, 0, 0
+    __slots__ = ("name", "up", "dropped", "heads", "score", "own", "chars", "linked", "title", "prose", "held")
+
+    def __init__(self, name: str, up: _Node | None, dropped: bool, heads: bool = False) -> None:
+        self.name, self.up, self.dropped, self.heads = name, up, dropped, heads
+        self.score, self.own, self.chars, self.linked, self.held = 0.0, 0.0, 0, 0, 0
         self.title = self.prose = False  # holds an h1, a paragraph or the like
 
-    def parent(self) -> _Node | None:
-        up = self.up
-        while up is not None and up.name not in BLOCK:
-            up = up.up
-        return up
+
+def _names_furniture(value: str) -> bool:
+    """Whether class, id or role names say so. One that the article's own name stands in (entry-header)
+    or beside (content sidebar-left) only tells a place; comment-body and main-menu are furniture."""
+    found, content = set(), False
+    for name in value.lower().split():
+        words = [w for w in re.split("[-_]+", name) if w]
+        if not words or words[0] in BESIDE:
+            continue
+        hits = {w for w in words if FURNITURE.fullmatch(w)}
+        own = not CONTENT.isdisjoint(words)
+        if own and hits <= {"header"}:
+            hits = set()
+        content |= own and not hits
+        found |= hits
+    return bool(found) and not (content and found <= PLACES)
 
 
 def _furniture(name: str, attributes: str) -> bool:
-    if name in DROP:
-        return True
     if not attributes or name in ("html", "body"):
         return False
     for key, value, hidden in ATTRIBUTE.findall(attributes):
         value, key = value.strip("\"'"), key.lower()
         if hidden or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if key in ("class", "id", "role") and name not in ("article", "main") and FURNITURE.search(value) and not CONTENT.search(value):
+        if key in ("class", "id", "role") and name not in ("article", "main") and _names_furniture(value):
             return True
     return False
 
 
-def blocks_of(page: str) -> list[tuple[_Node, str, int]]:
-    """(element, text, characters in links) of each block of text, in page order."""
+def blocks_of(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
+    """(element, text, characters in links) of each block of text, in page order, and all block elements,
+    parents before children. Time grows with the page only: open elements are found by name."""
     root = _Node("html", None, False)
-    stack: list[_Node] = [root]  # open elements, inline ones too
+    nodes, open_, places = [root], [root], {"html": [0]}  # open blocks, and where those of a name are
+    inline: list[list[tuple[str, bool]]] = [[]]  # of each open block its open inline elements: name, dropped
+    counts: list[dict[str, int]] = [{}]
+    hidden: dict[str, list[int]] = {}  # blocks in which dropped inline elements are open
     found: list[tuple[_Node, str, int]] = []
     pieces: list[str] = []
-    links, linked = 0, 0
-
-    def holder() -> _Node:
-        return next(n for n in reversed(stack) if n.name in BLOCK)
+    links, linked, unseen = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                found.append((holder(), text, min(linked, len(text))))
+                found.append((open_[-1], text, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
-    def pop() -> None:
-        nonlocal links
-        if stack[-1].name in BLOCK:
-            flush()
-        if stack.pop().name == "a":
-            links -= 1
+    def close_inline() -> str:
+        nonlocal links, unseen
+        name, dropped = inline[-1].pop()
+        counts[-1][name] -= 1
+        links -= name == "a"
+        if dropped:
+            unseen -= 1
+            hidden[name].pop()
+        return name
+
+    def close_block() -> None:
+        flush()
+        while inline[-1]:
+            close_inline()
+        inline.pop()
+        counts.pop()
+        places[open_.pop().name].pop()
+
+    def nearest(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
 
     def add(text: str) -> None:
         nonlocal linked
-        if text and not stack[-1].dropped:
+        if text and not unseen and not open_[-1].dropped:
             text = html.unescape(text) if "&" in text else text
             pieces.append(text)
             if links:
@@ -129,11 +156,19 @@ def blocks_of(page: str) -> list[tuple[_Node, str, int]]:
         if token["close"]:
             if name == "br":
                 pieces.append(" ")
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
-            # an inline end tag closes nothing across a block
-            if depth and (name in BLOCK or not any(n.name in BLOCK for n in stack[depth:])):
-                while len(stack) > depth:
-                    pop()
+            elif name in BLOCK:
+                if len(places.get(name, ())) and places[name][-1]:
+                    depth = places[name][-1]
+                    while len(open_) > depth:
+                        close_block()
+            else:
+                # what is dropped ends across blocks, other inline elements only inside theirs
+                if hidden.get(name):
+                    while len(open_) > hidden[name][-1] + 1:
+                        close_block()
+                if counts[-1].get(name):
+                    while close_inline() != name:
+                        pass
             continue
         if name in VOID:
             if name == "hr":
@@ -143,87 +178,105 @@ def blocks_of(page: str) -> list[tuple[_Node, str, int]]:
             continue
         if name in ("html", "body"):
             continue
-        if name in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k].name in BLOCK:
-                    break
+        attributes = token["attributes"]
+        if name not in BLOCK:
+            if attributes.endswith("/") and name in ("svg", "path"):
+                continue
+            if name in ("a", "option") and counts[-1].get(name):  # neither holds itself
+                while close_inline() != name:
+                    pass
+            dropped = name in DROP or _furniture(name, attributes)
+            inline[-1].append((name, dropped))
+            counts[-1][name] = counts[-1].get(name, 0) + 1
+            links += name == "a"
+            if dropped:
+                unseen += 1
+                hidden.setdefault(name, []).append(len(open_) - 1)
+            if name in RAW:
+                raw = name
+            continue
+        if open_[-1].name == "p":
+            close_block()
+        else:
             flush()
         if name in SAME:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in SCOPE.get(name, ()):
-                    break
-                if stack[k].name in SAME[name]:
-                    while len(stack) > k:
-                        pop()
-                    break
-        node = _Node(name, stack[-1], stack[-1].dropped or _furniture(name, token["attributes"]))
-        if not token["attributes"].endswith("/") or name not in ("svg", "path"):
-            stack.append(node)
-            links += name == "a"
+            same = nearest(SAME[name])
+            if same > max(0, nearest(SCOPE[name])):
+                while len(open_) > same:
+                    close_block()
+        up = open_[-1]
+        own = _furniture(name, attributes)
+        inside = name == "header" and bool(places.get("article") or places.get("main"))
+        heads = not own and (up.heads or inside and not up.dropped) and (name not in DROP or inside)
+        dropped = own or name in DROP or bool(unseen) or up.dropped
+        if dropped and up.heads and name in HEADINGS and not own and not unseen:
+            dropped = False
+        node = _Node(name, up, dropped, heads)
+        places.setdefault(name, []).append(len(open_))
+        nodes.append(node)
+        open_.append(node)
+        inline.append([])
+        counts.append({})
         if name in RAW:
             raw = name
-    while len(stack) > 1:
-        pop()
+    while len(open_) > 1:
+        close_block()
     flush()
-    return found
+    return found, nodes
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by two \\n; empty for null, empty or textless pages.
 
     A page with no prose block at all gives its other blocks outside furniture. Very long pages are
-    read whole; unclosed and misnested elements are closed as browsers do, roughly.
+    read whole, in time that grows with their length; unclosed and misnested elements are closed as
+    browsers do, roughly. Of containers with equal points the first on the page is the best.
     """
-    found = blocks_of(page or "")
+    found, nodes = blocks_of(page or "")
     if not found:
         return ""
     scored: dict[int, _Node] = {}
     for node, text, linked in found:
-        up: _Node | None = node
-        while up is not None:
-            up.chars += len(text)
-            up.linked += linked
-            up.title |= node.name == "h1"
-            up.prose |= node.name in PROSE
-            up = up.up
+        node.chars += len(text)
+        node.linked += linked
+        node.title |= node.name == "h1"
+        node.prose |= node.name in PROSE
+    for node in reversed(nodes[1:]):  # children come after their parents
+        up = node.up
+        up.chars, up.linked, up.title, up.prose = up.chars + node.chars, up.linked + node.linked, up.title | node.title, up.prose | node.prose
+    for node, text, linked in found:
         if node.name in PROSE or node.name in ("div", "article", "section", "main", "body", "html"):
             points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
-            near = node.parent() if node.name in PROSE else node
+            near = node.up if node.name in PROSE else node
             if near is not None:
                 near.own += points
             for share in (1.0, 0.5):
                 if near is not None:
                     near.score += points * share
                     scored[id(near)] = near
-                    near = near.parent()
+                    near = near.up
     plain = lambda n: 1 - n.linked / max(1, n.chars)
     if not scored:
         return "\n\n".join(text for _, text, _ in found)
     best = max(scored.values(), key=lambda n: n.score * plain(n))
     cut = 0.2 * best.score * plain(best)
     good = [n for n in scored.values() if n is best or n.own * plain(n) > max(cut, 0)]
-    holds: dict[int, int] = {}
     for n in good:
-        up = n
-        while up is not None:
-            holds[id(up)] = holds.get(id(up), 0) + 1
-            up = up.up
+        n.held = 1
+    for n in reversed(nodes[1:]):
+        n.up.held += n.held
     top = best
-    while holds[id(top)] < len(good) or top.name not in BLOCK:
+    while top.held < len(good):
+        top = top.up
+    while top.name in PARTS and top.up is not None and top.up.name in PARTS:
         top = top.up
-    while top.name in PARTS and top.parent() is not None and top.parent().name in PARTS:
-        top = top.parent()
     up = top
     while up is not None and up.name not in ("article", "main"):
         up = up.up
     named = up is not None
     whole = named or top is best
     top = up or top
-    around = top.parent()
+    around = top.up
     verdict: dict[int, bool] = {id(top): True}
 
     def kept(node: _Node, text: str, linked: int) -> bool:
@@ -232,10 +285,10 @@ def main_text(page: str | None) -> str:
         path = []
         while id(node) not in verdict:
             path.append(node)
-            up = node.parent()
+            up = node.up
             if up is top:
                 # beside well-scored containers, one of links alone is navigation
-                verdict[id(node)] = whole or node.name in PROSE or id(node) in holds or plain(node) >= 0.5
+                verdict[id(node)] = whole or node.name in PROSE or node.held or plain(node) >= 0.5
             elif up is around or up is None:
                 verdict[id(node)] = up is not None and plain(node) > 0.75 and (node.name not in GENERIC or node.title or node.prose and not named)
             else:
