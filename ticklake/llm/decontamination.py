@@ -2,7 +2,7 @@
 
 Contained means that at least ``threshold`` of an item's distinct 5-word shingles are in the
 document. Items are partitioned by size. In each partition an item's MinHash signature is its
-shingles of smallest hash, so many that a document with the threshold's share of the item must hold
+shingles of smallest hash (an exact prefix, no estimate), so many that a document with the threshold's share of the item must hold
 one of them (an item of n shingles, of which need must be found, has n - need + 1). Signatures
 of short items are short, whatever the document's length, and every document is probed whole. A
 document that meets a signature is then checked against the item's exact shingles, as words.
@@ -10,6 +10,7 @@ document that meets a signature is then checked against the item's exact shingle
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import defaultdict
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +46,11 @@ class _Partition:
         self.least = least
         self.hashes = np.array([h for h, _ in found], np.uint64)
         self.items = np.array([i for _, i in found], np.int64)
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[self.hashes >> np.uint64(44)] = True
 
     def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not hasattr(self, "seen"):
+            self.seen = np.zeros(1 << 20, bool)
+            self.seen[self.hashes >> np.uint64(44)] = True
         at = np.flatnonzero(self.seen[hashes >> np.uint64(44)])
         first, last = np.searchsorted(self.hashes, hashes[at], "left"), np.searchsorted(self.hashes, hashes[at], "right")
         n = last - first
@@ -59,22 +62,29 @@ def _need(n: int, threshold: float) -> int:
     return math.ceil(threshold * n - 1e-9)
 
 
-def _search(items: list[tuple[object, str]], threshold: float, flags: bool = False):
-    """Of (key or row, text): the pairs found, or with ``flags`` each row and whether it has any."""
+def _index(items: list[tuple[int, str]], threshold: float) -> list[_Partition]:
+    sizes: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    least: dict[int, int] = {}
+    item = 0
+    for _, hashes, counts in shingle_hashes(pa.array([t for _, t in items], pa.string())):
+        at = 0
+        for k in counts.tolist():
+            own, at = np.unique(hashes[at : at + k]), at + k
+            if n := len(own):
+                part = n.bit_length()
+                sizes[part] += [(int(h), item) for h in own[: n - _need(n, threshold) + 1]]
+                least[part] = min(least.get(part, n), _need(n, threshold))
+            item += 1
+    return [_Partition(sizes[p], least[p]) for p in sizes]
+
+
+def _search(sent, threshold: float, flags: bool = False):
+    """``sent``: the broadcast items (key, text) and their index. The pairs found, or with ``flags`` each
+    row and whether it has any. Only items that are met are turned into words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact = [exact_shingles(t) for _, t in items]
-        sizes: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        least: dict[int, int] = {}
-        for _, hashes, counts in shingle_hashes(pa.array([t for _, t in items], pa.string())):
-            at = 0
-            for i, k in enumerate(counts.tolist()):
-                own, at = np.unique(hashes[at : at + k]), at + k
-                if n := len(own):
-                    part = n.bit_length()
-                    sizes[part] += [(int(h), i) for h in own[: n - _need(n, threshold) + 1]]
-                    least[part] = min(least.get(part, n), _need(n, threshold))
-        parts = [_Partition(sizes[p], least[p]) for p in sizes]
+        items, parts = sent.value
+        exact = functools.lru_cache(2000)(lambda i: exact_shingles(items[i][1]))
         for batch in batches:
             out: list[tuple] = []
             for first, hashes, counts in shingle_hashes(batch.column(1)):
@@ -88,9 +98,9 @@ def _search(items: list[tuple[object, str]], threshold: float, flags: bool = Fal
                 for r, i in sorted(met):
                     if r != last:
                         own, last = exact_shingles(batch.column(1)[first + r].as_py()), r
-                    common = len(exact[i] & own)
-                    if common >= _need(len(exact[i]), threshold):
-                        out.append((first + r, items[i][0], len(exact[i]), common))
+                    common = len(exact(i) & own)
+                    if common >= _need(len(exact(i)), threshold):
+                        out.append((first + r, items[i][0], len(exact(i)), common))
             if flags:
                 hit = np.zeros(batch.num_rows, bool)
                 hit[[x[0] for x in out]] = True
@@ -103,20 +113,23 @@ def _search(items: list[tuple[object, str]], threshold: float, flags: bool = Fal
     return run
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame, block_bytes: int, threshold: float) -> Iterator[Broadcast]:
+    """Blocks of items with their index, one at a time on the driver."""
+    spark = items.sparkSession
     total = items.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     n = max(1, -(-total // block_bytes))
     for block in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)
-        yield [(r["item_id"], r["text"] or "") for r in part.select(F.col("item_id").cast("long"), "text").collect()]
+        rows = [(r["item_id"], r["text"] or "") for r in part.select(F.col("item_id").cast("long"), "text").collect()]
+        yield spark.sparkContext.broadcast((rows, _index(rows, threshold)))
 
 
 def without_items(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that contain no item, by the rules of ``contained_items``, where they lie."""
     out = docs
-    for rows in _blocks(items, block_bytes):
+    for sent in _blocks(items, block_bytes, threshold):
         packed = out.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"))
-        marked = packed.mapInArrow(_search(rows, threshold, True), f"row {packed.schema['row'].dataType.simpleString()}, contained boolean")
+        marked = packed.mapInArrow(_search(sent, threshold, True), f"row {packed.schema['row'].dataType.simpleString()}, contained boolean")
         out = marked.where("not contained").select("row.*")
     return out
 
@@ -132,9 +145,9 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8
     """
     kind = dict(docs.dtypes)[key]
     found = None
-    for rows in _blocks(items, block_bytes):
+    for sent in _blocks(items, block_bytes, threshold):
         got = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
-            _search(rows, threshold), f"key {kind}, item_id long, item_shingles long, common_shingles long"
+            _search(sent, threshold), f"key {kind}, item_id long, item_shingles long, common_shingles long"
         )
         found = got if found is None else found.unionAll(got)
     return found.select(F.col("key").alias(key), "item_id", "item_shingles", "common_shingles", (F.col("common_shingles") / F.col("item_shingles")).alias("containment"))

@@ -38,7 +38,8 @@ INSULT, CLEAN = 3.0, 1.5
 THRESHOLD = 0.3
 #: Words that a task remembers at most, and symbols that it looks at together.
 MEMO, SYMBOLS = 100_000, 1 << 18
-_SIZE = 28
+#: Letters a to z, word ends, other signs, and twelve symbols that letters of other scripts are dealt to.
+_SIZE, _OTHERS = 40, 12
 
 #: Letters, digits and signs that stand for letters (fixed values).
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -46,13 +47,27 @@ _FOLD = {c: f for c in range(0x80, 0x250) if (f := unicodedata.normalize("NFKD",
 _FOLD |= {ord(a): b for a, b in STAND_INS.items()} | {ord("ß"): "ss", ord("ø"): "o", ord("æ"): "ae", ord("œ"): "oe", ord("ł"): "l"}
 _SYMBOL = np.full(256, 27, np.int32)
 _SYMBOL[97:123] = np.arange(1, 27)
+_SYMBOL[65 : 65 + _OTHERS] = np.arange(28, 28 + _OTHERS)  # words are lowered, so these stand for other scripts
 _SYMBOL[13] = 0  # stands at both ends of a word
+
+
+class _Folded(dict):
+    """Latin letters without marks; a letter of another script as one of ``_OTHERS`` capitals."""
+
+    def __missing__(self, c: int) -> int:
+        to = c if c < 0x80 or not chr(c).isalpha() else 65 + (c * 40503 >> 4) % _OTHERS
+        if len(self) < 50_000:
+            self[c] = to
+        return to
+
+
+_TABLE = _Folded(_FOLD)
 _ENDS = ".,;:!?\"'()[]{}<>«»“”„’‘…-_*"
 
 
 def _flat(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all words, ends marked, and each symbol's word."""
-    data = "\n".join([f"\r{w.strip(_ENDS)}\r" for w in words]).translate(_FOLD).encode("ascii", "replace")
+    data = "\n".join([f"\r{w.strip(_ENDS)}\r" for w in words]).translate(_TABLE).encode("ascii", "replace")
     raw = np.frombuffer(data, np.uint8)
     cut = raw == 10
     word = np.cumsum(cut, dtype=np.int32)
@@ -124,7 +139,7 @@ def fit_words(positive: dict[str, int], negative: dict[str, int]) -> tuple[np.nd
     good = values > 1e-4 * values[-1]
     to = vectors[:, good] / np.sqrt(values[good])
     words = [*positive, *negative]
-    x = np.concatenate([_features(words[a : a + 1000]) @ marks.T for a in range(0, len(words), 1000)]) @ to
+    x = np.concatenate([_features(words[a : a + 250]) @ marks.T for a in range(0, len(words), 250)]) @ to
     x = np.hstack([x, np.ones((len(x), 1))])
     y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
     n = np.array([*positive.values(), *negative.values()], float)
@@ -191,7 +206,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame) -> Model | None:
     """A model from ``labelled`` (text, toxic 0 or 1; other rows are left out), of which the caller
-    bounds the rows. None if a class is missing."""
+    bounds the rows. Repeated texts count each time. None if a class is missing."""
     rows = labelled.where("toxic in (0, 1)").select(F.col("text").cast("string"), F.col("toxic").cast("int")).persist()
     words = rows.mapInArrow(_count_words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("length(word) > 2").persist()
     def take(df: DataFrame, column: str, *order, most: int = WORDS) -> dict[str, int]:
@@ -240,11 +255,12 @@ def held_out(key: str = "doc_id") -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` labelled texts outside the held-out fold. A key labelled twice is toxic if
-    any label says so; null keys and labels don't count."""
+    """At most ``sample`` labelled texts outside the held-out fold, one a key: of several texts the first
+    in order. A key labelled twice is toxic if any label says so; null keys and labels don't count."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max("toxic").alias("toxic"))
     chosen = marks.orderBy(F.xxhash64(key), key).limit(sample)  # so many longs and ints
-    return docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).select("text", "toxic")
+    rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key)
+    return rows.groupBy(key).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def score(docs: DataFrame, model: Model | None, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
