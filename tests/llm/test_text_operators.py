@@ -304,5 +304,5 @@ def test_large_groups_stay_whole(spark, monkeypatch, block):
 def test_near_duplicates_of_repeated_rows_and_null_keys(spark):
     words = " ".join(f"w{i}" for i in range(60))
     rows = [(5, words), (5, words), (None, words), (9, words + " more"), (9, words + " more"), (None, "alone in its set of words"), (None, None), (7, "other text of its own here"), (3, None), (3, None)]
-    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
     assert got == {(5, 5, True): 2, (None, 5, False): 1, (9, 5, False): 2, (None, None, True): 2, (7, 7, True): 1, (3, 3, True): 2}

@@ -8,11 +8,12 @@ each, whose cut lies five standard deviations under the threshold; what passes i
 full sets.
 
 Links are confirmed in two rounds, as components are what is asked for: first each set against the
-smaller-numbered set of its node that its sketch resembles most, then every resembling pair of a node
-whose members the first round left in different components. A pair that meets in several nodes comes
-from the one of smallest number only. No task holds a node: the first round cuts one of more than
-``BLOCK`` sets into blocks, the second compares blocks of the sets outside its largest component with
-blocks of all its sets.
+smaller-numbered set of its node that its sketch resembles most, then every set against the
+components, other than its own, of those that its sketch resembles in a node. What comes out of a node
+is a set and a component, never all pairs; the full sets of the component then pass by those of the
+sets that ask for it, and one link is enough to join the two. No task holds a node or a component: the
+first round cuts a node of more than ``BLOCK`` sets into blocks, the second compares blocks of the sets
+outside its largest component with blocks of all its sets, and components are cut likewise.
 
 A pair of similarity s meets in a root's child of one tree with probability s, so in one of ``TREES``
 trees with 1 - (1 - s)^16 (over 0.9999999 at 0.8); where all nodes above are large it must agree at
@@ -33,15 +34,17 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, scratch_scope, table, written
 from .components import components
+from .filters import filter_of, has, pairs
 from .shingles import shingle_hashes
 
 TREES, DEPTH, NODE, BLOCK, SKETCH = 16, 4, 40, 2000, 384
+#: Bytes of full sets that a task holds at most, unless one set has more.
+HELD = 64 << 20
 PERCENT = 80
 _CHOICES = TREES * DEPTH
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**63, SKETCH + _CHOICES, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**63, SKETCH + _CHOICES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LAST = 2**63 - 1
 SIGNATURE = "id long, n long, set_id binary, sketch binary, roots array<long>, branches array<int>"
 
 
@@ -121,23 +124,19 @@ def _first_links(block: dict, least: int, percent: int) -> Iterator[tuple[int, i
             yield ids[i], ids[i]
 
 
-def _other_links(block: dict, least: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Every resembling pair of an asking set and another in different components that meets in no
-    node of smaller number. Of two asking sets the larger asks."""
-    ids, component, here, asks = block["id"], block["component"], block["node"][0], block["asks"]
+def _other_components(block: dict, least: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Every asking set with the other components of sets that it resembles. Of two asking sets the
+    larger asks."""
+    ids, component, asks = block["id"], block["component"], block["asks"]
     others = np.flatnonzero(~asks)
-    sketches, sizes, nodes = block["sketch"][others], block["n"][others], block["nodes"][others]
+    sketches, sizes = block["sketch"][others], block["n"][others]
     rest = component[others] == block["giant"][0]
     for i in np.flatnonzero(asks):
-        same = (sketches == block["sketch"][i]).sum(axis=1)
         n = block["n"][i]
-        alike = (same >= least) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-        alike = np.flatnonzero(alike & (component[others] != component[i]) & (rest | (ids[others] < ids[i])))
-        earlier = block["nodes"][i][block["nodes"][i] < here]
-        if len(alike) and len(earlier):
-            alike = alike[~np.isin(nodes[alike], earlier).any(axis=1)]
-        for j in ids[others[alike]].tolist():
-            yield max(ids[i], j), min(ids[i], j)
+        alike = (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (component[others] != component[i]) & (rest | (ids[others] < ids[i]))
+        alike[alike] = (sketches[alike] == block["sketch"][i]).sum(axis=1) >= least
+        for c in np.unique(component[others][alike]).tolist():
+            yield ids[i], c
 
 
 def _by_block(work, least: int, percent: int):
@@ -156,10 +155,8 @@ def _by_block(work, least: int, percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = {k: np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in batch.schema.names if k not in ("sketch", "nodes")}
+            now = {k: np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in batch.schema.names if k != "sketch"}
             now["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            if "nodes" in batch.schema.names:
-                now["nodes"] = np.array([x + [_LAST] * (TREES - len(x)) for x in batch.column("nodes").to_pylist()], np.int64)
             cuts = np.flatnonzero(np.diff(now["block"])) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
                 part = {k: v[a:b] for k, v in now.items()}
@@ -173,29 +170,69 @@ def _by_block(work, least: int, percent: int):
     return run
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, hashes, counts in shingle_hashes(batch.column(1)):
-            at = np.concatenate([[0], np.cumsum(counts)])
-            sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array(sets, pa.binary())], ["id", "set"])
+def _full_sets(packed):
+    """(id, text) -> the shingle sets of the ids in a filter, where the texts lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(has(packed.value, pairs(batch.column(0).to_numpy()))))
+            for first, hashes, counts in shingle_hashes(batch.column(1)):
+                at = np.concatenate([[0], np.cumsum(counts)])
+                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array(sets, pa.binary())], ["id", "set"])
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+    return bool(both) and 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-                good.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
+            good = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
+def _answer(least: int, percent: int):
+    """(block, member, id, n, sketch, set), each block's asking sets before its component's members: these
+    pass by one at a time. The first link that an asking set finds is enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, asks, open_ = None, [], None
+        for batch in batches:
+            a, b = [], []
+            columns = [c.to_pylist() for c in batch.columns]
+            for own, member, i, n, sketch, full in zip(*columns):
+                if own != block:
+                    block, asks, open_ = own, [], None
+                if not member:
+                    asks.append((i, n, np.frombuffer(sketch, np.uint8), np.frombuffer(full, np.uint64)))
+                    continue
+                if open_ is None:
+                    open_ = np.ones(len(asks), bool)
+                    sizes, sketches = np.array([x[1] for x in asks]), np.array([x[2] for x in asks]).reshape(-1, SKETCH)
+                near = np.flatnonzero(open_ & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                if not len(near):
+                    continue
+                near = near[(sketches[near] == np.frombuffer(sketch, np.uint8)).sum(axis=1) >= least]
+                y = np.frombuffer(full, np.uint64)
+                for k in near.tolist():
+                    if _linked(asks[k][3], y, percent):
+                        open_[k] = False
+                        a.append(max(asks[k][0], i))
+                        b.append(min(asks[k][0], i))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row (key, ``n_shingles``, ``component_id``, ``kept``) for each row of ``docs``.
 
@@ -233,42 +270,51 @@ def _labels(ids: DataFrame, signatures: DataFrame, classes: DataFrame, percent:
     sort = lambda df: df.repartition("block").sortWithinPartitions("block", "id")
     first = written(sort(described).mapInArrow(_by_block(_first_links, least, percent), "a long, b long").distinct(), "links")
 
-    both_ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
     def full_sets(wanted: DataFrame) -> DataFrame:
-        return written(ids.join(wanted, "id", "left_semi").mapInArrow(_full_sets, "id long, set binary").dropDuplicates(["id", "set"]), "full")
-
-    full = full_sets(written(both_ids(first), "wanted"))
-
-    def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
-        """Many pairs can share b, the smaller one, but few share a: a's set is what moves with a pair."""
-        left = pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-        both = left.join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_confirm(percent), "a long, b long")
-
-    links = written(confirmed(first.where("a <> b"), full), "confirmed")
+        named = ids.where("id is not null")
+        return written(named.mapInArrow(_full_sets(filter_of(written(wanted, "wanted"), "id")), "id long, set binary").dropDuplicates(["id", "set"]), "full")
+
+    full = full_sets(first.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    # many pairs can share b, the smaller one, but few share a: a's set is what moves with a pair
+    left = first.where("a <> b").join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    both = left.join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    links = written(both.mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
     labels = components(links)
-    named = written(leaves.join(labels, "id", "left").select("node", "id", "size", F.coalesce("component", "id").alias("component")), "named")
+
+    of = written(sets.select("id", "n").join(labels, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component")), "named")
+    named = written(leaves.join(of.select("id", "component"), "id"), "members")
     shares = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = shares.groupBy("node").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("components")).where("components > 1")
     mixed = written(mixed.select("node", F.col("most.component").alias("giant"), F.col("most.n").alias("in_giant")), "mixed")
     apart = named.join(mixed, "node")
-    asking = apart.where("component <> giant")
-    own_nodes = leaves.groupBy("id").agg(F.collect_list("node").alias("nodes"))  # at most one a tree
-    every, asked = _blocks(F.col("size")), _blocks(F.col("size") - F.col("in_giant"))
-    block = lambda x, y: F.xxhash64("node", x, y).alias("block")
-    columns = ["node", "id", "component", "giant"]
-    answers = apart.select(*columns, F.lit(False).alias("asks"), _dealt(every).alias("x"), F.explode(F.sequence(F.lit(0), asked - 1)).alias("y"))
-    asks = asking.select(*columns, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), every - 1)).alias("x"), _dealt(asked).alias("y"))
-    rows = answers.unionAll(asks).select(*columns, "asks", block("x", "y")).join(sets.select("id", "n", "sketch").join(own_nodes, "id"), "id")
-    rest = sort(rows).mapInArrow(_by_block(_other_links, least, percent), "a long, b long")
-    second = written(rest.distinct().join(first, ["a", "b"], "left_anti"), "links")
-    unread = written(both_ids(second).join(full.select("id"), "id", "left_anti"), "wanted")
-    if unread.head(1):  # of nodes over BLOCK sets
-        full = full.unionAll(full_sets(unread))
-    more = written(confirmed(second, full), "confirmed")
+    columns = ["id", "component", "giant"]
+    answers, asks = _crossed(apart, apart.where("component <> giant"), "node", _blocks(F.col("size")), _blocks(F.col("size") - F.col("in_giant")), columns)
+    rows = answers.withColumn("asks", F.lit(False)).unionAll(asks.withColumn("asks", F.lit(True))).join(sets.select("id", "n", "sketch"), "id")
+    asked = written(sort(rows).mapInArrow(_by_block(_other_components, least, percent), "id long, component long").distinct(), "asked")
+    if not asked.head(1):
+        return labels
+
+    asking = asked.join(of.select("id", "n"), "id")
+    counts = asking.groupBy("component").agg(F.count(F.lit(1)).alias("asking"), F.sum("n").alias("held"))
+    sizes = of.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    counts = written(counts.join(sizes, "component"), "counts")
+    blocks = F.greatest(_blocks(F.col("asking")), F.ceil(F.col("held") * 8 / HELD))
+    target, need = of.select("id", "component").join(counts, "component"), asked.join(counts, "component")
+    answers, asks = _crossed(target, need, "component", _blocks(F.col("size")), blocks, ["id"])
+    rows = written(answers.withColumn("member", F.lit(True)).unionAll(asks.withColumn("member", F.lit(False))), "meetings")
+    full = full_sets(rows.select("id").distinct())
+    rows = rows.join(sets.select("id", "n", "sketch"), "id").join(full, "id").select("block", "member", "id", "n", "sketch", "set")
+    more = written(rows.repartition("block").sortWithinPartitions("block", "member", "id").mapInArrow(_answer(least, percent), "a long, b long"), "confirmed")
     return components(links.unionAll(more)) if more.head(1) else labels
 
 
+def _crossed(every: DataFrame, asking: DataFrame, group: str, blocks: F.Column, asking_blocks: F.Column, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of a group and those of it that ask, so dealt that each asking one meets each row in one block."""
+    block = lambda x, y: F.xxhash64(group, x, y).alias("block")
+    one = every.select(group, *columns, _dealt(blocks).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), asking_blocks.cast("long") - 1)).alias("y"))
+    two = asking.select(group, *columns, F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("x"), _dealt(asking_blocks).alias("y"))
+    return tuple(x.select(*columns, block("x", "y")) for x in (one, two))
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
