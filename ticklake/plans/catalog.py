@@ -401,4 +401,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_oracle)
 
 
-from . import screens  # noqa: E402, F401  (registers more queries with the decorator above)
+from . import feeds, screens  # noqa: E402, F401  (register more queries with the decorator above)
