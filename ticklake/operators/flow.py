@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import aggressor_sign, bucket, buy_share, notional, quantize, sell_share
-from .windows import running_sums, top
+from .windows import following, running_sums, top
 
 KEYS = ["venue", "instrument"]
 
@@ -100,8 +100,8 @@ def flow_heuristics(trades: DataFrame, pressure: DataFrame, *, keys: list[str] =
     ``pressure`` (keys, bid_usd, ask_usd) has a row a key. One finding a (kind, side, second, rounded
     turnover) counts; the newest of each key are kept.
     """
-    w = Window.partitionBy(*keys).orderBy("exchange_ts_ns", "event_id")
-    rows = trades.withColumns({"usd": notional(), "__side": F.lead("aggressor").over(w), "__sec": F.lead("sec").over(w), "__price": F.lead("price").over(w)})
+    rows = following(trades.withColumn("usd", notional()), keys, ["exchange_ts_ns", "event_id"], ["aggressor", "sec", "price"])
+    rows = rows.withColumnsRenamed({"next_aggressor": "__side", "next_sec": "__sec", "next_price": "__price"})
     rows = rows.where(F.col("usd") >= large_usd).join(pressure, keys, "left")
     buy, known = F.col("aggressor") == "buy", F.col("aggressor").isin("buy", "sell")
     opposite = F.when(buy, F.col("ask_usd")).when(F.col("aggressor") == "sell", F.col("bid_usd"))

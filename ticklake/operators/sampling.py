@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .windows import ranks
+
 
 def stride(points: DataFrame, most: int, *, keys: list[str], time: str = "time") -> DataFrame:
     """At most ``most`` evenly spaced points of each key, the first and last among them. Point r of n
     stays if some i of most - 1 steps rounds (halves up) to it."""
-    w, whole = Window.partitionBy(*keys).orderBy(time), Window.partitionBy(*keys)
-    rows = points.withColumns({"__r": F.row_number().over(w) - 1, "__n": F.count(F.lit(1)).over(whole)})
+    rows = ranks(points, keys, time, block=30 * 86_400).withColumn("__r", F.col("__rank") - 1).drop("__rank")
     step = (F.col("__n") - 1) / F.lit(most - 1)
     i = F.ceil((F.col("__r") - 0.5) / step)
     hit = F.floor(i * step + 0.5) == F.col("__r")

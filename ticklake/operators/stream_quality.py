@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket, clock_jump
+from .windows import following, ranks
 
 
 def sequence_gaps(rows: DataFrame, *, keys: list[str] = ["session"], seq: str = "seq", block: int = 100_000) -> DataFrame:  # noqa: B006
@@ -55,9 +56,10 @@ def newest_merged(tape: DataFrame, limit: int, *, keys: list[str]) -> DataFrame:
 def queue_outcome(arrivals: DataFrame, capacity: int, policy: str, *, keys: list[str], order: str = "event_id") -> DataFrame:
     """Which arrivals a queue of ``capacity`` keeps until it is drained: drop_newest keeps the first,
     drop_oldest the last, fail none of a queue that overflows."""
-    up, down, whole = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys).orderBy(F.desc(order)), Window.partitionBy(*keys)
-    kept = {"drop_newest": F.row_number().over(up) <= capacity, "drop_oldest": F.row_number().over(down) <= capacity, "fail": F.count(F.lit(1)).over(whole) <= capacity}[policy]
-    return arrivals.withColumn("queued", kept)
+    rows = ranks(arrivals, keys, order)
+    rank, n = F.col("__rank"), F.col("__n")
+    kept = {"drop_newest": rank <= capacity, "drop_oldest": rank > n - capacity, "fail": n <= capacity}[policy]
+    return rows.withColumn("queued", kept).drop("__rank", "__n")
 
 
 def venue_status(tape: DataFrame, *, now_ns: Column, by: list[str] = ["venue"]) -> DataFrame:  # noqa: B006
@@ -75,20 +77,22 @@ def market_quality(status: DataFrame, *, stale_s: int = 8, lag_ms: int = 3000) -
     return status.withColumn("badges", F.array_compact(flags))
 
 
-def clock_jumps(frames: DataFrame, *, keys: list[str] = ["session"], threshold_ns: int = 1_000_000_000) -> DataFrame:  # noqa: B006
-    w = Window.partitionBy(*keys).orderBy("frame_seq")
-    jump = clock_jump(F.lag("receive_ts_ns").over(w), F.col("receive_ts_ns"), F.lag("monotonic_ns").over(w), F.col("monotonic_ns"), threshold_ns)
-    return frames.withColumn("jump_ns", jump).where("jump_ns is not null")
+def clock_jumps(frames: DataFrame, *, keys: list[str] = ["session"], threshold_ns: int = 1_000_000_000, block: int = 100_000) -> DataFrame:  # noqa: B006
+    """Frames whose wall clock ran off since the frame before; sessions are read in blocks of frame numbers."""
+    names = frames.columns
+    pairs = following(frames, keys, [], names, time="frame_seq", block=block).where("next_frame_seq is not null")
+    jump = clock_jump(F.col("receive_ts_ns"), F.col("next_receive_ts_ns"), F.col("monotonic_ns"), F.col("next_monotonic_ns"), threshold_ns)
+    return pairs.select(*[F.col(f"next_{c}").alias(c) for c in names], jump.alias("jump_ns")).where("jump_ns is not null")
 
 
 def histogram(rows: DataFrame, value: str, bounds: list[float], *, keys: list[str]) -> DataFrame:
-    """Cumulative counts by upper bound, the last one infinite; counts of several inputs can be added."""
-    upper = F.array(*[F.lit(float(b)) for b in bounds], F.lit(float("inf")))
-    hit = F.array_min(F.filter(upper, lambda b: b >= F.col(value).cast("double")))
-    own = rows.groupBy(*keys, hit.alias("le")).agg(F.count(F.lit(1)).alias("n"))
-    grid = own.select(*keys).distinct().select(*keys, F.explode(upper).alias("le"))
-    w = Window.partitionBy(*keys).orderBy("le").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return grid.join(own, [*keys, "le"], "left").select(*keys, "le", F.sum(F.coalesce("n", F.lit(0))).over(w).alias("cumulative"))
+    """Cumulative counts by upper bound, the last one infinite; counts of several inputs can be added. One
+    aggregation; its row a key is then laid out by bound."""
+    v = F.col(value).cast("double")
+    every = [*map(float, bounds), float("inf")]
+    sums = rows.groupBy(*keys).agg(*[F.count_if(v <= b).alias(f"__{k}") for k, b in enumerate(every)])
+    cells = F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"__{k}").alias("cumulative")) for k, b in enumerate(every)])
+    return sums.select(*keys, F.explode(cells).alias("__cell")).select(*keys, "__cell.*")
 
 
 def coverage(catalog: DataFrame, *, by: str = "symbol") -> DataFrame:

@@ -27,6 +27,24 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
     return out.select(*df.columns, *[(F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"__b_{n}"), F.lit(0))).alias(n) for n in sums])
 
 
+def following(df: DataFrame, keys: list[str], order: list[str], values: list[str], *, time: str = "sec", block: int = DAY) -> DataFrame:
+    """``df`` with ``next_<value>`` of the row after each one in the order of (``time``, ``order``): that
+    of its block, or the first row of the key's next block. Null behind a key's last row."""
+    rows = df.withColumn("__block", F.floor(F.col(time) / block).cast("long"))
+    held = F.struct(*[F.col(v).alias(v) for v in values])
+    firsts = rows.groupBy(*keys, "__block").agg(F.min_by(held, F.struct(time, *order)).alias("__first"))
+    after = firsts.select(*keys, "__block", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__block")).alias("__after"))
+    rows = rows.withColumn("__next", F.lead(held).over(Window.partitionBy(*keys, "__block").orderBy(time, *order)))
+    out = rows.join(after, [*keys, "__block"]).withColumn("__next", F.coalesce("__next", "__after"))
+    return out.select(*df.columns, *[F.col(f"__next.{v}").alias(f"next_{v}") for v in values])
+
+
+def ranks(df: DataFrame, keys: list[str], order: str, *, block: int = 100_000) -> DataFrame:
+    """``df`` with ``__rank`` (from 1) in the order of a number and the key's row count ``__n``."""
+    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return running_sums(df, keys, [], {"__rank": F.lit(1)}, time=order, block=block).join(totals, keys)
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], *, time: str = "sec", tie: str | None = None, block: int = DAY) -> DataFrame:
     """``left`` with the ``values`` of the last ``right`` row of its key at or before its time (the
     largest ``tie`` of equal times). Null where there is none. No side is broadcast and no pairs are

@@ -36,7 +36,7 @@ def query(columns: str, views: str = "tape", sql: str | None = None):
         if sql:
             kind = {"d": "round({0}::double, 6) as {0}", "l": "{0}::bigint as {0}", "": "{0}"}
             out = ", ".join(kind[k].format(n) for n, _, k in (x.partition(":") for x in columns.split()))
-            _oracle[f.__name__] = f"with {', '.join(SQL[v] for v in views.split())}, {sql} select {out} from q"
+            _oracle[f.__name__] = f"with recursive {', '.join(SQL[v] for v in views.split())}, {sql} select {out} from q"
         return f
 
     return add
@@ -256,7 +256,9 @@ def discrepancy_history(spark, sf_dir):
     return cross_venue.discrepancy_history(bars.venue_lines(tape(spark, sf_dir), HOUR), HOUR)
 
 
-@query("instrument time:l bps:d")
+@query("instrument time:l bps:d", sql=HELD + ", " + SPREAD.format("h") + f""", o as (select *, row_number() over (partition by instrument order by time) as n from h where bps >= 5000),
+  r as (select instrument, n, time, bps, time as last, true as alert from o where n = 1 union all select o.instrument, o.n, o.time, o.bps, case when o.time - r.last >= {6 * HOUR} then o.time else r.last end, o.time - r.last >= {6 * HOUR} from r join o on o.instrument = r.instrument and o.n = r.n + 1),
+  q as (select * from r where alert)""")
 def discrepancy_alerts(spark, sf_dir):
     history = cross_venue.discrepancy_history(bars.venue_lines(tape(spark, sf_dir), HOUR), HOUR)
     return sampling.alerts(history, 5000, 6 * HOUR, keys=["instrument"])
