@@ -85,3 +85,14 @@ def zero_filled(bars: DataFrame, step: int, *, keys: list[str] = KEYS) -> DataFr
     rows = bars.select(*keys, "time", "volume", F.coalesce(after - step, F.col("time")).alias("__to"))
     grid = rows.select(*keys, "time", "volume", F.explode(F.sequence("time", "__to", F.lit(step))).alias("at"))
     return grid.select(*keys, F.col("at").alias("time"), F.when(F.col("at") == F.col("time"), F.col("volume")).otherwise(0).alias("volume"))
+
+
+def zero_filled_flow(trades: DataFrame, *, keys: list[str] = KEYS, slack: int = 2) -> DataFrame:
+    """Turnover bought, and sold as a negative, by second; the seconds of gaps over ``slack`` as zeros."""
+    buy, sell = (F.sum(F.when(F.col("aggressor") == side, notional()).otherwise(0)).cast("double") for side in ("buy", "sell"))
+    rows = trades.groupBy(*keys, F.col("sec").alias("time")).agg(buy.alias("buy_usd"), (F.lit(0.0) - sell).alias("sell_usd"))
+    after = F.lead("time").over(Window.partitionBy(*keys).orderBy("time"))
+    rows = rows.withColumn("__to", F.when(after - F.col("time") > slack, after - 1).otherwise(F.col("time")))
+    grid = rows.select("*", F.explode(F.sequence("time", "__to", F.lit(1).cast("long"))).alias("at"))
+    own = lambda c: F.when(F.col("at") == F.col("time"), F.col(c)).otherwise(0.0).alias(c)
+    return grid.select(*keys, F.col("at").alias("time"), own("buy_usd"), own("sell_usd"))

@@ -101,3 +101,26 @@ def slots(levels: DataFrame, n: int, *, keys: list[str] = BOOK) -> DataFrame:
     books = levels.select(*keys).distinct()
     grid = books.select(*keys, F.explode(F.array(F.lit("bid"), F.lit("ask"))).alias("side")).select(*keys, "side", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("level"))
     return grid.join(ladder(levels, n, keys=keys), [*keys, "side", "level"], "left")
+
+
+def book_imbalance(levels: DataFrame, depth: int = 10, *, keys: list[str] = BOOK) -> DataFrame:
+    """The imbalance of turnover within ``depth`` levels; null for an empty book."""
+    p = pressure(levels, depth, keys=keys)
+    return p.select(*keys, F.when(F.col("bid_usd") + F.col("ask_usd") > 0, F.col("imbalance_percent")).alias("imbalance_percent"))
+
+
+def resolved_tick(levels: DataFrame, wanted: DataFrame, *, keys: list[str] = BOOK) -> DataFrame:
+    """(keys, tick): the wanted positive tick of a book, else the inferred one."""
+    given = wanted.select(*keys, F.when(F.col("tick") > 0, F.col("tick").cast("double")).alias("__given"))
+    return inferred_tick(levels, keys=keys).join(given, keys, "left").select(*keys, F.coalesce("__given", "tick").alias("tick"))
+
+
+def quotes_of(folded: DataFrame) -> DataFrame:
+    """A quote for each applied update of a valid book that has both sides."""
+    good = folded.where("validity = 'valid' and reason = '' and best_bid is not null and best_ask is not null")
+    return good.select("book", "ord", F.col("best_bid").alias("bid_price"), F.col("best_ask").alias("ask_price"))
+
+
+def level_operation(quantity: Column) -> Column:
+    """What a level's new quantity asks for: delete at 0, else upsert."""
+    return F.when(quantity == 0, "delete").otherwise("upsert")

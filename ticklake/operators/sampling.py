@@ -85,3 +85,20 @@ def moving_average(points: DataFrame, alpha: float, *, keys: list[str], value: s
 
     schema = points.withColumn("ema", F.lit(0.0)).schema
     return points.repartition(*keys).sortWithinPartitions(*keys, time).mapInPandas(run, schema)
+
+
+def indicator_pane(points: DataFrame, *, keys: list[str], value: str, window: int, step: int = 1, time: str = "time", most: int = 900) -> DataFrame:
+    """A measure held between its points and thinned for a chart of ``window`` seconds."""
+    from .windows import step_hold
+
+    return for_chart(step_hold(points, keys, value, time=time, step=step), window, keys=keys, most=most, time=time)
+
+
+def compacted_depth(history: DataFrame, *, keys: list[str], most: int = 1800, recent_ms: int = 60_000, mid_ms: int = 300_000) -> DataFrame:
+    """Depth samples (keys, t, ...) thinned by age to the last of each 250 ms, second or five seconds, the
+    newest ``most`` times of each key."""
+    from .windows import top
+
+    times = history.select(*keys, "t").distinct().withColumn("sample_t", F.col("t"))
+    kept = by_age(times, keys=keys, time="t", recent=recent_ms, mid=mid_ms, steps=(250, 1000, 5000)).select(*keys, F.col("sample_t").alias("t"))
+    return history.join(top(kept, keys, most, F.desc("t")), [*keys, "t"], "left_semi")

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import bars, books, sampling
+from ..sources.accounts import account_events
 from ..sources.more_venues import bind_channels
-from ..sources.tables import read_table, trades
+from ..sources.tables import book_levels, depth_history, read_table, trades
 from ..sources.venues import normalize
 from ..streaming.books import fold_books, fold_sessions
 from .catalog import query
@@ -119,3 +121,48 @@ def books_without_numbers(spark, sf_dir):
   q as (select session, n as ord, case when since is not null then case when since = holes then 'valid' else 'invalid' end when holes > first_holes then 'invalid' else 'uninitialized' end as validity from s)""")
 def session_fold(spark, sf_dir):
     return fold_sessions(_updates(spark, sf_dir).withColumn("last_seq", F.floor(F.col("ord") / 3).cast("long")))
+
+
+@query("event_id:l kind symbol order_id status price:d quantity:d filled:d fee:d", sql="""t as (select * from trades where aggressor <> 'unknown'), q as (
+  select event_id, 'order' as kind, 'BTCUSDT' as symbol, event_id::varchar as order_id, 'PARTIALLY_FILLED' as status, price, quantity + 1 as quantity, quantity as filled, null::double as fee from t
+  union all select event_id, 'fill', 'BTCUSDT', event_id::varchar, null, price + 1, quantity, null, 0.25 from t where aggressor = 'buy')""")
+def account_orders(spark, sf_dir):
+    rows = trades(spark, sf_dir).where("aggressor <> 'unknown'")
+    text = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    more = lambda c: (F.col(c) + 1).cast("decimal(18,2)").cast("string")
+    kind = F.when(F.col("aggressor") == "buy", "TRADE").otherwise("CANCELED")
+    value = F.format_string('{"e":"executionReport","E":1,"s":"BTCUSDT","c":"c","q":"%s","p":"%s","x":"%s","X":"PARTIALLY_FILLED","i":%d,"l":"%s","z":"%s","L":"%s","n":"0.25","t":5}', more("quantity"), text("price"), kind, "event_id", text("quantity"), text("quantity"), more("price"))
+    return account_events(rows.select("event_id", value.alias("value")), "binance")
+
+
+@query("venue instrument time:l open:d close:d volume:d buy_quantity:d sell_quantity:d", sql="""q as (select venue, instrument, sec - sec % 3600 as time, arg_min(price, (exchange_ts_ns, event_id)) as open, arg_max(price, (exchange_ts_ns, event_id)) as close, sum(quantity) as volume,
+  sum(case aggressor when 'buy' then quantity else 0 end) as buy_quantity, sum(case aggressor when 'sell' then quantity else 0 end) as sell_quantity from trades group by 1, 2, 3)""")
+def bars_without_unknown_sides(spark, sf_dir):
+    return bars.ohlcv(trades(spark, sf_dir), 3600, unknown="ignore")
+
+
+@query("venue instrument time:l volume:d buy_quantity:d sell_quantity:d buy_notional:d", sql="""q as (select venue, instrument, sec - sec % 3600 as time, sum(quantity) as volume, sum(quantity * case aggressor when 'buy' then 1 when 'sell' then 0 else 0.5 end) as buy_quantity,
+  sum(quantity * case aggressor when 'sell' then 1 when 'buy' then 0 else 0.5 end) as sell_quantity, sum(price * quantity * case aggressor when 'buy' then 1 when 'sell' then 0 else 0.5 end) as buy_notional from trades group by 1, 2, 3)""")
+def volume_bars(spark, sf_dir):
+    return bars.ohlcv(trades(spark, sf_dir), 3600, unknown="half")
+
+
+@query("venue instrument day:l time:l buy_usd:d sell_usd:d", sql="""f as (select venue, instrument, sec // 86400 as day, sec as time, sum(case aggressor when 'buy' then price * quantity else 0 end)::double as b, 0 - sum(case aggressor when 'sell' then price * quantity else 0 end)::double as s from trades group by 1, 2, 3, 4),
+  n as (select *, lead(time) over (partition by venue, instrument, day order by time) as after from f), g as (select *, unnest(range(time, case when after - time > 2 then after else time + 1 end)) as at_ from n),
+  q as (select venue, instrument, day, at_ as time, case when at_ = time then b else 0 end as buy_usd, case when at_ = time then s else 0 end as sell_usd from g)""")
+def zero_filled_flow(spark, sf_dir):
+    days = trades(spark, sf_dir).withColumn("day", F.floor(F.col("sec") / 86_400).cast("long"))
+    return bars.zero_filled_flow(days, keys=["venue", "instrument", "day"])
+
+
+@query("book_id:l imbalance_percent:d", "book", sql="""r as (select * from book where quantity > 0 and book_id % 3 > 0 qualify row_number() over (partition by book_id, side order by case side when 'bid' then -price else price end) <= 10),
+  s as (select book_id, coalesce(sum(price * quantity) filter (where side = 'bid'), 0)::double as b, coalesce(sum(price * quantity) filter (where side = 'ask'), 0)::double as a from r group by 1), q as (select book_id, case when a + b > 0 then (b - a) / (a + b) * 100 end as imbalance_percent from s)""")
+def book_imbalance(spark, sf_dir):
+    return books.book_imbalance(book_levels(spark, sf_dir).where("book_id % 3 > 0"))
+
+
+@query("book_id:l t:l levels:l", "depth", sql="""x as (select book_id, max(t) as tip from depth group by 1), d as (select distinct book_id, t from depth), a as (select d.book_id, t, case when t >= tip - 6000 then 250 when t >= tip - 12000 then 1000 else 5000 end as w from d join x using (book_id)),
+  k as (select book_id, w, t - t % w as bucket, max(t) as t from a group by 1, 2, 3), n as (select book_id, t from k qualify row_number() over (partition by book_id order by t desc) <= 20), q as (select book_id, t, count(*) as levels from depth semi join n on depth.book_id = n.book_id and depth.t = n.t group by 1, 2)""")
+def compacted_depth(spark, sf_dir):
+    kept = sampling.compacted_depth(depth_history(spark, sf_dir), keys=["book_id"], most=20, recent_ms=6000, mid_ms=12_000)
+    return kept.groupBy("book_id", "t").agg(F.count(F.lit(1)).alias("levels"))
