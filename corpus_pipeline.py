@@ -1,5 +1,11 @@
 """A training corpus from raw documents: toxic documents go, repeated lines go, one document of each
-near-duplicate group stays, documents that hold benchmark items go, and the rest is encoded."""
+near-duplicate group stays, documents that hold benchmark items go, and the rest is encoded.
+
+Stages keep all columns of their input, whatever their names. Null and empty texts pass every stage (a
+null text scores as an empty one, has one empty line, no shingle and no item, and encodes to the begin
+and end ids); rows without an id pass too. Repeated rows stay or go together, except that near_dup keeps
+all rows of the document it keeps. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +28,8 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, fitted on the labelled ones outside the held-out fold, lets pass."""
+    """Documents that the model, fitted on the labelled ones outside the held-out fold, lets pass; all of
+    them where there are no labels of both classes."""
     model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
     return score(docs, model).where("predicted = 0").select(*docs.columns)
 
@@ -40,10 +47,12 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item: under four fifths of each one's shingles."""
     return without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a document: its ids, how many there are, and hashes of them and of the decoded text."""
     return encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
 
 
