@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklake.llm.common import drop_path, drop_written, scratch_root, scratch_scope, table
@@ -27,17 +27,28 @@ from ticklake.llm.toxicity import fit, score, training_rows
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """All columns but the text as one, beside id and text: no operator's column meets one of theirs."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "doc_id", "text")
+
+
+def _unpacked(rows: DataFrame, like: DataFrame, **new: Column) -> DataFrame:
+    new = {"text": F.col("text"), **new}
+    return rows.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in like.columns])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted on the labelled ones outside the held-out fold, lets pass; all of
     them where there are no labels of both classes."""
     model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
-    return score(docs, model).where("predicted = 0").select(*docs.columns)
+    return _unpacked(score(_packed(docs), model).where("predicted = 0"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that a smaller document holds; all documents stay."""
-    out = dedup_lines(docs).withColumn("text", F.col("kept_text"))
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = dedup_lines(_packed(docs))
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("doc")["n_chars"])
+    return _unpacked(out, docs, text=F.col("kept_text"), n_chars=n_chars)
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
