@@ -116,3 +116,17 @@ def members(packed, inside: bool = True):
                 yield batch.filter(pa.array(has(packed.value, pairs(batch.column(0).to_numpy())) == inside))
 
     return run
+
+
+def outside(packed, work):
+    """A mapInArrow function: ``work`` on the rows whose first column isn't in a filter, with that column
+    gone and one of nulls behind the others. One Python worker does both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rest() -> Iterator[pa.RecordBatch]:
+            for batch in members(packed, False)(batches):
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.nulls(batch.num_rows)], [*batch.schema.names[1:], "none"])
+
+        yield from work(rest())
+
+    return run

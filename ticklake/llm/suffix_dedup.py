@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, table, written
-from .filters import NOTED, bits_for, filter_of, gathered, has, members, noting, pairs
+from .filters import NOTED, bits_for, filter_of, gathered, has, members, noting, outside, pairs
 from .shingles import mix, parts_of, texts_of
 from .suffix_array import suffix_array
 
@@ -357,8 +357,8 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * keep_bytes
     row = f"r1 long, r2 long, key {kind}, text string"
     cut = source.mapInArrow(members(hit), row).join(marks, ["r1", "r2"], "left").select("key", "text", "marks")
-    whole = source.mapInArrow(members(hit, False), row).select("key", "text", F.lit(None).cast(cut.schema["marks"].dataType).alias("marks"))
-    return cut.mapInArrow(_cut(keep_bytes), schema).unionAll(whole.mapInArrow(_cut(keep_bytes), schema)).withColumnRenamed("key", key)
+    whole = source.select("r1", "key", "text").mapInArrow(outside(hit, _cut(keep_bytes)), schema)
+    return cut.mapInArrow(_cut(keep_bytes), schema).unionAll(whole).withColumnRenamed("key", key)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
