@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, pieces, table, written
-from .filters import NOTED, bits_for, filter_of, gathered, has, members, noting
+from .filters import NOTED, bits_for, filter_of, gathered, has, members, noting, outside
 
 SPACES = SPACE_BYTES.decode()
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -160,8 +160,8 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
     named = row.select(r1.alias("r1"), r2.alias("r2"), "row", "key", "text")
     kinds = f"r1 long, r2 long, row {row_type}, key {kind}, text string"
     joined = named.mapInArrow(members(hit), kinds).join(others, ["r1", "r2"], "left").select("row", "key", "text", "others")
-    rest = named.mapInArrow(members(hit, False), kinds).select("row", "key", "text", none)
-    return joined.mapInArrow(_rewrite(least, told), schema).unionAll(rest.mapInArrow(_rewrite(least, told), schema)).select(*columns)
+    rest = named.select("r1", "row", "key", "text").mapInArrow(outside(hit, _rewrite(least, told)), schema)
+    return joined.mapInArrow(_rewrite(least, told), schema).unionAll(rest).select(*columns)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
