@@ -15,13 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
+#: Bytes of an Arrow batch where the session says nothing else. An executor and its Python workers hold
+#: batches of each running task twice, so the usual 64 MB take much of a small executor.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
 _written: dict[str, list[str]] = defaultdict(list)
 _scope = [""]
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    if not spark.conf.get(BATCH, ""):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder every executor shares: ``spark.checkpoint.dir``. Only where it is unset and driver
     and executors are one process, as in tests, a temporary folder is made and set."""
+    _bound_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.split("[")[0] == "local":
@@ -67,7 +77,9 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
