@@ -24,8 +24,7 @@ _scope = [""]
 
 
 def _bound_batches(spark: SparkSession) -> None:
-    if not spark.conf.get(BATCH, ""):
-        spark.conf.set(BATCH, str(BATCH_BYTES))
+    spark.conf.set(BATCH, spark.conf.get(BATCH, str(BATCH_BYTES)))  # what the session has set stays
 
 
 def scratch_root(spark: SparkSession) -> str:
