@@ -57,9 +57,10 @@ def test_near_pairs_of_a_trie():
     assert got == near_by_pairs(long)
 
 
-@pytest.mark.parametrize("most", [1, 7, 50, 4000])
-def test_near_words_of_any_cut(spark, most):
+@pytest.mark.parametrize(("most", "told"), [(1, 100_000), (7, 0), (50, 100_000), (4000, 0)])
+def test_near_words_of_any_cut(spark, most, told, monkeypatch):
     """However finely the trie is cut, and whatever part of its words share a start."""
+    monkeypatch.setattr(spelling, "TOLD", told)
     rnd = random.Random(most)
     words = {("hotstart" if rnd.random() < 0.4 else "") + "".join(rnd.choices("abé", k=rnd.randrange(1, 8))) for _ in range(300)}
     df = spark.createDataFrame([(w, 5) for w in words], "word string, n long")
@@ -171,13 +172,18 @@ def test_alignment_of_real_rows(spark, sf_dir):
     assert got == {(r.doc_id, *x) for r, x in zip(docs, plain_alignment([r.text for r in docs]))}
 
 
-def test_long_texts_are_encoded_in_parts(monkeypatch):
+def test_chunks_join_to_whole_texts(monkeypatch):
+    """Chunks at single spaces give the ids of the whole text, however few are remembered."""
+    rnd = random.Random(4)
+    words = ["it's", "Wörter", "of", "12", "北京", "'re", "a-b", "  two", "\n", "end.", "x" * 30, "\u00a0", "\x1c", "\x85", "١٢", "e\u0301", "<|endoftext|>", "\u2003y", "don 't"]
+    texts = [" ".join(rnd.choices(words, k=rnd.randrange(1, 60))) for _ in range(200)] + [None, ""]
     own = token_alignment.Aligner(*FILES)
-    text = " ".join(random.Random(4).choices(["it's", "Wörter", "of", "12", "北京", "'re", "a-b", "  two", "\n", "end.", "x" * 30], k=3000))
-    whole = own.encode(text)
-    for part in (1, 7, 100, 5000):
-        monkeypatch.setattr(token_alignment, "PART", part)
-        assert own.encode(text) == whole
+    for most in (100_000, 3):
+        monkeypatch.setattr(token_alignment, "MEMO", most)
+        for text, ids in zip(texts, own.encode(texts)):
+            assert (ids is None) == (not text)
+            if text:
+                assert ids[0].tolist() == own.side_a.encode(" " + text, add_special_tokens=False).ids and ids[1].tolist() == own.side_b.encode(text)
 
 
 def test_groups_and_counts(spark):

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import pieces, table, written
 
 LEAST_LENGTH, LEAST_COUNT, TIMES = 6, 5, 5
-#: Words of one part of the trie at most, words whose parts a task walks together, and words a task counts before it sends them on.
-MOST, TOGETHER, COUNTED = 4_000, 16_000, 200_000
+#: Words of one part of the trie at most, words whose parts a task walks together, words a task counts before it sends them on,
+#: and shared prefixes that tasks are told of (more are joined by shuffle).
+MOST, TOGETHER, COUNTED, TOLD = 4_000, 16_000, 200_000, 100_000
 #: Letters of words (fixed values), of which every 199th run in a document loses one.
 LETTERS = "a-zÀ-ÿ"
 LOST = 199
@@ -79,8 +80,14 @@ def with_cuts(words: DataFrame, most: int = MOST) -> DataFrame:
     depths = F.array(*map(F.lit, DEPTHS))
     prefixes = words.select("word", F.explode(F.filter(depths, lambda d: d <= F.length("word"))).alias("depth"))
     prefixes = prefixes.withColumn("prefix", F.expr("substring(word, 1, depth)"))
-    shared = prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("prefix")
-    deepest = prefixes.join(shared, "prefix", "left_semi").groupBy("word").agg(F.max("depth").alias("depth"))
+    shared = written(prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("prefix"), "prefixes")
+    if shared.count() <= TOLD:
+        on, shared = ["prefix"], F.broadcast(shared)
+    else:  # each of them is a hot key by what it is
+        on, salts = ["prefix", "salt"], F.lit(64)
+        prefixes = prefixes.withColumn("salt", F.pmod(F.xxhash64("word"), salts).cast("int"))
+        shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    deepest = prefixes.join(shared, on, "left_semi").groupBy("word").agg(F.max("depth").alias("depth"))
     after = F.element_at(depths, (F.array_position(depths, F.coalesce("depth", F.lit(0))) + 1).cast("int"))
     return words.join(deepest, "word", "left").select("word", "n", after.alias("cut"))
 

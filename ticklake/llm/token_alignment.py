@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import pieces, table, written
 
-#: Bytes of texts that are aligned at a time (or one text), and code points of a text that are encoded at a time.
-RUN, PART = 1 << 20, 1 << 20
-#: Where both tokenizers start anew whatever stands before: one space between two other characters.
+#: Code points of texts that are aligned at a time (or one text), and chunks of text that a worker remembers (about 40 MB).
+RUN, MEMO = 1 << 20, 100_000
+#: Where both tokenizers start anew whatever stands before: one space between two other characters. Chunks between recur.
 SEAM = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 _aligners: dict[tuple[str, str], Aligner] = {}
 
@@ -99,6 +99,7 @@ class Aligner:
         self.pairs = self._pairs()
         self.best_of = (self.pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self._decimal: list[str] = []
+        self.memo: dict[str, tuple[bytes, bytes] | None] = {}
 
     def _pairs(self) -> np.ndarray:
         """All pairs (a << 32 | b, ascending) of which one's bytes are a suffix of the other's."""
@@ -110,24 +111,32 @@ class Aligner:
         found |= {a << 32 | b for b, x in enumerate(self.b_bytes) for k in range(len(x)) for a in by_a.get(x[k:], ())}
         return np.array(sorted(found), np.uint64)
 
-    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
-        """Ids of both sides, or None where there is no text or their bytes aren't a space and the text."""
-        if not text:
-            return None
-        a, b, at = [], [], 0
-        while at < len(text):
-            seam = SEAM.search(text, at + PART) if len(text) - at > PART else None
-            part = text[at : seam.start()] if seam else text[at:]
-            a += self.side_a.encode(" " + part, add_special_tokens=False).ids
-            b += self.side_b.encode(part)
-            at = seam.end() if seam else len(text)
-        whole = b" " + text.encode()
-        same = all(b"".join(map(v.__getitem__, ids)) == whole for v, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-        return (a, b) if same else None
-
-    def align(self, encoded: list[tuple[list[int], list[int]]]) -> Run:
+    def _remember(self, chunks: set[str]) -> None:
+        """Ids of both sides for each chunk; None where their bytes aren't a space and the chunk."""
+        missing = [c for c in chunks if c not in self.memo]
+        if len(self.memo) + len(missing) > MEMO:
+            self.memo.clear()
+            missing = list(chunks)
+        sides = self.side_a.encode_batch([" " + c for c in missing], add_special_tokens=False), self.side_b.encode(missing)
+        for chunk, a, b in zip(missing, (x.ids for x in sides[0]), sides[1]):
+            whole = b" " + chunk.encode()
+            same = all(b"".join([v[i] for i in ids]) == whole for v, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+            self.memo[chunk] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both sides for each text, or None where there is no text or their bytes aren't a space
+        and the text."""
+        chunks = [SEAM.split(t) if t else [] for t in texts]
+        self._remember({c for x in chunks for c in x})
+        out = []
+        for x in chunks:
+            known = [self.memo[c] for c in x]
+            out.append(tuple(np.frombuffer(b"".join([k[side] for k in known]), "<u4") for side in (0, 1)) if x and None not in known else None)
+        return out
+
+    def align(self, encoded: list[tuple[np.ndarray, np.ndarray]]) -> Run:
         """Texts side by side: each ends at a shared cut, so no group crosses from one to the next."""
-        a, b = (np.array([i for x in encoded for i in x[k]], np.int64) for k in (0, 1))
+        a, b = (np.concatenate([x[side] for x in encoded]).astype(np.int64) for side in (0, 1))
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         size = int(a_ends[-1])
         a_bits, b_bits = bitset(a_ends - 1, size), bitset(b_ends - 1, size)
@@ -182,8 +191,8 @@ def align_texts(df: DataFrame, a_path: str, b_path: str, *, key: str = "doc_id",
 
     Null and empty texts, and those whose tokens don't join to a space and the text, have no tokens:
     zeros and an empty hash. Repeated rows and null keys give a row each; other columns don't matter.
-    Long texts are encoded in parts cut at single spaces, where both tokenizers start anew; a text
-    without any is encoded whole. Rows stay where they are: no shuffle.
+    Texts are encoded in chunks cut at single spaces, where both tokenizers start anew, and recurring
+    chunks once; a text without such spaces is encoded whole. Rows stay where they are: no shuffle.
     """
     more = ", groups string, cuts array<long>" if keep_groups else ""
     schema = f"`{key}` {dict(df.dtypes)[key]}, n_a long, n_b long, n_groups long, groups_sha256 string, links binary{more}"
@@ -195,7 +204,7 @@ def align_texts(df: DataFrame, a_path: str, b_path: str, *, key: str = "doc_id",
             n = {c: np.zeros(len(texts), np.int64) for c in ("n_a", "n_b", "n_groups")}
             hashes, links, groups, cuts = [""] * len(texts), [b""] * len(texts), [""] * len(texts), [[]] * len(texts)
             for rows in _runs(texts):
-                encoded = {row: ids for row in rows if (ids := own.encode(texts[row]))}
+                encoded = {row: ids for row, ids in zip(rows, own.encode([texts[row] for row in rows])) if ids}
                 if not encoded:
                     continue
                 aligned = own.align(list(encoded.values()))
@@ -211,6 +220,7 @@ def align_texts(df: DataFrame, a_path: str, b_path: str, *, key: str = "doc_id",
             if keep_groups:
                 columns, names = [*columns, pa.array(groups, pa.string()), pa.array(cuts, pa.list_(pa.int64()))], [*names, "groups", "cuts"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        own.memo.clear()
 
     return df.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
