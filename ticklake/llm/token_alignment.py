@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces, table, written
 
-#: Code points of texts that are aligned at a time (or one text), and chunks of text that a worker remembers (about 60 MB).
+#: Code points of texts that are aligned at a time (or one text), and chunks of text that a worker remembers, but for those of one run (about 60 MB).
 RUN, MEMO = 1 << 20, 200_000
 #: Where both tokenizers start anew whatever stands before: one space between two other characters. Chunks between recur.
 SEAM = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
@@ -101,6 +101,7 @@ class Aligner:
         self.best_of = (self.pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self._decimal: list[str] = []
         self.memo: dict[str, tuple[bytes, bytes] | None] = {}
+        self.old = self.memo
 
     def _pairs(self) -> np.ndarray:
         """All pairs (a << 32 | b, ascending) of which one's bytes are a suffix of the other's."""
@@ -113,11 +114,16 @@ class Aligner:
         return np.array(sorted(found), np.uint64)
 
     def _remember(self, chunks: set[str]) -> None:
-        """Ids of both sides for each chunk; None where their bytes aren't a space and the chunk."""
-        missing = [c for c in chunks if c not in self.memo]
-        if len(self.memo) + len(missing) > MEMO:
-            self.memo.clear()
-            missing = list(chunks)
+        """Ids of both sides for each chunk; None where their bytes aren't a space and the chunk. What was
+        met since the memo last filled up, and what it held then, is known."""
+        if len(self.memo) > MEMO // 2:
+            self.old, self.memo = self.memo, {}
+        missing = []
+        for chunk in chunks.difference(self.memo):
+            if chunk in self.old:
+                self.memo[chunk] = self.old[chunk]
+            else:
+                missing.append(chunk)
         sides = self.side_a.encode_batch([" " + c for c in missing], add_special_tokens=False), self.side_b.encode(missing)
         a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         for chunk, a, b in zip(missing, [x.ids for x in sides[0]], sides[1]):
@@ -222,7 +228,6 @@ def align_texts(df: DataFrame, a_path: str, b_path: str, *, key: str = "doc_id",
             if keep_groups:
                 columns, names = [*columns, pa.array(groups, pa.string()), pa.array(cuts, pa.list_(pa.int64()))], [*names, "groups", "cuts"]
             yield pa.RecordBatch.from_arrays(columns, names)
-        own.memo.clear()
 
     return df.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
