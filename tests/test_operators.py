@@ -207,31 +207,6 @@ def test_stream_bars_equal_batch(spark, tmp_path):
 # sources
 
 
-def test_segments(spark, tmp_path):
-    rows = [(7, 2**63 + 1, 10, 5, "inbound", "text", 0, b'{"a":1}'), (7, 2, 11, 6, "outbound", "ping", 1, b""), (7, 3, 12, 7, "inbound", "subscription", 0, b"x" * 5000)]
-    data = records.write_segment(rows)
-    (tmp_path / "a.bin").write_bytes(data)
-    (tmp_path / "b.bin").write_bytes(data[:-10])  # cut off by a crash
-    got = records.read_segments(spark, str(tmp_path)).orderBy("path", "index").collect()
-    assert [(int(r.session), int(r.frame_seq), r.receive_ts_ns, int(r.monotonic_ns), r.direction, r.opcode, r["flags"], bytes(r.payload)) for r in got] == rows + rows[:2]
-    assert records.replayable(records.read_segments(spark, str(tmp_path))).count() == 3
-    with pytest.raises(ValueError, match="checksum"):
-        list(records.segment_records(data[:-1] + b"!"))
-    with pytest.raises(ValueError, match="header"):
-        list(records.segment_records(records.write_segment(rows, version=1)))
-
-
-def test_record_files(spark, tmp_path):
-    parts = [b'{"a":1}', b"{}"]
-    (tmp_path / "x.rec").write_bytes(b"".join(struct.pack("<I", len(p)) + p for p in parts))
-    assert [r.value for r in records.read_length_prefixed(spark, str(tmp_path / "x.rec")).orderBy("index").collect()] == ['{"a":1}', "{}"]
-    spill = records.SPILL_MAGIC + b"".join(struct.pack("<BI", 1 + i, len(p)) + p for i, p in enumerate(parts))
-    (tmp_path / "x.wal").write_bytes(spill + b"\x01\xff\x00")
-    assert [(r.tag, r.value) for r in records.read_spill(spark, str(tmp_path / "x.wal")).orderBy("index").collect()] == [(1, '{"a":1}'), (2, "{}")]
-    with pytest.raises(ValueError, match="truncated"):
-        list(records.length_prefixed(b"\x05\0\0\0ab"))
-
-
 def envelope(i, payload):
     return {"schema_version": 1, "venue_id": 2, "instrument_id": 3, "connection_id": 1, "session_id": 1, "frame_seq": i, "event_index": 0, "receive_ts": {"ns": i * 10**12}, "flags": 0, "payload": payload}
 

@@ -169,7 +169,8 @@ def _confirmed(framing: Framing, part_bytes: int):
 
 
 def read_framed(spark: SparkSession, path: str, framing: Framing, schema: str, *, part_bytes: int = PART) -> DataFrame:
-    """Records of all files below ``path``: ``path``, ``index`` (in the file) and the framing's columns."""
+    """Records of all files below ``path``: ``path``, ``index`` (in the file) and the framing's
+    columns. Empty files have none."""
     names = ["path", "index", *framing.columns]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
@@ -199,8 +200,11 @@ def read_framed(spark: SparkSession, path: str, framing: Framing, schema: str, *
 
     if urlsplit(path).scheme not in OPENED | {""}:
         return files.select("path", "content").mapInArrow(whole, f"path string, index long, {schema}")
-    sized = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / part_bytes))).alias("part"))
-    tasks = max(1, sized.count())
+    last = F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / part_bytes)
+    found = files.agg(F.sum(last + 1).alias("parts"), F.sum("length").alias("bytes")).first()
+    at_once = max(spark.sparkContext.defaultParallelism, -(-(found["bytes"] or 0) // part_bytes))
+    tasks = max(1, min(found["parts"] or 0, at_once))  # small files share tasks
+    sized = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
     guessed = sized.select("path", "part").repartition(tasks, "path", "part").mapInArrow(_guessed(framing, part_bytes), PARTS)
     lists = guessed.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("part", "first", "stop", "records", "fault"))).alias("parts"))
     confirmed = lists.mapInArrow(_confirmed(framing, part_bytes), PARTS)
