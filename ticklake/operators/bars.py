@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket, buy_share, notional, sell_share
-from .windows import top
+from .windows import chunks, following, top
 
 KEYS = ["venue", "instrument"]
 
@@ -56,12 +56,13 @@ def window_stats(bars: DataFrame, window: int, *, keys: list[str] = KEYS) -> Dat
     )
 
 
-def high_volume_gate(bars: DataFrame, *, keys: list[str] = KEYS, rows: int = 24, times: float = 50.0) -> DataFrame:
+def high_volume_gate(bars: DataFrame, *, keys: list[str] = KEYS, rows: int = 24, times: float = 50.0, chunk: int = 100_000) -> DataFrame:
     """Whether a bar's turnover is ``times`` the mean of the bars before it (existing ones, ``rows`` at
-    most; fewer are flagged ``limited``)."""
-    prior = Window.partitionBy(*keys).orderBy("time").rowsBetween(-rows, -1)
+    most; fewer are flagged ``limited``). A key's bars are cut to chunks that see the ``rows`` before them."""
+    cut = chunks(bars.select(*keys, "time", "notional"), keys, "time", rows=max(chunk, rows), halo=rows, block=30 * 86_400)
+    prior = Window.partitionBy(*keys, "__chunk").orderBy("__rank").rowsBetween(-rows, -1)
     mean, n = F.avg(F.col("notional").cast("double")).over(prior), F.count(F.lit(1)).over(prior)
-    out = bars.select(*keys, "time", F.col("notional").cast("double").alias("notional"), mean.alias("prior_mean"), n.alias("prior_bars"))
+    out = cut.withColumns({"prior_mean": mean, "prior_bars": n}).where("__own").select(*keys, "time", F.col("notional").cast("double").alias("notional"), "prior_mean", "prior_bars")
     gate = F.coalesce((F.col("prior_mean") > 0) & (F.col("notional") >= F.col("prior_mean") * times), F.lit(False))
     return out.withColumn("high_volume", gate).withColumn("limited", F.col("prior_bars") < rows)
 
@@ -81,8 +82,8 @@ def merge_volume(bars: DataFrame, *, by: str = "instrument") -> DataFrame:
 def zero_filled(bars: DataFrame, step: int, *, keys: list[str] = KEYS) -> DataFrame:
     """Bars with the missing steps between a key's first and last as zeros: each bar makes the zeros
     up to the next."""
-    after = F.lead("time").over(Window.partitionBy(*keys).orderBy("time"))
-    rows = bars.select(*keys, "time", "volume", F.coalesce(after - step, F.col("time")).alias("__to"))
+    rows = following(bars.select(*keys, "time", "volume"), keys, [], ["time"], time="time", block=30 * 86_400)
+    rows = rows.withColumn("__to", F.coalesce(F.col("next_time") - step, F.col("time")))
     grid = rows.select(*keys, "time", "volume", F.explode(F.sequence("time", "__to", F.lit(step))).alias("at"))
     return grid.select(*keys, F.col("at").alias("time"), F.when(F.col("at") == F.col("time"), F.col("volume")).otherwise(0).alias("volume"))
 
@@ -91,7 +92,8 @@ def zero_filled_flow(trades: DataFrame, *, keys: list[str] = KEYS, slack: int =
     """Turnover bought, and sold as a negative, by second; the seconds of gaps over ``slack`` as zeros."""
     buy, sell = (F.sum(F.when(F.col("aggressor") == side, notional()).otherwise(0)).cast("double") for side in ("buy", "sell"))
     rows = trades.groupBy(*keys, F.col("sec").alias("time")).agg(buy.alias("buy_usd"), (F.lit(0.0) - sell).alias("sell_usd"))
-    after = F.lead("time").over(Window.partitionBy(*keys).orderBy("time"))
+    rows = following(rows, keys, [], ["time"], time="time")
+    after = F.col("next_time")
     rows = rows.withColumn("__to", F.when(after - F.col("time") > slack, after - 1).otherwise(F.col("time")))
     grid = rows.select("*", F.explode(F.sequence("time", "__to", F.lit(1).cast("long"))).alias("at"))
     own = lambda c: F.when(F.col("at") == F.col("time"), F.col(c)).otherwise(0.0).alias(c)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import running_last
+
 #: Holds in milliseconds before a flag turns on and off (fixed values).
 LIVE_HOLD, BADGE_HOLD = (1200, 3500), (4000, 6000)
 
@@ -47,26 +49,24 @@ def readiness(venues: DataFrame, *, process_live: Column, recording_healthy: Col
     return s.withColumn("ready", process_live & recording_healthy & F.col("required_live") & (F.col("live_sessions") >= least_sessions))
 
 
-def steadied(samples: DataFrame, *, keys: list[str], flag: str = "raw", time: str = "time_ms", hold: tuple[int, int] = LIVE_HOLD, initial: bool | None = None, tie: str | None = None) -> DataFrame:
+def steadied(samples: DataFrame, *, keys: list[str], flag: str = "raw", time: str = "time_ms", hold: tuple[int, int] = LIVE_HOLD, initial: bool | None = None, tie: str | None = None, block: int = 86_400_000) -> DataFrame:
     """``samples`` with ``shown``: the flag after holds. It turns once samples have disagreed with it for
     the hold of the new value; a sample that agrees cancels that. It starts as the first sample, or as
     ``initial``. Nulls are false; ``tie`` orders samples of one time.
 
     In a run of equal samples the shown flag can only become the run's value, at the first sample that is
-    its hold behind the run's start. So it is the value of the last run that lasted its hold, taken over
-    windows of a key in time order.
+    its hold behind the run's start. So it is the value of the last run that lasted its hold: three last
+    values over blocks of a key's line (the flag before, the run's start, the last sure value).
     """
-    raw = F.coalesce(F.col(flag), F.lit(False))
-    line = Window.partitionBy(*keys).orderBy(time, *[tie] * (tie is not None)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    order = Window.partitionBy(*keys).orderBy(time, *[tie] * (tie is not None))
-    rows = samples.withColumn("__raw", raw).withColumn("__new", F.coalesce(F.col("__raw") != F.lag("__raw").over(order), F.lit(True)))
-    rows = rows.withColumn("__start", F.last(F.when(F.col("__new"), F.col(time)), ignorenulls=True).over(line))
+    order = [tie] * (tie is not None)
+    last = lambda df, before=False, **values: running_last(df, keys, order, values, time=time, block=block, before=before)
+    rows = samples.withColumn("__raw", F.coalesce(F.col(flag), F.lit(False)))
+    rows = last(rows, before=True, __prior=F.col("__raw"))
+    rows = last(rows, __start=F.when(~F.col("__raw").eqNullSafe(F.col("__prior")), F.col(time)))
     held = F.col(time) - F.col("__start") >= F.when(F.col("__raw"), hold[0]).otherwise(hold[1])
-    first = F.row_number().over(order) == 1
-    sure = F.when(held | (first if initial is None else F.lit(False)), F.col("__raw"))
-    rows = rows.withColumn("__sure", sure)
-    shown = F.coalesce(F.last("__sure", ignorenulls=True).over(line), F.lit(bool(initial)))
-    return rows.withColumn("shown", shown).drop("__raw", "__new", "__start", "__sure")
+    first = F.col("__prior").isNull() if initial is None else F.lit(False)
+    rows = last(rows, __sure=F.when(held | first, F.col("__raw")))
+    return rows.withColumn("shown", F.coalesce("__sure", F.lit(bool(initial)))).drop("__raw", "__prior", "__start", "__sure")
 
 
 def steadied_badges(samples: DataFrame, *, keys: list[str], time: str = "time_ms", hold: tuple[int, int] = BADGE_HOLD) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import as_of, top
+from .windows import as_of, following, top
 
 BOOK = ["book_id"]
 
@@ -82,8 +82,8 @@ def filled_gaps(history: DataFrame, *, keys: list[str] = BOOK, step_ms: int = 42
     """Sample times with copies held every ``step_ms`` in gaps under ``longest_ms``, fewer than ``most``
     a gap: (keys, t, sample_t)."""
     times = history.select(*keys, "t").distinct()
-    after = F.lead("t").over(Window.partitionBy(*keys).orderBy("t"))
-    gap = after - F.col("t")
+    times = following(times, keys, [], ["t"], time="t", block=step_ms * 4096)
+    gap = F.col("next_t") - F.col("t")
     copies = F.when((gap > step_ms) & (gap < longest_ms), F.least(F.floor(gap / step_ms), F.lit(most)) - 1).otherwise(0).cast("long")
     rows = times.withColumn("__n", copies).select(*keys, F.col("t").alias("sample_t"), F.explode(F.sequence(F.lit(0).cast("long"), "__n")).alias("__k"))
     return rows.select(*keys, (F.col("sample_t") + F.col("__k") * step_ms).alias("t"), "sample_t")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import ranks
+from .windows import chunks, ranks
 
 
 def stride(points: DataFrame, most: int, *, keys: list[str], time: str = "time") -> DataFrame:
@@ -68,23 +69,70 @@ def alerts(points: DataFrame, threshold: float, cooldown: int, *, keys: list[str
     return throttled(points.where(F.col(value) > threshold), cooldown, keys=keys, time=time)
 
 
-def moving_average(points: DataFrame, alpha: float, *, keys: list[str], value: str, time: str = "time") -> DataFrame:
-    """``ema``: the exact recursion ema += alpha (x - ema) from the first value on; nulls change nothing."""
+def moving_average(points: DataFrame, alpha: float, *, keys: list[str], value: str, time: str = "time", rows: int = 100_000, block: int = 30 * 86_400) -> DataFrame:
+    """``ema``: the recursion ema += alpha (x - ema) from the first value on; nulls change nothing.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A stretch of m values takes any average e before it to (1 - alpha)^m e + b. So a key's line is cut into
+    chunks, each is summed up by its m, b and first value, averages before the chunks follow from the few
+    sums, and then each chunk runs from its own. Rows of one time have no order of their own.
+    """
+    cut = chunks(points, keys, time, rows=rows, block=block).drop("__own")
+    sums, names, given = [*keys, "__chunk"], cut.columns, points.columns
+    key_kinds = ", ".join(f"`{c}` {t}" for c, t in cut.select(*sums).dtypes)
+
+    def runs(batch: pd.DataFrame, by: list[str]) -> Iterator[tuple[tuple, int, int]]:
+        """(key, from, to) of neighbouring rows of one key."""
+        new = (batch[by] != batch[by].shift()).any(axis=1).to_numpy()
+        starts = np.flatnonzero(new)
+        for a, b in zip(starts, [*starts[1:], len(batch)]):
+            yield tuple(batch[by].iloc[a]), int(a), int(b)
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, [0, 0.0, None]
+        for batch in batches:
+            out = []
+            for k, a, b in runs(batch, sums):
+                if k != key:
+                    if key is not None:
+                        out.append((*key, *held))
+                    key, held = k, [0, 0.0, None]
+                for x in batch[value].iloc[a:b].dropna().astype(float):
+                    held = [held[0] + 1, held[1] + alpha * (x - held[1]), x if held[2] is None else held[2]]
+            yield pd.DataFrame(out, columns=[*sums, "m", "b", "first"])
+        if key is not None:
+            yield pd.DataFrame([(*key, *held)], columns=[*sums, "m", "b", "first"])
+
+    def started(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, ema = None, None
         for batch in batches:
             out = []
-            for k, x in zip(batch[keys].itertuples(index=False, name=None), batch[value].astype(float)):
+            for *k, _, m, b, first in batch[[*sums, "m", "b", "first"]].itertuples(index=False, name=None):
                 if k != key:
                     key, ema = k, None
-                if x == x:
-                    ema = x if ema is None else ema + alpha * (x - ema)
                 out.append(ema)
-            yield batch.assign(ema=pd.Series(out, index=batch.index, dtype=float))
+                if m:
+                    ema = (1 - alpha) ** m * (first if ema is None else ema) + b
+            yield batch[sums].assign(__ema=pd.Series(out, index=batch.index, dtype=float))
 
-    schema = points.withColumn("ema", F.lit(0.0)).schema
-    return points.repartition(*keys).sortWithinPartitions(*keys, time).mapInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ema = None, None
+        for batch in batches:
+            out = np.full(len(batch), np.nan)
+            for k, a, b in runs(batch, sums):
+                if k != key:
+                    key, ema = k, batch["__ema"].iloc[a]
+                    ema = None if ema != ema or ema is None else ema
+                for i, x in enumerate(batch[value].iloc[a:b].astype(float).tolist(), a):
+                    if x == x:
+                        ema = x if ema is None else ema + alpha * (x - ema)
+                    out[i] = np.nan if ema is None else ema
+            yield batch[given].assign(ema=pd.Series(out, index=batch.index).astype(object).where(~np.isnan(out), None))
+
+    line = cut.select(*sums, "__rank", value).repartition(*sums).sortWithinPartitions(*sums, "__rank")
+    totals = line.mapInPandas(summed, f"{key_kinds}, m long, b double, first double")
+    starts = totals.repartition(*keys).sortWithinPartitions(*sums).mapInPandas(started, f"{key_kinds}, __ema double")
+    both = cut.join(starts, sums).select(*names, "__ema").repartition(*sums).sortWithinPartitions(*sums, "__rank")
+    return both.mapInPandas(run, points.withColumn("ema", F.lit(None).cast("double")).schema)
 
 
 def indicator_pane(points: DataFrame, *, keys: list[str], value: str, window: int, step: int = 1, time: str = "time", most: int = 900) -> DataFrame:

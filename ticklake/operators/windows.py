@@ -39,10 +39,33 @@ def following(df: DataFrame, keys: list[str], order: list[str], values: list[str
     return out.select(*df.columns, *[F.col(f"__next.{v}").alias(f"next_{v}") for v in values])
 
 
-def ranks(df: DataFrame, keys: list[str], order: str, *, block: int = 100_000) -> DataFrame:
-    """``df`` with ``__rank`` (from 1) in the order of a number and the key's row count ``__n``."""
+def ranks(df: DataFrame, keys: list[str], order: str, *, block: int = 100_000, ties: list[str] = []) -> DataFrame:  # noqa: B006
+    """``df`` with ``__rank`` (from 1) in the order of a number, then of the ties, and the key's row count ``__n``."""
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return running_sums(df, keys, [], {"__rank": F.lit(1)}, time=order, block=block).join(totals, keys)
+    return running_sums(df, keys, ties, {"__rank": F.lit(1)}, time=order, block=block).join(totals, keys)
+
+
+def running_last(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], *, time: str = "sec", block: int = DAY, before: bool = False) -> DataFrame:
+    """``df`` with the last value that isn't null of each column, of the rows up to each one (``before``: up to the
+    row before it) in the order of (``time``, ``order``). A block begins with the last values before it."""
+    rows = df.withColumns({f"__x_{n}": c for n, c in values.items()} | {"__block": F.floor(F.col(time) / block).cast("long")})
+    place = F.struct(time, *order)
+    ends = rows.groupBy(*keys, "__block").agg(*[F.max_by(f"__x_{n}", F.when(F.col(f"__x_{n}").isNotNull(), place)).alias(f"__e_{n}") for n in values])
+    line = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*keys, "__block", *[F.last(f"__e_{n}", ignorenulls=True).over(line).alias(f"__b_{n}") for n in values])
+    inside = Window.partitionBy(*keys, "__block").orderBy(time, *order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
+    rows = rows.withColumns({n: F.last(f"__x_{n}", ignorenulls=True).over(inside) for n in values}).join(starts, [*keys, "__block"])
+    return rows.select(*df.columns, *[F.coalesce(n, f"__b_{n}").alias(n) for n in values])
+
+
+def chunks(df: DataFrame, keys: list[str], order: str, *, rows: int, halo: int = 0, block: int = 100_000, ties: list[str] = []) -> DataFrame:  # noqa: B006
+    """``df`` cut to chunks of so many rows of a key each, in order: ``__rank``, ``__chunk``, and ``__own``, which is
+    false for the ``halo`` rows that a chunk has from the end of the one before it."""
+    ranked = ranks(df, keys, order, block=block, ties=ties).drop("__n")
+    place = F.col("__rank") - 1
+    chunk = F.floor(place / rows).cast("long")
+    both = F.when(place % rows >= rows - halo, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)) if halo else F.array(chunk)
+    return ranked.withColumn("__chunk", F.explode(both)).withColumn("__own", F.col("__chunk") == chunk)
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], *, time: str = "sec", tie: str | None = None, block: int = DAY) -> DataFrame:
@@ -74,10 +97,9 @@ def top(df: DataFrame, keys: list[str], n: int, *order: Column | str) -> DataFra
     return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).drop("__rank")
 
 
-def step_hold(points: DataFrame, keys: list[str], value: str, *, time: str = "sec", step: int = 1) -> DataFrame:
+def step_hold(points: DataFrame, keys: list[str], value: str, *, time: str = "sec", step: int = 1, block: int = DAY) -> DataFrame:
     """One row a step from a key's first to its last time, with the value held from the last point:
     each point is repeated up to the next one, so there is no grid to join."""
-    after = F.lead(time).over(Window.partitionBy(*keys).orderBy(time))
-    until = F.coalesce(after - step, F.col(time))
-    held = points.withColumn("__to", until).where(F.col("__to") >= F.col(time))
+    rows = following(points.select(*keys, time, value), keys, [], [time], time=time, block=block)
+    held = rows.withColumn("__to", F.coalesce(F.col(f"next_{time}") - step, F.col(time))).where(F.col("__to") >= F.col(time))
     return held.select(*keys, F.explode(F.sequence(F.col(time), F.col("__to"), F.lit(step))).alias(time), value)
