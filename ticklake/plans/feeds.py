@@ -68,7 +68,7 @@ def _events(spark, sf_dir, templates: dict[str, str]) -> DataFrame:
         raw = rows.select("event_id", F.lit(1).alias("session"), _filled(template).alias("value"))
         if venue == "bitfinex":
             acks = spark.createDataFrame([(-1, 1, x) for x in ACKS], "event_id long, session int, value string")
-            raw = bind_channels(raw.unionByName(acks)).where("event_id >= 0")
+            raw = bind_channels(raw.unionByName(acks), order="event_id").where("event_id >= 0")
         out.append(normalize(raw, venue, keep=("event_id",)).withColumn("venue", F.lit(venue)))
     return reduce(DataFrame.unionByName, out)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.windows import as_of
 from .venues import FIELDS, KEYED, event, ms, taker
 
 EVENTS = f"array<struct<{', '.join(f'{n}: {t}' for n, t in FIELDS.items())}>>"
@@ -145,19 +146,23 @@ def coinbase_intl(raw: Column) -> Column:
     )
 
 
-def bitfinex_channels(raw: DataFrame, *, value: str = "value", keys: list[str] = ["session"]) -> DataFrame:  # noqa: B006
-    """(keys, channel_id, channel, symbol) of the subscriptions that a venue acknowledged."""
+def bitfinex_channels(raw: DataFrame, *, value: str = "value", keys: list[str] = ["session"], order: str = "frame_seq") -> DataFrame:  # noqa: B006
+    """(keys, channel_id, order, channel, symbol, interval) of what a venue acknowledged, in its place: from there on a
+    number means that channel, or after an unsubscription none."""
     j = F.from_json(F.col(value), KEYED)
     key = F.split(j["key"], ":", 3)
+    on = lambda x: F.when(j["event"] == "subscribed", x)
     symbol = F.when(j["channel"] == "candles", F.get(key, F.lit(2))).otherwise(j["symbol"])
-    rows = raw.where(j["event"] == "subscribed").select(*keys, j["chanId"].cast("long").alias("channel_id"), j["channel"].alias("channel"), symbol.alias("symbol"), F.when(j["channel"] == "candles", F.lower(F.get(key, F.lit(1)))).alias("interval"))
-    return rows.groupBy(*keys, "channel_id").agg(F.max(F.struct("channel", "symbol", "interval")).alias("x")).select(*keys, "channel_id", "x.*")
+    interval = F.when(j["channel"] == "candles", F.lower(F.get(key, F.lit(1))))
+    return raw.where(j["event"].isin("subscribed", "unsubscribed")).select(*keys, j["chanId"].cast("long").alias("channel_id"), order, on(j["channel"]).alias("channel"), on(symbol).alias("symbol"), on(interval).alias("interval"))
 
 
-def bind_channels(raw: DataFrame, *, value: str = "value", keys: list[str] = ["session"]) -> DataFrame:  # noqa: B006
-    """Frames with the ``channel``, ``symbol`` and ``interval`` of their channel number, as ``bitfinex`` reads them."""
+def bind_channels(raw: DataFrame, *, value: str = "value", keys: list[str] = ["session"], order: str = "frame_seq", block: int = 100_000) -> DataFrame:  # noqa: B006
+    """Frames with the ``channel``, ``symbol`` and ``interval`` that their channel number had at their place in the session,
+    as ``bitfinex`` reads them. A number that is used again names later frames only."""
     number = F.get(F.from_json(F.col(value), "array<string>"), F.lit(0)).try_cast("long")
-    return raw.withColumn("channel_id", number).join(bitfinex_channels(raw, value=value, keys=keys), [*keys, "channel_id"], "left")
+    told = bitfinex_channels(raw, value=value, keys=keys, order=order)
+    return as_of(raw.withColumn("channel_id", number), told, [*keys, "channel_id"], ["channel", "symbol", "interval"], time=order, block=block)
 
 
 def bitfinex(raw: Column) -> Column:

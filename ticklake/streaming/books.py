@@ -2,9 +2,9 @@
 
 ``book_at`` is the distributed form: the last snapshot of a book and the later change of each level
 are two aggregations, so one busy book is many tasks. ``fold_books`` checks every update in order
-(continuity, crossing, scales, checksums), which is sequential by nature: rows of a book come sorted and
-pass through one state of bounded depth; no group is held. Deltas that come before their snapshot wait in a
-bounded buffer. ``stream_books`` runs the same fold on a stream.
+(continuity, crossing, scales, checksums). Its lines are cut at snapshots, and rows from one to the next
+come sorted and pass through one state of bounded depth; no group is held. Deltas that come before their
+snapshot wait in a bounded buffer. ``stream_books`` runs the same fold on a stream.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.windows import as_of, running_last, running_sums
+from ..sources.scratch import work_folder
+
 OUT = "book string, ord long, seq long, validity string, reason string, best_bid double, best_ask double, levels int"
 UPDATE = ["book", "ord", "snapshot", "first_seq", "last_seq", "previous_seq", "bids", "asks"]
 RULES = ("spanning", "previous", "plus_one", "at_most_next", "drop_stale", "replace", "checksum")
@@ -247,49 +250,111 @@ NAMES = [x.split()[0] for x in OUT.split(", ")]
 KINDS = {"seq": "Int64", "best_bid": float, "best_ask": float}
 
 
-def fold_books(updates: DataFrame, *, rule: str = "spanning", depth: int = 0, lenient: bool = False, price_scale: int | None = None, quantity_scale: int | None = None) -> DataFrame:
-    """One row an update: the book's state after it. Updates (UPDATE columns, ``checksum`` if there is
-    one; bids and asks are arrays of (price, quantity), as text or numbers) are taken in the order of
-    ``ord``; rows without a book are left out. Under ``spanning``, ``previous`` and ``plus_one`` deltas
-    without a valid book wait for its next snapshot. Scales: digits that a level may have."""
+_NONE = -(1 << 62)
+_FOLDED = f"session string, {OUT}, epoch long, waiting long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, book = None, None
+
+def _epochs(rows: DataFrame, keys: list[str], depth: int, scales: tuple[int | None, int | None], block: int) -> DataFrame:
+    """``epoch`` beside the updates: the ``ord`` of the last snapshot up to each one that any book would take. Behind it
+    nothing depends on what was before, but for deltas that waited for it."""
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys, "ord").dtypes)
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in _rows(batch):
-                if book is None or row["book"] != name:
-                    name, book = row["book"], Book(depth, price_scale, quantity_scale)
-                out.append(_report(name, row, book, step(book, row, rule, lenient)))
-            yield pd.DataFrame(out, columns=NAMES).astype(KINDS)
+            good = [Book(depth, *scales).snapshot(*_levels(r), None) is None for r in batch.to_dict("records")]
+            yield batch[[*keys, "ord"]][good].assign(epoch=batch["ord"][good])
 
-    return _checked(updates, rule).repartition("book").sortWithinPartitions("book", "ord").mapInPandas(run, OUT)
+    starts = rows.where("snapshot").select(*keys, "ord", "bids", "asks").mapInPandas(taken, f"{kinds}, epoch long")
+    return as_of(rows, starts, keys, ["epoch"], time="ord", block=block).withColumn("epoch", F.coalesce("epoch", F.lit(_NONE)))
 
 
-def fold_sessions(updates: DataFrame, *, depth: int = 0) -> DataFrame:
-    """As ``fold_books`` where one sequence (``last_seq``) runs through all books of a ``session``: a
-    break makes all of them invalid. A session's books are held together, its rows aren't."""
+def _folded(rows: DataFrame, rule: str, depth: int, lenient: bool, scales: tuple[int | None, int | None]) -> DataFrame:
+    """Every epoch by itself, a row an update; ``waiting`` on an epoch's last row: deltas that wait there. Rows have a session
+    and in ``breaks`` how often its numbers had broken by then; ``broken`` where they did just there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, last, books = None, None, {}
+        at, book, breaks, last = None, None, None, None
         for batch in batches:
             out = []
             for row in _rows(batch):
-                if row["session"] != session:
-                    session, last, books = row["session"], None, {}
-                book = books.setdefault(row["book"], Book(depth))
-                broken = last is not None and row["last_seq"] != last + 1
-                last = row["last_seq"]
-                if broken:
-                    for other in books.values():
-                        other.validity = "invalid"
-                reason = step(book, row, "replace", False) if not broken or row["snapshot"] else "gap"
-                out.append((row["session"], *_report(row["book"], row, book, reason)))
-            yield pd.DataFrame(out, columns=["session", *NAMES]).astype(KINDS)
+                key = row["session"], row["book"], row["epoch"]
+                if key != at:
+                    if last is not None:
+                        out.append((*last, len(book.waiting)))
+                    at, book, breaks = key, Book(depth, *scales), row["breaks"] - row["broken"]
+                elif last is not None:
+                    out.append((*last, None))
+                if row["breaks"] > breaks:
+                    book.validity = "invalid"
+                breaks = row["breaks"]
+                reason = "gap" if row["broken"] and not row["snapshot"] else step(book, row, rule, lenient)
+                last = (row["session"], *_report(row["book"], row, book, reason), row["epoch"])
+            yield pd.DataFrame(out, columns=["session", *NAMES, "epoch", "waiting"]).astype(KINDS | {"waiting": "Int64"})
+        if last is not None:
+            yield pd.DataFrame([(*last, len(book.waiting))], columns=["session", *NAMES, "epoch", "waiting"]).astype(KINDS | {"waiting": "Int64"})
+
+    keys = ["session", "book", "epoch"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "ord").mapInPandas(run, _FOLDED)
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    path = work_folder(df.sparkSession, "books")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _joined_epochs(folded: DataFrame) -> DataFrame:
+    """(session, book, epoch, into): epochs that must be folded together with one before them, as deltas wait
+    at its end, and those they must be folded with."""
+    ends = folded.where("waiting is not null").select("session", "book", "epoch", "waiting")
+    prior = running_last(ends, ["session", "book"], [], {"__prior": F.col("waiting")}, time="epoch", block=1 << 40, before=True)
+    clean = F.coalesce(F.col("__prior") == 0, F.lit(True))
+    heads = running_last(prior, ["session", "book"], [], {"into": F.when(clean, F.col("epoch"))}, time="epoch", block=1 << 40)
+    joined = heads.where("into <> epoch").select("session", "book", "epoch", "into")
+    return joined.unionByName(joined.select("session", "book", F.col("into").alias("epoch"), "into").distinct())
+
+
+def _fold(rows: DataFrame, rule: str, depth: int, lenient: bool, scales: tuple[int | None, int | None]) -> DataFrame:
+    """Epochs apart; where deltas wait at an epoch's end, it's folded again with the next one, until none do."""
+    folded = _folded(rows, rule, depth, lenient, scales)
+    if rule not in BUFFERED:
+        return folded
+    folded, rows, names = _stored(folded), _stored(rows), ["session", "book", "epoch"]
+    while True:
+        again = _stored(_joined_epochs(folded))
+        if again.isEmpty():
+            return folded
+        rows = _stored(rows.join(again, names, "left").withColumn("epoch", F.coalesce("into", "epoch")).drop("into"))
+        anew = _folded(rows.join(again.select("session", "book", F.col("into").alias("epoch")).distinct(), names, "left_semi"), rule, depth, lenient, scales)
+        folded = _stored(folded.join(again, names, "left_anti").unionByName(anew))
+
+
+def fold_books(updates: DataFrame, *, rule: str = "spanning", depth: int = 0, lenient: bool = False, price_scale: int | None = None, quantity_scale: int | None = None, block: int = 100_000) -> DataFrame:
+    """One row an update: the book's state after it. Updates (UPDATE columns, ``checksum`` if there is
+    one; bids and asks are arrays of (price, quantity), as text or numbers) are taken in the order of
+    ``ord``; rows without a book are left out. Under ``spanning``, ``previous`` and ``plus_one`` deltas
+    without a valid book wait for its next snapshot. Scales: digits that a level may have.
+
+    A book's line is cut at the snapshots it can take, so one busy book is as many tasks as it has of them.
+    """
+    scales = price_scale, quantity_scale
+    rows = _epochs(_checked(updates, rule), ["book"], depth, scales, block)
+    rows = rows.withColumns({"session": F.lit(""), "breaks": F.lit(0).cast("long"), "broken": F.lit(0).cast("long")})
+    return _fold(rows, rule, depth, lenient, scales).select(*NAMES)
+
 
+def fold_sessions(updates: DataFrame, *, depth: int = 0, block: int = 100_000) -> DataFrame:
+    """As ``fold_books`` where one sequence (``last_seq``) runs through all books of a ``session``: a break makes all
+    of them invalid. Breaks are found and counted in blocks of the session's line; each book then needs only their count."""
     rows = _checked(updates, "replace", "session")
     kind = dict(rows.dtypes)["session"]
-    return rows.repartition("session").sortWithinPartitions("session", "ord").mapInPandas(run, f"session {kind}, {OUT}")
+    rows = running_last(rows, ["session"], [], {"__prior": F.struct("last_seq")}, time="ord", block=block, before=True)
+    before = F.col("__prior.last_seq")
+    broken = F.coalesce(before.isNotNull() & ~F.col("last_seq").eqNullSafe(before + 1), F.lit(False)).cast("long")
+    rows = running_sums(rows.withColumn("broken", broken), ["session"], [], {"breaks": F.col("broken")}, time="ord", block=block)
+    rows = _epochs(rows.drop("__prior"), ["session", "book"], depth, (None, None), block).withColumn("session", F.col("session").cast("string"))
+    out = _fold(rows, "replace", depth, False, (None, None))
+    return out.select(F.col("session").cast(kind).alias("session"), *NAMES)
 
 
 def _packed(book: Book) -> str:
