@@ -51,11 +51,15 @@ def nearest_walls(sample: DataFrame, probes: DataFrame, *, keys: list[str] = BOO
 
 
 def price_window(history: DataFrame, mids: DataFrame, tick: float, *, keys: list[str] = BOOK, lookback: int = 14, zoom: float = 1.0, least_ticks: int = 48, pad: float = 0.18, least_bps: float = 0.8, most_bps: float = 8.0) -> DataFrame:
-    """The prices to show around the newest middle: half the span of the walls of the last ``lookback``
-    samples with padding, at least so many ticks and basis points, at most so many basis points or the padded span."""
-    recent = top(mids, keys, lookback, F.desc("t"))
-    focus = mids.groupBy(*keys).agg(F.max_by("mid", "t").cast("double").alias("mid")).where("mid > 0")
-    prices = history.join(recent.select(*keys, "t"), [*keys, "t"], "left_semi").select(*keys, F.col("price").cast("double").alias("x")).unionByName(recent.select(*keys, F.col("mid").cast("double").alias("x")))
+    """The prices to show around the newest sample's middle: half the span of the walls of the last ``lookback``
+    samples with padding, at least so many ticks and basis points, at most so many basis points or the padded span.
+    A key whose newest sample has no middle has no window."""
+    times = history.select(*keys, "t").unionByName(mids.select(*keys, "t")).distinct()
+    recent = top(times, keys, lookback, F.desc("t"))
+    newest = times.groupBy(*keys).agg(F.max("t").alias("t"))
+    focus = mids.join(newest, [*keys, "t"]).select(*keys, F.col("mid").cast("double").alias("mid")).where("mid > 0")
+    of = lambda df, price: df.join(recent, [*keys, "t"], "left_semi").select(*keys, F.col(price).cast("double").alias("x"))
+    prices = of(history, "price").unionByName(of(mids, "mid"))
     mid = F.col("mid")
     near = F.when(F.abs(F.col("x") - mid) <= mid * (most_bps / 10_000) * 1.5, F.col("x"))
     rows = prices.join(focus, keys).groupBy(*keys, "mid").agg(F.coalesce(F.min(near), mid).alias("wall_low"), F.coalesce(F.max(near), mid).alias("wall_high"))
@@ -128,3 +132,39 @@ def grid(history: DataFrame, window: DataFrame, *, keys: list[str] = BOOK, rows:
     value = F.when(c("__next").isNull() | (at < c("price")), outside).otherwise(between)
     floor = c("__most") * 0.04 * F.exp(-F.abs(at - (c("__low") + c("__high")) / 2) / (span * 0.7))
     return cells.select(*column, "row", F.greatest(value, floor).alias("usd"))
+
+
+def price_bounds(history: DataFrame, mids: DataFrame, *, keys: list[str] = BOOK, pad: float = 0.08) -> DataFrame:
+    """(keys, price_min, price_max): all prices and middles, with a margin on both sides; none where they don't span anything."""
+    x = history.select(*keys, F.col("price").cast("double").alias("x")).unionByName(mids.select(*keys, F.col("mid").cast("double").alias("x")))
+    ends = x.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("hi > lo")
+    return ends.select(*keys, (F.col("lo") - (F.col("hi") - F.col("lo")) * pad).alias("price_min"), (F.col("hi") + (F.col("hi") - F.col("lo")) * pad).alias("price_max"))
+
+
+def sparse_grid(history: DataFrame, window: DataFrame, *, keys: list[str] = BOOK, rows: int = 80) -> DataFrame:
+    """(keys, t, row, usd) of the rows that levels fall into, nothing between them: a level inside the window is shared
+    evenly by its row and the two beside it, or has its row alone at the window's edges."""
+    levels = history.where("usd > 0").join(window.select(*keys, F.col("price_min").cast("double"), F.col("price_max").cast("double")), keys)
+    price = F.col("price").cast("double")
+    place = F.floor((F.col("price_max") - price) / (F.col("price_max") - F.col("price_min")) * rows)
+    row = F.greatest(F.lit(0), F.least(F.lit(rows - 1), place)).cast("long")
+    inside = levels.where(price.between(F.col("price_min"), F.col("price_max"))).withColumn("__row", row)
+    rows_of = F.when(F.col("__row").between(1, rows - 2), F.sequence(F.col("__row") - 1, F.col("__row") + 1)).otherwise(F.array("__row"))
+    cells = inside.withColumn("__rows", rows_of).select(*keys, "t", F.explode("__rows").alias("row"), (F.col("usd").cast("double") / F.size("__rows")).alias("usd"))
+    return cells.groupBy(*keys, "t", "row").agg(F.sum("usd").alias("usd"))
+
+
+def held_grid(history: DataFrame, samples: DataFrame, window: DataFrame, *, keys: list[str] = BOOK, rows: int = 80, sparse: bool = False, block: int = 3_600_000) -> DataFrame:
+    """The grid of all ``samples`` (keys, t): a column without levels takes the cells of the last one with any, found by
+    blocks of the line of columns. Columns before the first one with levels are empty."""
+    cells = (sparse_grid if sparse else grid)(history, window, keys=keys, rows=rows)
+    filled = history.where("usd > 0").select(*keys, "t").distinct().withColumn("__from", F.col("t"))
+    columns = as_of(samples.select(*keys, "t").distinct(), filled, keys, ["__from"], time="t", block=block).where("__from is not null")
+    return columns.join(cells.withColumnRenamed("t", "__from"), [*keys, "__from"]).select(*keys, "t", "row", "usd")
+
+
+def paths(history: DataFrame, samples: DataFrame, mids: DataFrame, *, keys: list[str] = BOOK) -> DataFrame:
+    """(keys, t, mid, best_bid, best_ask) of all samples; null where a sample has none."""
+    best = lambda side, f: f(F.when(F.col("side") == side, F.col("price")))
+    sides = history.groupBy(*keys, "t").agg(best("bid", F.max).alias("best_bid"), best("ask", F.min).alias("best_ask"))
+    return samples.select(*keys, "t").distinct().join(mids.select(*keys, "t", "mid"), [*keys, "t"], "left").join(sides, [*keys, "t"], "left")

@@ -403,4 +403,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_oracle)
 
 
-from . import captures, feeds, measures, screens  # noqa: E402, F401  (register more queries with the decorator above)
+from . import captures, feeds, measures, rules, screens  # noqa: E402, F401  (register more queries with the decorator above)

@@ -176,8 +176,9 @@ def nearest_walls(spark, sf_dir):
     return heatmap.nearest_walls(h, probes)
 
 
-WINDOW = """rt as (select book_id, t, mid from mids qualify row_number() over (partition by book_id order by t desc) <= 14), fo as (select book_id, arg_max(mid, t) as mid from mids group by 1),
-  px as (select d.book_id, d.price::double as x from depth d semi join rt on d.book_id = rt.book_id and d.t = rt.t union all select book_id, mid from rt),
+WINDOW = """st as (select distinct book_id, t from depth), rt as (select book_id, t from st qualify row_number() over (partition by book_id order by t desc) <= 14),
+  fo as (select mids.book_id, mid from mids join (select book_id, max(t) as t from st group by 1) n on n.book_id = mids.book_id and n.t = mids.t),
+  px as (select d.book_id, d.price::double as x from depth d semi join rt on d.book_id = rt.book_id and d.t = rt.t union all select mids.book_id, mid from mids semi join rt on mids.book_id = rt.book_id and mids.t = rt.t),
   wl as (select fo.book_id, fo.mid, coalesce(min(x) filter (where abs(x - fo.mid) <= fo.mid * 0.0075), fo.mid) as wall_low, coalesce(max(x) filter (where abs(x - fo.mid) <= fo.mid * 0.0075), fo.mid) as wall_high from fo join px using (book_id) group by 1, 2),
   hw as (select *, (wall_high - wall_low) / 2 * 1.18 as book_half from wl),
   win as (select *, least(greatest(book_half, mid * 0.00008, 4, 48), greatest(mid * 0.005, book_half, 4)) as half from hw)"""
@@ -201,17 +202,49 @@ def depth_with_gaps_filled(spark, sf_dir):
     return heatmap.filled_gaps(depth_history(spark, sf_dir))
 
 
-@query("book_id:l t:l row:l usd:d", "depth", sql=WINDOW + """, w2 as (select book_id, mid - half as lo, mid + half as hi from win), lv as (select book_id, t, price::double as price, sum(usd)::double as usd from depth where usd > 0 group by 1, 2, 3), cs as (select book_id, t, min(price) as low, max(price) as high, max(usd) as most, arg_min(usd, price) as low_usd, arg_max(usd, price) as high_usd from lv group by 1, 2),
+#: Cells of the columns of ``lv``, as ``vl`` and then ``cells``.
+CELLS = """w2 as (select book_id, mid - half as lo, mid + half as hi from win), cs as (select book_id, t, min(price) as low, max(price) as high, max(usd) as most, arg_min(usd, price) as low_usd, arg_max(usd, price) as high_usd from lv group by 1, 2),
   gr as (select cs.*, lo, hi, hi - lo as span, r as row, hi - (r + 0.5) / 40 * (hi - lo) as px from cs join w2 using (book_id), range(40) as x(r)),
   nb as (select gr.*, p.price as p0, p.usd as u0, n.price as p1, n.usd as u1 from gr asof left join lv p on gr.book_id = p.book_id and gr.t = p.t and gr.px >= p.price asof left join lv n on gr.book_id = n.book_id and gr.t = n.t and gr.px < n.price),
   vl as (select *, greatest(span * 0.55, (high - low) * 1.2, span / 10) as falloff from nb),
-  q as (select book_id, t, row, greatest(case when p0 is not null and p1 is not null then u0 + (u1 - u0) * (px - p0) / (p1 - p0) when px = p0 then u0 when p1 is null then high_usd * exp(-(px - high) / falloff) * 0.9 else low_usd * exp(-(low - px) / falloff) * 0.9 end,
-    most * 0.04 * exp(-abs(px - (low + high) / 2) / (span * 0.7))) as usd from vl)""")
+  cells as (select book_id, t, row, greatest(case when p0 is not null and p1 is not null then u0 + (u1 - u0) * (px - p0) / (p1 - p0) when px = p0 then u0 when p1 is null then high_usd * exp(-(px - high) / falloff) * 0.9 else low_usd * exp(-(low - px) / falloff) * 0.9 end,
+    most * 0.04 * exp(-abs(px - (low + high) / 2) / (span * 0.7))) as usd from vl)"""
+LEVELS = "lv as (select book_id, t, price::double as price, sum(usd)::double as usd from depth where usd > 0 group by 1, 2, 3)"
+#: Every third column loses its levels.
+THIN = "lv as (select book_id, t, price::double as price, sum(usd)::double as usd from depth where usd > 0 and t % 900 > 0 group by 1, 2, 3)"
+HELD = "hd as (select st.book_id, st.t, f.t as source from st asof join (select distinct book_id, t from lv) f on st.book_id = f.book_id and st.t >= f.t)"
+
+
+@query("book_id:l t:l row:l usd:d", "depth", sql=f"{WINDOW}, {LEVELS}, {CELLS}, q as (select * from cells)")
 def heat_grid(spark, sf_dir):
     h = depth_history(spark, sf_dir)
     return heatmap.grid(h, heatmap.price_window(h, depth_mids(h), 1.0, most_bps=50), rows=40)
 
 
+@query("book_id:l t:l row:l usd:d", "depth", sql=f"{WINDOW}, {THIN}, {CELLS}, {HELD}, q as (select hd.book_id, hd.t, row, usd from hd join cells on cells.book_id = hd.book_id and cells.t = source)")
+def held_heat_grid(spark, sf_dir):
+    """Columns without levels show the last ones with any."""
+    h = depth_history(spark, sf_dir)
+    return heatmap.held_grid(h.where("t % 900 > 0"), h.select("book_id", "t"), heatmap.price_window(h, depth_mids(h), 1.0, most_bps=50), rows=40)
+
+
+@query("book_id:l t:l row:l usd:d", "depth", sql=f"""{THIN}, st as (select distinct book_id, t from depth), {HELD}, x as (select book_id, price::double as x from depth union all select book_id, mid from mids), e as (select book_id, min(x) as a, max(x) as b from x group by 1),
+  w as (select book_id, a - (b - a) * 0.08 as lo, b + (b - a) * 0.08 as hi from e), r as (select lv.*, greatest(0, least(39, floor((hi - price) / (hi - lo) * 40)))::bigint as own from lv join w using (book_id)),
+  n as (select *, case when own between 1 and 38 then [own - 1, own, own + 1] else [own] end as near from r), c as (select book_id, t, unnest(near) as row, usd / len(near) as usd from n), g as (select book_id, t, row, sum(usd) as usd from c group by 1, 2, 3),
+  q as (select hd.book_id, hd.t, row, usd from hd join g on g.book_id = hd.book_id and g.t = source)""")
+def sparse_heat_grid(spark, sf_dir):
+    h = depth_history(spark, sf_dir)
+    return heatmap.held_grid(h.where("t % 900 > 0"), h.select("book_id", "t"), heatmap.price_bounds(h, depth_mids(h)), rows=40, sparse=True)
+
+
+@query("book_id:l t:l mid:d best_bid:d best_ask:d", "depth", sql="""d as (select * from depth where t % 900 > 0 and (side = 'ask' or t % 1200 > 0)), s as (select distinct book_id, t from depth), b as (select book_id, t, max(price) filter (where side = 'bid') as best_bid, min(price) filter (where side = 'ask') as best_ask from d group by 1, 2),
+  q as (select s.book_id, s.t, (best_bid::double + best_ask::double) / 2 as mid, best_bid, best_ask from s left join b using (book_id, t))""")
+def depth_paths(spark, sf_dir):
+    h = depth_history(spark, sf_dir)
+    thin = h.where("t % 900 > 0 and (side = 'ask' or t % 1200 > 0)")
+    return heatmap.paths(thin, h.select("book_id", "t"), depth_mids(thin))
+
+
 @query("venue instrument kind change:d limited", sql=bars_sql("b", 60) + """, tip as (select venue, instrument, max(time) as now from b group by 1, 2), m as (select b.venue, b.instrument, now, arg_max(close, time)::double as c1, arg_max(close, time) filter (where time <= now - 900)::double as c0 from b join tip using (venue, instrument) group by 1, 2, 3),
   k as (select venue, instrument, time - time % 900 as time, sum(coalesce(notional, volume))::double as n from b group by 1, 2, 3), g as (select *, avg(n) over w as mean, count(*) over w as prior from k window w as (partition by venue, instrument order by time rows between 24 preceding and 1 preceding)),
   x as (select m.venue, m.instrument, (c1 - c0) / c0 * 100 as change, prior < 24 as limited from m join g on g.venue = m.venue and g.instrument = m.instrument and g.time = now - now % 900 where mean > 0 and n >= mean * 0.1),
