@@ -19,6 +19,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.windows import as_of, running_last, running_sums
 from ..sources.scratch import work_folder
@@ -26,8 +27,10 @@ from ..sources.scratch import work_folder
 OUT = "book string, ord long, seq long, validity string, reason string, best_bid double, best_ask double, levels int"
 UPDATE = ["book", "ord", "snapshot", "first_seq", "last_seq", "previous_seq", "bids", "asks"]
 RULES = ("spanning", "previous", "plus_one", "at_most_next", "drop_stale", "replace", "checksum")
-#: Rules under which deltas wait for their snapshot, and how many wait at most (fixed value).
-BUFFERED, MOST_BUFFERED = ("spanning", "previous", "plus_one"), 10_000
+#: Rules under which deltas wait for their snapshot, and how many, bytes and nanoseconds of them at most (fixed values).
+BUFFERED, MOST_BUFFERED, MOST_BYTES, MOST_SPAN_NS = ("spanning", "previous", "plus_one"), 10_000, 4 << 20, 5_000_000_000
+#: Columns that updates may have: a message's own checksum, its bytes, and the monotonic time it came at.
+OPTIONAL = ("checksum", "bytes_len", "mono_ns")
 
 
 def book_at(updates: DataFrame, *, keys: list[str] = ["book"]) -> DataFrame:  # noqa: B006
@@ -83,6 +86,7 @@ class Book:
     bridged: bool = False
     validity: str = "uninitialized"
     waiting: list[dict] = field(default_factory=list)
+    held: tuple[int, int | None, int | None] = (0, None, None)
 
     def crossed(self) -> bool:
         bid, ask = self.bids.best(), self.asks.best()
@@ -169,10 +173,17 @@ def _levels(row: dict) -> list[list]:
 
 
 def _wait(book: Book, row: dict) -> str:
-    if len(book.waiting) >= MOST_BUFFERED:
+    """Let a delta wait, if with it they aren't too many, too large or too far apart: all are lost otherwise. ``held``
+    has the bytes that wait and the first and last time."""
+    size, *times = book.held if book.waiting else (0, None, None)
+    times = [t for t in (*times, row.get("mono_ns")) if t is not None]
+    size += row.get("bytes_len") or 0
+    span = max(times) - min(times) if times else 0
+    if len(book.waiting) >= MOST_BUFFERED or size > MOST_BYTES or span > MOST_SPAN_NS:
         book.waiting.clear()
         book.validity = "invalid"
         return "buffer overflow"
+    book.held = (size, min(times), max(times)) if times else (size, None, None)
     book.waiting.append({k: row.get(k) for k in (*UPDATE[3:6], "checksum")} | dict(zip(("bids", "asks"), _levels(row))))
     return "buffered"
 
@@ -236,16 +247,17 @@ def _report(name: str, row: dict, book: Book, reason: str) -> tuple:
 def _rows(batch: pd.DataFrame) -> Iterator[dict]:
     whole = lambda x: None if pd.isna(x) else int(x)
     for r in batch.to_dict("records"):
-        yield r | {k: whole(r[k]) for k in ("first_seq", "last_seq", "previous_seq", "checksum")}
+        yield r | {k: whole(r[k]) for k in ("first_seq", "last_seq", "previous_seq", *OPTIONAL)}
 
 
 def _checked(updates: DataFrame, rule: str, *more: str) -> DataFrame:
     if rule not in RULES:
         raise ValueError(rule)
-    checksum = F.col("checksum").cast("long") if "checksum" in updates.columns else F.lit(None).cast("long")
-    return updates.select(*more, *UPDATE, checksum.alias("checksum")).where("book is not null")
+    optional = [(F.col(c) if c in updates.columns else F.lit(None)).cast("long").alias(c) for c in OPTIONAL]
+    return updates.select(*more, *UPDATE, *optional).where("book is not null")
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
 NAMES = [x.split()[0] for x in OUT.split(", ")]
 KINDS = {"seq": "Int64", "best_bid": float, "best_ask": float}
 
@@ -357,31 +369,57 @@ def fold_sessions(updates: DataFrame, *, depth: int = 0, block: int = 100_000) -
     return out.select(F.col("session").cast(kind).alias("session"), *NAMES)
 
 
-def _packed(book: Book) -> str:
-    sides = [[side.levels[p][1:] for p in side.prices] for side in (book.bids, book.asks)]
-    return json.dumps({"sides": sides, "seq": book.seq, "bridged": book.bridged, "validity": book.validity, "waiting": book.waiting})
-
+class BookProcessor(StatefulProcessor):
+    """A book's state on a stream: one entry a level, one a waiting delta, and a head. A micro-batch writes the levels
+    it changed; deltas are only written while they wait."""
+
+    def __init__(self, rule: str, depth: int, lenient: bool, scales: tuple[int | None, int | None]) -> None:
+        self.rule, self.lenient, self.new = rule, lenient, lambda: Book(depth, *scales)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.levels = handle.getMapState("levels", "bid boolean, price string", "price string, quantity string")
+        self.head = handle.getValueState("head", "seq long, bridged boolean, validity string, bytes long, first long, last long")
+        self.deltas = handle.getListState("waiting", "delta string")
+
+    def _load(self) -> Book:
+        book = self.new()
+        if self.head.exists():
+            seq, book.bridged, book.validity, size, first, last = self.head.get()
+            book.seq, book.held = seq, (size, first, last)
+            for (bid, _), (price, quantity) in self.levels.iterator():
+                (book.bids if bid else book.asks).set(Decimal(price), (Decimal(quantity), price, quantity))
+            book.waiting = [json.loads(x[0]) for x in self.deltas.get()]
+        return book
+
+    @staticmethod
+    def _entries(book: Book) -> dict[tuple[bool, str], tuple[str, str]]:
+        return {(bid, str(p.normalize())): side.levels[p][1:] for bid, side in ((True, book.bids), (False, book.asks)) for p in side.prices}
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        book = self._load()
+        before, waited = self._entries(book), len(book.waiting)
+        now = pd.concat(list(rows)).sort_values("ord")  # one book's rows of one micro-batch
+        out = [_report(key[0], row, book, step(book, row, self.rule, self.lenient)) for row in _rows(now)]
+        after = self._entries(book)
+        for place in before.keys() - after.keys():
+            self.levels.removeKey(place)
+        for place, level in after.items():
+            if before.get(place) != level:
+                self.levels.updateValue(place, level)
+        if waited or book.waiting:
+            self.deltas.clear()
+            if book.waiting:
+                self.deltas.put([(json.dumps(x),) for x in book.waiting])
+        self.head.update((book.seq, book.bridged, book.validity, *book.held))
+        yield pd.DataFrame(out, columns=NAMES).astype(KINDS)
 
-def _unpacked(text: str, book: Book) -> Book:
-    d = json.loads(text)
-    for side, levels in zip((book.bids, book.asks), d["sides"]):
-        for price, quantity in levels:
-            side.set(Decimal(price), (Decimal(quantity), price, quantity))
-    book.seq, book.bridged, book.validity, book.waiting = d["seq"], d["bridged"], d["validity"], d["waiting"]
-    return book
+    def close(self) -> None:
+        pass
 
 
 def stream_books(updates: DataFrame, *, rule: str = "spanning", depth: int = 0, lenient: bool = False, price_scale: int | None = None, quantity_scale: int | None = None) -> DataFrame:
     """The fold over a stream: each book's state is kept between micro-batches; updates of one batch
-    are taken in the order of ``ord``."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        book = Book(depth, price_scale, quantity_scale)
-        if state.exists:
-            book = _unpacked(state.get[0], book)
-        now = pd.concat(list(batches)).sort_values("ord")  # one book's rows of one micro-batch
-        out = [_report(key[0], row, book, step(book, row, rule, lenient)) for row in _rows(now)]
-        state.update((_packed(book),))
-        yield pd.DataFrame(out, columns=NAMES).astype(KINDS)
-
-    return _checked(updates, rule).groupBy("book").applyInPandasWithState(run, OUT, "state string", "append", "NoTimeout")
+    are taken in the order of ``ord``. State by level needs the RocksDB store, which is set for the session."""
+    updates.sparkSession.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    processor = BookProcessor(rule, depth, lenient, (price_scale, quantity_scale))
+    return _checked(updates, rule).groupBy("book").transformWithStateInPandas(processor, OUT, "Append", "None")
