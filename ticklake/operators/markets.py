@@ -151,7 +151,7 @@ def merged_tape(held: DataFrame, arrived: DataFrame, *, now: Column, key: list[s
 def flow_markers(findings: DataFrame) -> DataFrame:
     """Findings of ``flow_heuristics`` with the mark they are drawn with and what they aren't."""
     kind = F.col("finding")
-    note = F.when(kind == "sweep", "sweep heuristic (not exchange liquidation)").when(kind == "absorption", "absorption heuristic (not MBO)").otherwise("large print (not exchange liquidation)")
+    note = F.when(kind == "sweep", "guessed from prints that run through prices; no venue said so").when(kind == "absorption", "guessed from prints at a price that held; single orders aren't seen").otherwise("one large print; nothing says why it was made")
     return findings.withColumns({"marker": F.when(kind == "sweep", "triangle").when(kind == "absorption", "square").otherwise("diamond"), "note": note})
 
 

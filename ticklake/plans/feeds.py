@@ -155,10 +155,10 @@ def zero_filled_flow(spark, sf_dir):
     return bars.zero_filled_flow(days, keys=["venue", "instrument", "day"])
 
 
-@query("book_id:l imbalance_percent:d", "book", sql="""r as (select * from book where quantity > 0 and book_id % 3 > 0 qualify row_number() over (partition by book_id, side order by case side when 'bid' then -price else price end) <= 10),
+@query("book_id:l imbalance_percent:d", "book", sql="""r as (select * from book where quantity > 0 qualify row_number() over (partition by book_id, side order by case side when 'bid' then -price else price end) <= 10),
   s as (select book_id, coalesce(sum(price * quantity) filter (where side = 'bid'), 0)::double as b, coalesce(sum(price * quantity) filter (where side = 'ask'), 0)::double as a from r group by 1), q as (select book_id, case when a + b > 0 then (b - a) / (a + b) * 100 end as imbalance_percent from s)""")
 def book_imbalance(spark, sf_dir):
-    return books.book_imbalance(book_levels(spark, sf_dir).where("book_id % 3 > 0"))
+    return books.book_imbalance(book_levels(spark, sf_dir))
 
 
 @query("book_id:l t:l levels:l", "depth", sql="""x as (select book_id, max(t) as tip from depth group by 1), d as (select distinct book_id, t from depth), a as (select d.book_id, t, case when t >= tip - 6000 then 250 when t >= tip - 12000 then 1000 else 5000 end as w from d join x using (book_id)),

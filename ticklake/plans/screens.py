@@ -159,21 +159,28 @@ def steady_flags(spark, sf_dir):
     return health.steadied(rows.withColumn("time_ms", F.col("at.t")), keys=KEYS, hold=(3_600_000, 7_200_000), tie="event_id")
 
 
-@query("book_id:l price:d bid_usd:d ask_usd:d bid_cum_usd:d ask_cum_usd:d", "depth", sql="""l as (select * from depth where t = 3000), m as (select book_id, mid from mids where t = 3000), c as (select book_id, price, coalesce(sum(usd) filter (where side = 'bid'), 0) as bid_usd, coalesce(sum(usd) filter (where side = 'ask'), 0) as ask_usd from l group by 1, 2),
-  e as (select book_id, (min(price) + max(price))::double / 2 as between_ from c group by 1), n as (select c.* from c join e using (book_id) left join m using (book_id) qualify row_number() over (partition by book_id order by abs(price::double - coalesce(mid, between_)), price desc) <= 30),
-  q as (select *, case when bid_usd > 0 then sum(bid_usd) over (partition by book_id order by price desc rows unbounded preceding) else 0 end as bid_cum_usd, case when ask_usd > 0 then sum(ask_usd) over (partition by book_id order by price rows unbounded preceding) else 0 end as ask_cum_usd from n)""")
+@query("book_id:l t:l price:d bid_usd:d ask_usd:d bid_cum_usd:d ask_cum_usd:d", "depth", sql="""c as (select book_id, t, price, coalesce(sum(usd) filter (where side = 'bid'), 0) as bid_usd, coalesce(sum(usd) filter (where side = 'ask'), 0) as ask_usd from depth group by 1, 2, 3),
+  e as (select book_id, t, (min(price) + max(price))::double / 2 as between_ from c group by 1, 2),
+  n as (select c.* from c join e using (book_id, t) left join mids using (book_id, t) qualify row_number() over (partition by book_id, t order by abs(price::double - coalesce(mid, between_)), price desc) <= 30),
+  q as (select *, case when bid_usd > 0 then sum(bid_usd) over (partition by book_id, t order by price desc rows unbounded preceding) else 0 end as bid_cum_usd,
+    case when ask_usd > 0 then sum(ask_usd) over (partition by book_id, t order by price rows unbounded preceding) else 0 end as ask_cum_usd from n)""")
 def resting_column(spark, sf_dir):
     h = depth_history(spark, sf_dir)
-    return heatmap.resting_column(h.where("t = 3000"), depth_mids(h).where("t = 3000"), most=30)
+    return heatmap.resting_column(h, depth_mids(h), keys=["book_id", "t"], most=30)
 
 
-@query("book_id:l probe:d bid_price:d bid_usd:d ask_price:d ask_usd:d", "depth", sql="""l as (select * from depth where t = 3000), p as (select distinct book_id, unnest([199500.5, 199990, 200100, 200777, 100, 300000]) as probe from l), x as (select p.book_id, probe, side, price, usd, case when side = 'bid' then price <= probe + 1e-12 else price >= probe - 1e-12 end as good from p join l using (book_id)),
-  b as (select book_id, probe, arg_max(price, (good, price)) as bid_price, arg_max(usd, (good, price)) as bid_usd from x where side = 'bid' group by 1, 2), a as (select book_id, probe, arg_max(price, (good, -price)) as ask_price, arg_max(usd, (good, -price)) as ask_usd from x where side = 'ask' group by 1, 2),
-  q as (select p.book_id, p.probe, bid_price, coalesce(bid_usd, 0) as bid_usd, ask_price, coalesce(ask_usd, 0) as ask_usd from p left join b using (book_id, probe) left join a using (book_id, probe))""")
+PROBES = (199500.5, 199990.0, 200100.0, 200777.0, 100.0, 300000.0)
+
+
+@query("book_id:l t:l probe:d bid_price:d bid_usd:d ask_price:d ask_usd:d", "depth", sql=f"""p as (select distinct book_id, t, unnest({list(PROBES)}) as probe from depth),
+  x as (select book_id, t, probe, side, price, usd, case when side = 'bid' then price <= probe + 1e-12 else price >= probe - 1e-12 end as good from p join depth using (book_id, t)),
+  b as (select book_id, t, probe, arg_max(price, (good, price)) as bid_price, arg_max(usd, (good, price)) as bid_usd from x where side = 'bid' group by 1, 2, 3),
+  a as (select book_id, t, probe, arg_max(price, (good, -price)) as ask_price, arg_max(usd, (good, -price)) as ask_usd from x where side = 'ask' group by 1, 2, 3),
+  q as (select p.*, bid_price, coalesce(bid_usd, 0) as bid_usd, ask_price, coalesce(ask_usd, 0) as ask_usd from p left join b using (book_id, t, probe) left join a using (book_id, t, probe))""")
 def nearest_walls(spark, sf_dir):
-    h = depth_history(spark, sf_dir).where("t = 3000")
-    probes = h.select("book_id").distinct().select("book_id", F.explode(F.array(*[F.lit(x) for x in (199500.5, 199990.0, 200100.0, 200777.0, 100.0, 300000.0)])).alias("probe"))
-    return heatmap.nearest_walls(h, probes)
+    h = depth_history(spark, sf_dir)
+    probes = h.select("book_id", "t").distinct().select("book_id", "t", F.explode(F.array(*[F.lit(x) for x in PROBES])).alias("probe"))
+    return heatmap.nearest_walls(h, probes, keys=["book_id", "t"])
 
 
 WINDOW = """st as (select distinct book_id, t from depth), rt as (select book_id, t from st qualify row_number() over (partition by book_id order by t desc) <= 14),

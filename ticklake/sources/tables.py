@@ -39,7 +39,7 @@ def book_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Update numbers with gaps: session, seq."""
-    return read_table(spark, sf_dir, "orders").where("o_orderkey % 97 <> 0").select(F.pmod("o_orderkey", F.lit(1)).alias("session"), F.col("o_orderkey").alias("seq"))
+    return read_table(spark, sf_dir, "orders").where("o_orderkey % 97 <> 0").select(F.pmod(F.floor(F.col("o_orderkey") / 400), F.lit(6)).alias("session"), F.col("o_orderkey").alias("seq"))
 
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,5 +127,5 @@ SQL = {
 ), mids as (
   select * from (select book_id, t, (max(price) filter (where side = 'bid')::double + min(price) filter (where side = 'ask')::double) / 2 as mid from depth group by 1, 2) where mid is not null
 )""",
-    "seq": "seqs as (select 0 as session, o_orderkey as seq from orders where o_orderkey % 97 <> 0)",
+    "seq": "seqs as (select (o_orderkey // 400) % 6 as session, o_orderkey as seq from orders where o_orderkey % 97 <> 0)",
 }
