@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.windows import as_of
-from .venues import FIELDS, KEYED, event, ms, taker
+from .venues import FIELDS, KEYED, event, ms, parsed, taker
 
 EVENTS = f"array<struct<{', '.join(f'{n}: {t}' for n, t in FIELDS.items())}>>"
 PAIRS = "array<array<string>>"
@@ -32,9 +32,9 @@ def _text(c: Column) -> Column:
 
 def kraken_futures(raw: Column) -> Column:
     """A quote's missing sizes are 0, as the venue's adapters have it."""
-    j = F.from_json(raw, KEYED)
+    j = parsed(raw, KEYED)
     feed, at = j["feed"], dict(symbol=j["product_id"], exchange_ts_ns=ms(F.coalesce(j["time"], j["timestamp"])))
-    level = lambda side: F.transform(F.from_json(j[side], "array<struct<price:string,qty:string>>"), lambda x: F.array(x["price"], x["qty"]))
+    level = lambda side: F.transform(parsed(j[side], "array<struct<price:string,qty:string>>"), lambda x: F.array(x["price"], x["qty"]))
     one = lambda side: F.when(j["side"] == side, F.array(F.array(j["price"], j["qty"]))).otherwise(F.array().cast(PAIRS))
     trade = lambda t: event("trade", t["price"].isNotNull(), symbol=F.coalesce(t["product_id"], j["product_id"]), price=t["price"], quantity=t["qty"], side=t["side"], trade_id=t["uid"], exchange_ts_ns=ms(t["time"]))
     tick = feed == "ticker"
@@ -50,20 +50,20 @@ def kraken_futures(raw: Column) -> Column:
             event("book_snapshot", feed == "book_snapshot", bids=level("bids"), asks=level("asks"), last_seq=j["seq"], snapshot=F.lit(True), **at),
             event("book_delta", feed == "book", bids=one("buy"), asks=one("sell"), last_seq=j["seq"], snapshot=F.lit(False), **at),
         ),
-        _each(F.from_json(j["trades"], f"array<{KEYED}>"), trade, feed == "trade_snapshot"),
+        _each(parsed(j["trades"], f"array<{KEYED}>"), trade, feed == "trade_snapshot"),
     )
 
 
 def deribit(raw: Column) -> Column:
     """A trade that liquidates a side adds a liquidation. Statistics have no open."""
-    p = F.from_json(raw, "struct<params:struct<channel:string,data:string>>")["params"]
+    p = parsed(raw, "struct<params:struct<channel:string,data:string>>")["params"]
     channel, text = p["channel"], p["data"]
-    j = F.from_json(text, KEYED)
+    j = parsed(text, KEYED)
     at = dict(symbol=j["instrument_name"], exchange_ts_ns=ms(j["timestamp"]))
     kind = F.get(F.split(channel, r"\."), F.lit(0))
-    stats = F.from_json(j["stats"], KEYED)
-    side = lambda name: F.transform(F.from_json(j[name], PAIRS), lambda x: F.array(x[1], F.when(x[0] == "delete", "0").otherwise(x[2])))
-    trades = F.from_json(text, f"array<{KEYED}>")
+    stats = parsed(j["stats"], KEYED)
+    side = lambda name: F.transform(parsed(j[name], PAIRS), lambda x: F.array(x[1], F.when(x[0] == "delete", "0").otherwise(x[2])))
+    trades = parsed(text, f"array<{KEYED}>")
     own = lambda t: dict(symbol=t["instrument_name"], price=t["price"], quantity=t["amount"], side=t["direction"], exchange_ts_ns=ms(t["timestamp"]))
     tick, snapshot = kind == "ticker", j["type"] == "snapshot"
     return F.concat(
@@ -83,10 +83,10 @@ def deribit(raw: Column) -> Column:
 
 def bitstamp(raw: Column) -> Column:
     """Full books replace each other; the texts of prices are preferred to the numbers."""
-    m = F.from_json(raw, "struct<event:string,channel:string,data:string>")
-    j, channel = F.from_json(m["data"], KEYED), m["channel"]
+    m = parsed(raw, "struct<event:string,channel:string,data:string>")
+    j, channel = parsed(m["data"], KEYED), m["channel"]
     at = dict(symbol=F.element_at(F.split(channel, "_"), -1), exchange_ts_ns=j["microtimestamp"].cast("long") * 1000)
-    book = dict(bids=F.from_json(j["bids"], PAIRS), asks=F.from_json(j["asks"], PAIRS))
+    book = dict(bids=parsed(j["bids"], PAIRS), asks=parsed(j["asks"], PAIRS))
     return F.array(
         event("trade", m["event"] == "trade", price=F.coalesce(j["price_str"], j["price"]), quantity=F.coalesce(j["amount_str"], j["amount"]), side=F.when(j["type"] == "0", "buy").otherwise("sell"), trade_id=j["id"], **at),
         event("book_snapshot", channel.startswith("order_book") & j["bids"].isNotNull(), snapshot=F.lit(True), last_seq=j["microtimestamp"], **book, **at),
@@ -96,20 +96,20 @@ def bitstamp(raw: Column) -> Column:
 
 def gemini(raw: Column) -> Column:
     """Times come in nanoseconds; a range of update numbers that runs backwards is no event."""
-    j = F.from_json(raw, KEYED)
+    j = parsed(raw, KEYED)
     at = dict(symbol=j["s"], exchange_ts_ns=j["E"])
     depth = j["U"].isNotNull() & (j["U"].cast("long") <= j["u"].cast("long"))
     return F.array(
         event("trade", j["t"].isNotNull() & j["p"].isNotNull(), price=j["p"], quantity=j["q"], side=taker(j["m"] == "true"), trade_id=j["t"], **at),
         event("quote", j["B"].isNotNull() & j["A"].isNotNull(), bid_price=j["b"], bid_quantity=j["B"], ask_price=j["a"], ask_quantity=j["A"], last_seq=j["u"], **at),
-        event("book_delta", depth, bids=F.from_json(j["b"], PAIRS), asks=F.from_json(j["a"], PAIRS), first_seq=j["U"], last_seq=j["u"], snapshot=F.lit(False), **at),
-        event("book_snapshot", j["lastUpdateId"].isNotNull(), bids=F.from_json(j["bids"], PAIRS), asks=F.from_json(j["asks"], PAIRS), last_seq=j["lastUpdateId"], snapshot=F.lit(True)),
+        event("book_delta", depth, bids=parsed(j["b"], PAIRS), asks=parsed(j["a"], PAIRS), first_seq=j["U"], last_seq=j["u"], snapshot=F.lit(False), **at),
+        event("book_snapshot", j["lastUpdateId"].isNotNull(), bids=parsed(j["bids"], PAIRS), asks=parsed(j["asks"], PAIRS), last_seq=j["lastUpdateId"], snapshot=F.lit(True)),
     )
 
 
 def coinbase_advanced(raw: Column) -> Column:
     """The side of a trade is the maker's, so the taker's is the other."""
-    m = F.from_json(raw, "struct<channel:string,timestamp:string,sequence_num:string,events:array<struct<type:string,product_id:string,trades:array<map<string,string>>,tickers:array<map<string,string>>,updates:array<map<string,string>>,candles:array<map<string,string>>>>>")
+    m = parsed(raw, "struct<channel:string,timestamp:string,sequence_num:string,events:array<struct<type:string,product_id:string,trades:array<map<string,string>>,tickers:array<map<string,string>>,updates:array<map<string,string>>,candles:array<map<string,string>>>>>")
     channel, now = m["channel"], _iso_ns(m["timestamp"])
     flat = lambda name: F.flatten(F.transform(m["events"], lambda e: F.coalesce(e[name], F.array().cast("array<map<string,string>>"))))
 
@@ -132,16 +132,16 @@ def coinbase_advanced(raw: Column) -> Column:
 
 def coinbase_intl(raw: Column) -> Column:
     """One ``last_seq`` runs through all messages of a session (``fold_sessions`` checks it)."""
-    j = F.from_json(raw, KEYED)
+    j = parsed(raw, KEYED)
     channel, at = F.upper(j["channel"]), dict(symbol=j["product_id"], last_seq=j["sequence"], exchange_ts_ns=_iso_ns(j["time"]))
     side = F.when(j["aggressor_side"].isin("BUY", "OPENING_FILL"), "buy").when(j["aggressor_side"] == "SELL", "sell").otherwise("unknown")
-    changes = F.from_json(j["changes"], PAIRS)
+    changes = parsed(j["changes"], PAIRS)
     part = lambda name: F.transform(F.filter(changes, lambda x: x[0] == name), lambda x: F.slice(x, 2, 2))
     snapshot = F.upper(j["type"]) == "SNAPSHOT"
     return F.array(
         event("trade", channel.isin("MATCH", "RFQ_MATCH"), price=j["trade_price"], quantity=j["trade_qty"], side=side, trade_id=j["match_id"], **at),
         event("quote", (channel == "LEVEL1") & j["bid_price"].isNotNull() & j["ask_price"].isNotNull(), bid_price=j["bid_price"], bid_quantity=j["bid_qty"], ask_price=j["ask_price"], ask_quantity=j["ask_qty"], **at),
-        event("book_snapshot", (channel == "LEVEL2") & snapshot, bids=F.from_json(j["bids"], PAIRS), asks=F.from_json(j["asks"], PAIRS), snapshot=F.lit(True), **at),
+        event("book_snapshot", (channel == "LEVEL2") & snapshot, bids=parsed(j["bids"], PAIRS), asks=parsed(j["asks"], PAIRS), snapshot=F.lit(True), **at),
         event("book_delta", (channel == "LEVEL2") & ~snapshot, bids=part("BUY"), asks=part("SELL"), snapshot=F.lit(False), **at),
     )
 
@@ -169,9 +169,9 @@ def bitfinex(raw: Column) -> Column:
     """Frames of ``bind_channels``. Amounts carry the side in their sign; of a trade's two messages the
     first counts; a count of 0 deletes a level; sizes of 0 in a quote are unknown."""
     channel, symbol, interval = F.col("channel"), F.col("symbol"), F.col("interval")
-    top = F.from_json(raw, "array<string>")
+    top = parsed(raw, "array<string>")
     kind, body = F.get(top, F.lit(1)), F.try_element_at(top, F.lit(-1))
-    row, rows = F.from_json(body, "array<string>"), F.from_json(body, "array<array<string>>")
+    row, rows = parsed(body, "array<string>"), parsed(body, "array<array<string>>")
     nested = F.substring(F.get(row, F.lit(0)), 1, 1) == "["
     amount = lambda x: x.cast("decimal(38,18)")
     signed = lambda x: F.when(amount(x) > 0, "buy").when(amount(x) < 0, "sell").otherwise("unknown")

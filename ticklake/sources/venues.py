@@ -1,8 +1,9 @@
 """Venue messages to events: JSON text in, one row an event out.
 
 A venue is a list of rules; each rule names its kind of event, the condition that tells its messages,
-and its fields. Prices and quantities are read as text, so lexemes stay exact. All rules of a venue
-are expressions in one projection: no Python, no shuffle.
+and its fields. Prices and quantities are read as text, so lexemes stay exact. A message is parsed once,
+into columns that all rules of its venue read, and only the rule that holds builds an event: no Python,
+no shuffle.
 """
 
 from __future__ import annotations
@@ -29,6 +30,22 @@ def event(kind: str | Column, when: Column, **fields: Column) -> Column:
     return F.when(F.coalesce(when, F.lit(False)), F.struct(*cols))
 
 
+#: What the rules of the venue at hand read of a message, as columns before the rules' own.
+_read: list[list[tuple[str, Column]]] = []
+
+
+def parsed(text: Column, schema: str) -> Column:
+    """``text`` read as JSON, once a message: rules refer to it as to a column. Not for use inside a lambda."""
+    return stored(F.from_json(text, schema))
+
+
+def stored(value: Column) -> Column:
+    if not _read:
+        return value
+    _read[-1].append((f"__read_{len(_read[-1])}", value))
+    return F.col(_read[-1][-1][0])
+
+
 def ms(c: Column) -> Column:
     return c.try_cast("long") * 1_000_000
 
@@ -51,9 +68,9 @@ COINBASE = "struct<type:string,product_id:string,price:string,size:string,side:s
 
 
 def binance(raw: Column) -> Column:
-    j, read = F.from_json(raw, KEYED), lambda text: F.from_json(text, KEYED)
-    e, k, o = j["e"], read(j["k"]), read(j["o"])
-    bids, asks = (F.from_json(F.coalesce(j[a], j[b]), "array<array<string>>") for a, b in (("b", "bids"), ("a", "asks")))
+    j = parsed(raw, KEYED)
+    e, k, o = j["e"], parsed(j["k"], KEYED), parsed(F.when(j["e"] == "forceOrder", j["o"]), KEYED)
+    bids, asks = (parsed(F.coalesce(j[a], j[b]), "array<array<string>>") for a, b in (("b", "bids"), ("a", "asks")))
     candle = dict(open=k["o"], high=k["h"], low=k["l"], close=k["c"], volume=k["v"], interval=k["i"], start_ns=ms(k["t"]))
     return F.array(
         event("trade", e.isin("trade", "aggTrade"), symbol=j["s"], price=j["p"], quantity=j["q"], side=taker(j["m"] == "true"), trade_id=F.coalesce(j["t"], j["a"]), exchange_ts_ns=ms(j["T"])),
@@ -73,12 +90,15 @@ def binance(raw: Column) -> Column:
 
 def okx(raw: Column, *, first_only: bool = False) -> Column:
     """All rows of a frame's ``data``; first_only: the first of each frame."""
-    j = F.from_json(raw, OKX)
+    j = parsed(raw, OKX)
     channel, symbol = j["arg"]["channel"], j["arg"]["instId"]
     data = F.slice(j["data"], 1, 1) if first_only else j["data"]
 
-    def row(text: Column) -> Column:
-        r, c = F.from_json(text, OKX_ROW), F.from_json(text, "array<string>")
+    candle = channel.startswith("candle")
+    rows = stored(F.transform(data, lambda t: F.struct(F.from_json(F.when(~candle, t), OKX_ROW).alias("r"), F.from_json(F.when(candle, t), "array<string>").alias("c"))))
+
+    def row(x: Column) -> Column:
+        r, c = x["r"], x["c"]
         at = dict(symbol=F.coalesce(r["instId"], symbol), exchange_ts_ns=ms(r["ts"]))
         first = r["details"][0]
         return F.array(
@@ -88,24 +108,25 @@ def okx(raw: Column, *, first_only: bool = False) -> Column:
             event("mark_price", channel == "mark-price", price=r["markPx"], **at), event("index_price", channel == "index-tickers", price=r["idxPx"], **at),
             event("funding", channel == "funding-rate", rate=r["fundingRate"], next_funding_ns=ms(r["nextFundingTime"]), **at), event("open_interest", channel == "open-interest", quantity=r["oi"], **at),
             event("liquidation", channel == "liquidation-orders", price=first["bkPx"], quantity=first["sz"], side=first["side"], symbol=at["symbol"], exchange_ts_ns=ms(first["ts"])),
-            event("candle", channel.startswith("candle"), symbol=symbol, start_ns=ms(c[0]), open=c[1], high=c[2], low=c[3], close=c[4], volume=c[5], interval=F.lower(F.substring(channel, 7, 9))),
+            event("candle", candle, symbol=symbol, start_ns=ms(c[0]), open=c[1], high=c[2], low=c[3], close=c[4], volume=c[5], interval=F.lower(F.substring(channel, 7, 9))),
         )
 
-    return F.flatten(F.transform(data, row))
+    return F.flatten(F.transform(rows, row))
 
 
 def bybit(raw: Column) -> Column:
-    j = F.from_json(raw, BYBIT)
+    j = parsed(raw, BYBIT)
     topic, at = j["topic"], ms(j["ts"])
-    book = F.from_json(j["data"], BYBIT_BOOK)
+    data = lambda name, schema: parsed(F.when(topic.startswith(name), j["data"]), schema)
+    book = data("orderbook", BYBIT_BOOK)
     name = F.element_at(F.split(topic, r"\."), -1)
-    trades = F.transform(F.from_json(j["data"], f"array<{KEYED}>"), lambda t: event("trade", topic.startswith("publicTrade"), symbol=t["s"], price=t["p"], quantity=t["v"], side=F.lower(t["S"]), trade_id=t["i"], exchange_ts_ns=ms(t["T"])))
+    trades = F.transform(data("publicTrade", f"array<{KEYED}>"), lambda t: event("trade", topic.startswith("publicTrade"), symbol=t["s"], price=t["p"], quantity=t["v"], side=F.lower(t["S"]), trade_id=t["i"], exchange_ts_ns=ms(t["T"])))
     # the venue gives the side of the position, the forced order has the other
-    forced = F.transform(F.from_json(j["data"], f"array<{KEYED}>"), lambda t: event("liquidation", topic.startswith("allLiquidation"), symbol=t["s"], price=t["p"], quantity=t["v"], side=taker(t["S"] == "Buy"), exchange_ts_ns=ms(t["T"])))
-    candles = F.transform(F.from_json(j["data"], BYBIT_CANDLE), lambda c: event("candle", topic.startswith("kline"), symbol=name, open=c["open"], high=c["high"], low=c["low"], close=c["close"], volume=c["volume"], interval=c["interval"], start_ns=ms(c["start"]), exchange_ts_ns=at))
+    forced = F.transform(data("allLiquidation", f"array<{KEYED}>"), lambda t: event("liquidation", topic.startswith("allLiquidation"), symbol=t["s"], price=t["p"], quantity=t["v"], side=taker(t["S"] == "Buy"), exchange_ts_ns=ms(t["T"])))
+    candles = F.transform(data("kline", BYBIT_CANDLE), lambda c: event("candle", topic.startswith("kline"), symbol=name, open=c["open"], high=c["high"], low=c["low"], close=c["close"], volume=c["volume"], interval=c["interval"], start_ns=ms(c["start"]), exchange_ts_ns=at))
     snapshot = j["type"] == "snapshot"
     level = event(F.when(snapshot, "book_snapshot").otherwise("book_delta"), topic.startswith("orderbook"), symbol=book["s"], bids=book["b"], asks=book["a"], last_seq=book["u"], snapshot=snapshot, exchange_ts_ns=at)
-    t = F.from_json(j["data"], KEYED)
+    t = data("tickers", KEYED)
     tick, now = topic.startswith("tickers"), dict(symbol=t["symbol"], exchange_ts_ns=at)
     measures = F.array(
         event("mark_price", tick & t["markPrice"].isNotNull(), price=t["markPrice"], **now), event("index_price", tick & t["indexPrice"].isNotNull(), price=t["indexPrice"], **now),
@@ -117,13 +138,14 @@ def bybit(raw: Column) -> Column:
 
 
 def kraken(raw: Column) -> Column:
-    j = F.from_json(raw, KRAKEN)
+    j = parsed(raw, KRAKEN)
     channel = j["channel"]
     micros = lambda t: F.unix_micros(F.try_to_timestamp(t)) * 1000
     pairs = lambda side: F.transform(side, lambda x: F.array(x["price"], x["qty"]))
 
-    def row(text: Column) -> Column:
-        r = F.from_json(text, KRAKEN_ROW)
+    rows = stored(F.transform(j["data"], lambda t: F.from_json(t, KRAKEN_ROW)))
+
+    def row(r: Column) -> Column:
         at = dict(symbol=r["symbol"], exchange_ts_ns=micros(r["timestamp"]))
         snapshot = j["type"] == "snapshot"
         return F.array(
@@ -132,12 +154,12 @@ def kraken(raw: Column) -> Column:
             event("candle", channel == "ohlc", open=r["open"], high=r["high"], low=r["low"], close=r["close"], volume=r["volume"], interval=r["interval"], start_ns=micros(r["interval_begin"]), **at),
         )
 
-    return F.flatten(F.transform(j["data"], row))
+    return F.flatten(F.transform(rows, row))
 
 
 def coinbase(raw: Column) -> Column:
     """The side given is the maker's, so the taker's is the other."""
-    j = F.from_json(raw, COINBASE)
+    j = parsed(raw, COINBASE)
     at = dict(symbol=j["product_id"], exchange_ts_ns=F.unix_micros(F.try_to_timestamp(j["time"])) * 1000)
     side = lambda name: F.transform(F.filter(j["changes"], lambda x: x[0] == name), lambda x: F.slice(x, 2, 2))
     return F.array(
@@ -162,6 +184,13 @@ def normalize(raw: DataFrame, venue: str, *, value: str = "value", keep: tuple[s
     rest = [c for c in raw.columns if c != value] if keep is None else list(keep)
     from .more_venues import MORE  # they build on the rules here
 
-    got = F.array_compact(F.coalesce((VENUES | MORE)[venue](F.col(value), **options), F.array()))
+    _read.append([])
+    try:
+        found = (VENUES | MORE)[venue](F.col(value), **options)
+    finally:
+        columns = _read.pop()
+    for name, column in columns:  # a later one may read an earlier one
+        raw = raw.withColumn(name, column)
+    got = F.array_compact(F.coalesce(found, F.array()))
     rows = raw.select(*rest, F.posexplode_outer(got).alias("event_index", "__e"))
     return rows.select(*rest, F.coalesce("event_index", F.lit(0)).alias("event_index"), F.coalesce("__e.kind", F.lit("unknown_message")).alias("kind"), *[f"__e.{n}" for n in FIELDS if n != "kind"])
