@@ -157,7 +157,8 @@ def test_a_write_beyond_its_bounds_leaves_nothing(spark, frames, tmp_path, bound
     """One task passes them, or only all together."""
     with pytest.raises(Exception, match="more than"):
         sinks.write_lines(frames.select(F.lit("ab").alias("value")), f"{tmp_path}/out", **bound)
-    assert not (tmp_path / "out").exists() or os.listdir(tmp_path / "out") == []
+    # a task that is killed after the driver has cleaned up may leave a hidden file, which no reader takes
+    assert not (tmp_path / "out").exists() or [f for f in os.listdir(tmp_path / "out") if not f.startswith(".")] == []
     sinks.write_lines(frames.select(F.lit("ab").alias("value")), f"{tmp_path}/out", most_records=3000, most_bytes=9000)
     assert spark.read.text(f"{tmp_path}/out").groupBy("value").count().collect() == [("ab", 3000)]
 

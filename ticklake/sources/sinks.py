@@ -2,7 +2,7 @@
 
 A task writes its rows to hidden files and tells the driver their names; only when all tasks are done
 does the driver give them their own names, so readers never see part of a write, nor what a lost
-executor left. Files are closed by size or by span of time, and every segment repeats the metadata. Bounds on
+executor or a killed task left (hidden files, which can be deleted). Files are closed by size or by span of time, and every segment repeats the metadata. Bounds on
 records and bytes hold for the whole write: a task stops at them, and the driver refuses their sum.
 """
 
@@ -138,9 +138,14 @@ class Writer(DataSourceArrowWriter):
                     self._within(done.records + 1, done.size + len(record))
                     out.write(record)
                     size, done.records, done.size = size + len(record), done.records + 1, done.size + len(record)
-        finally:
+        except BaseException:
             if out:
                 out.close()
+            for hidden, _ in done.files:  # of a task that is killed outright they stay, hidden
+                system.delete_file(hidden)
+            raise
+        if out:
+            out.close()
         return done
 
     def _clean(self) -> None:
