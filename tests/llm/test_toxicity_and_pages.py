@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from ticklake.llm import queries as registry
@@ -105,6 +106,132 @@ def test_generated_pages():
         assert main_text(page) == "\n\n".join([title, *blocks]), page
 
 
+GOOD = [f"<p>{w} came to the harbour early, sat down by the water, and told the others what the night had brought to them.</p>" for w in ("Ada", "Bo", "Cy", "Di")]
+STORY = "\n\n".join(x[3:-4] for x in GOOD)
+MENU = '<div class="menu"><ul><li><a href="x">Home</a></li><li><a href="y">News</a></li></ul></div>'
+
+
+@pytest.mark.parametrize(
+    "tag",
+    [
+        'div class="post-12 post type-post status-publish hentry category-news tag-politics"', 'div class="category-social"', 'div class="content-with-sidebar"', 'div data-hidden="false"',
+        'article title="hidden gems"', 'div data-x="not hidden"', "div data-x='class=ad'", 'div id="ad-story"', 'div class="tags-page"', 'article class="post tag-ad"', 'x-page class="menu-page"', "div class=comments",
+    ],
+)
+def test_articles_under_furniture_names(tag):
+    page = f"<html><body>{MENU}<{tag}>{''.join(GOOD)}</{tag.split()[0]}></body></html>"
+    assert main_text(page) == STORY
+
+
+def test_hidden_elements_go():
+    for tag in ["div hidden", 'div class="post" HIDDEN=""', 'div aria-hidden="true"', 'div style="color:red; display : none"']:
+        assert main_text(f"<{tag}>{GOOD[0]}</div><div>{GOOD[1]}</div>") == GOOD[1][3:-4]
+
+
+def test_comments_beside_an_article():
+    talk = "".join(f"<p>{w} wrote that it was all well said, though long, and that more should follow, perhaps, by spring.</p>" for w in ("Ed", "Flo"))
+    for name in ("discussion", "below", "thread"):
+        assert main_text(f'<main><article>{"".join(GOOD)}</article></main><div class="{name}">{talk}</div>') == STORY
+    assert main_text(f'<div>{"".join(GOOD)}</div><div class="comments">{talk * 20}</div>') == STORY  # more of them than there is of the article
+    assert main_text(f'<main><article>{"".join(GOOD)}</article><section><article class="comment">{talk}</article></section></main>') == STORY
+    both = f"<main><article>{''.join(GOOD[:2])}</article><article>{''.join(GOOD[2:])}</article></main>"
+    assert main_text(both) == STORY
+    assert main_text(f'<div class="ad">{talk}</div><article><h1>Short</h1><p>So it is.</p></article>') == "Short\n\nSo it is."
+
+
+def test_pages_against_a_plain_scorer():
+    """Nested containers with names of both sides, against the scores as the module's text states them."""
+    import random
+
+    weights = {"": 1, "post tag-x": 1, "content-with-sidebar": 1, "entry-header": 1, "menu": 0.5, "tags-page": 0.5, "ad-story": 0.5, "post related": 0.5, "comments": 0.02, "comment-body": 0.02}
+    rnd = random.Random(31)
+    serial = iter(range(10**6))
+
+    def tree(depth):
+        kids = []
+        for _ in range(rnd.randrange(1, 5)):
+            if depth == 0 or rnd.random() < 0.5:
+                kids.append(f"n{next(serial)} " + ", ".join("word" * rnd.randrange(1, 30) for _ in range(rnd.randrange(1, 9))))
+            else:
+                kids.append(tree(depth - 1))
+        return {"tag": rnd.choice(["div", "div", "div", "section", "article"]), "name": rnd.choice(list(weights)), "kids": kids}
+
+    def page_of(n):
+        return "".join(f"<p>{k}</p>" if isinstance(k, str) else f'<{k["tag"]} class="{k["name"]}">{page_of(k)}</{k["tag"]}>' for k in n["kids"])
+
+    points = lambda t: 1 + t.count(",") + min(len(t) / 100, 3)
+    boxes = lambda n: [k for k in n["kids"] if isinstance(k, dict)]
+    below = lambda n: [n] + [x for k in boxes(n) for x in below(k)]
+    weight = lambda n: 1 if n["tag"] == "article" and weights[n["name"]] == 0.5 else weights[n["name"]]
+    mass = lambda n: sum(points(k) if isinstance(k, str) else weight(k) * mass(k) for k in n["kids"])
+    prose = lambda n: [x for k in n["kids"] for x in ([k] if isinstance(k, str) else prose(k))]
+
+    def plain_text(root):
+        line = {}  # containers around each, itself last
+
+        def walk(n, above):
+            line[id(n)] = [*above, n]
+            for k in boxes(n):
+                walk(k, line[id(n)])
+
+        walk(root, [])
+        marks = [n for n in below(root)[1:] if n["tag"] == "article" and all(weight(x) == 1 for x in line[id(n)][1:])]
+        fine = [n for n in below(root)[1:] if n["tag"] == "article" and weight(n) == 1]
+        within = lambda a, b: any(x is b for x in line[id(a)])
+        total = [mass(root)]
+
+        def pruned(n):
+            kids = []
+            for k in n["kids"]:
+                if isinstance(k, dict):
+                    if weight(k) < 1:
+                        left = weight(k) * mass(k)
+                        near = any(within(k, m) for m in marks) or any(within(f, k) for f in fine)
+                        if 2 * left <= total[0] or marks and not near:
+                            continue
+                        total[0] += mass(k) - left
+                    k = pruned(k)
+                kids.append(k)
+            return {**n, "kids": kids}
+
+        cut = pruned(root)
+        root = cut if prose(cut) else root
+        line.clear()
+        walk(root, [])
+        own = lambda n: sum(points(k) for k in n["kids"] if isinstance(k, str))
+        score = lambda n: own(n) + 0.5 * sum(own(k) for k in boxes(n))
+        best = max(below(root), key=lambda n: round(score(n), 6))
+        good = [n for n in below(root) if n is best or own(n) > 0.2 * score(best)]
+        bound = next((n for n in line[id(best)][1:] if n["tag"] == "article"), None)
+        if bound:
+            mother = line[id(bound)][-2]
+            good = [n for n in good if any(within(n, k) for k in boxes(mother) if k["tag"] == "article")]
+        top = [n for n in line[id(best)] if all(any(x is n for x in line[id(g)]) for g in good)][-1]
+        article = [n for n in line[id(top)][1:] if n["tag"] == "article"]
+        top = article[-1] if article else top
+        if top is root:
+            return prose(root)
+        out = []
+        for k in line[id(top)][-2]["kids"]:
+            out += [k] if isinstance(k, str) else prose(k) if k is top or k["tag"] != "article" and not article and prose(k) or k["tag"] == "article" and not article else []
+        return out
+
+    for _ in range(600):
+        root = tree(3)
+        assert main_text(page_of(root)) == "\n\n".join(plain_text(root)), page_of(root)
+
+
+def test_hostile_names_stay_linear():
+    import time
+
+    at = time.monotonic()
+    deep = '<div class="menu ad">' * 20_000 + "".join(GOOD) + "</div>" * 20_000
+    assert main_text(deep) == STORY
+    main_text("<div " + "a = " * 100_000 + " ' \" hidden" + " " * 100_000 + ">" + "x")
+    main_text('<div class="' + "tag-" * 50_000 + '">' + "<article class=comment>" * 20_000)
+    assert time.monotonic() - at < 30
+
+
 def test_pages_keep_rows(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = registry.queries()["op3_html_text"](spark, sf_dir)
