@@ -32,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, scratch_scope, table, written
+from .common import drop_written, pieces, scratch_scope, table, written
 from .components import components
 from .filters import filter_of, has, pairs
 from .shingles import shingle_hashes
 
 TREES, DEPTH, NODE, BLOCK, SKETCH = 16, 4, 40, 2000, 384
+#: Rows whose minima a task holds at once, 3.5 KB each.
+SIGNED = 4000
 #: Bytes of full sets that a task holds at most, unless one set has more.
 HELD = 64 << 20
 PERCENT = 80
@@ -49,7 +51,7 @@ SIGNATURE = "id long, n long, set_id binary, sketch binary, roots array<long>, b
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, SIGNED):
         for first, hashes, counts in shingle_hashes(batch.column(1)):
             rows = np.flatnonzero(counts)
             ids = batch.column(0).slice(first, len(counts))
@@ -271,8 +273,11 @@ def _labels(ids: DataFrame, signatures: DataFrame, classes: DataFrame, percent:
     first = written(sort(described).mapInArrow(_by_block(_first_links, least, percent), "a long, b long").distinct(), "links")
 
     def full_sets(wanted: DataFrame) -> DataFrame:
-        named = ids.where("id is not null")
-        return written(named.mapInArrow(_full_sets(filter_of(written(wanted, "wanted"), "id")), "id long, set binary").dropDuplicates(["id", "set"]), "full")
+        packed = filter_of(written(wanted, "wanted"), "id")
+        sets = ids.where("id is not null").mapInArrow(_full_sets(packed), "id long, set binary")
+        sets = written(sets.dropDuplicates(["id", "set"]), "full")
+        packed.unpersist()  # written by now
+        return sets
 
     full = full_sets(first.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     # many pairs can share b, the smaller one, but few share a: a's set is what moves with a pair
