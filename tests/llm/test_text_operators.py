@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from ticklake.llm import decontamination, line_dedup, near_dup, piece_encoding, quality, sharding, suffix_dedup, token_counts
+from ticklake.llm import decontamination, filters, line_dedup, near_dup, piece_encoding, quality, sharding, suffix_dedup, token_counts
 from ticklake.llm import queries as registry
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -116,6 +116,27 @@ def test_repeated_strings(spark, clashing, empty):
     assert suffix_dedup.remove_repeated(empty).count() == 0
 
 
+@pytest.mark.parametrize("way", ["one filter", "ranges", "digests"])
+def test_repeated_strings_of_long_texts_null_keys_and_repeated_rows(spark, monkeypatch, way):
+    import random
+
+    if way == "ranges":
+        monkeypatch.setattr(suffix_dedup, "fits", lambda keys: False)
+        monkeypatch.setattr(filters, "RANGE", 256)
+    if way == "digests":
+        monkeypatch.setattr(suffix_dedup, "MOST", 2)
+    rnd = random.Random(8)
+    piece = lambda n: "".join(rnd.choices("abcdefgh \n", k=n))
+    a, long = piece(1200), piece(560_000)  # a row of several parts; strings across their border repeat too
+    texts = [long, piece(50) + long[523_000:525_500] + piece(50), a, "é" + a[5:900], None, "", piece(3000)]
+    texts += [piece(rnd.randrange(200)) + a[(k := rnd.randrange(500)) : k + rnd.randrange(390, 600)] + piece(rnd.randrange(200)) for _ in range(12)]
+    keys = [None if i % 4 == 1 else i for i in range(len(texts))]
+    rows = list(zip(keys, texts))
+    rows += [rows[6], rows[1], rows[4]]  # whole texts that repeat
+    got = Counter(tuple(r) for r in suffix_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_spans([t for _, t in rows])))
+
+
 def test_repeated_strings_of_real_rows(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     got = {tuple(r) for r in registry.queries()["op2_suffix_dedup"](spark, sf_dir).collect()}
@@ -236,6 +257,32 @@ def test_lines_of_a_full_filter_and_of_few_told_lines(odd, rows_of):
     assert rows_of(full) == rows_of(roomy) == rows_of(few)
 
 
+def test_ranges_of_filters_let_few_single_keys_through(spark, monkeypatch):
+    monkeypatch.setattr(filters, "MOST_BITS", 1 << 20)
+    monkeypatch.setattr(filters, "RANGE", 1 << 14)
+    n = 200_000
+    assert not filters.fits(n) and filters.fits(1 << 16)
+    row = F.col("id")
+    # every 50th key twice, far apart; one key in a third of all rows; the others once
+    key = F.when(row % 3 == 0, -1).when((row >= n) & (row % 50 == 1), row - n).otherwise(row)
+    rows = spark.range(2 * n).select(F.col("id"), F.xxhash64(key).alias("h")).repartition(7)
+    got = filters.screened(rows, lambda batch: batch.column("h").to_numpy(), 2 * n).groupBy("h").agg(F.count(F.lit(1)).alias("n")).collect()
+    every = {r.h: r["count"] for r in rows.groupBy("h").count().collect()}
+    found = {r.h: r.n for r in got}
+    repeated = {h for h, k in every.items() if k > 1}
+    assert all(found[h] == every[h] for h in repeated) and len(repeated) > 1000
+    assert len(found.keys() - repeated) < 0.02 * (len(every) - len(repeated))
+
+
+def test_lines_by_ranges_of_filters(spark, odd, sf_dir, monkeypatch, rows_of):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    want = rows_of(line_dedup.dedup_lines(docs))
+    monkeypatch.setattr(line_dedup, "fits", lambda keys: False)
+    monkeypatch.setattr(filters, "RANGE", 128)
+    assert rows_of(line_dedup.dedup_lines(docs)) == want
+    assert line_dedup.dedup_lines(docs.where("false")).count() == 0
+
+
 def test_lines_of_repeated_rows_and_null_keys(spark, sf_dir):
     real = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
     rows = [(i % 150 if i % 11 else None, t) for i, t in enumerate(real)]

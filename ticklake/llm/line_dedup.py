@@ -3,7 +3,8 @@
 Every task notes the line keys of its documents in a filter of keys seen once and a filter of keys
 seen in a second document; the merged second filter goes to every task. Only the lines that it
 suspects are shuffled, as 128-bit digests, to confirm them exactly and to choose the smallest
-document. Full filters cost more shuffling, never a wrong line.
+document. Where one filter of bounded size has no room for all lines, digests go to ranges of keys
+with two filters each, and only those that these suspect are confirmed.
 
 The confirmed lines that most documents hold, ``HOT`` at most, go to every task with their first
 document. A document that loses other lines too is shuffled to the list of these; no other text moves.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, pieces, table, written
-from .filters import NOTED, bits_for, filter_of, gathered, has, members, noting, outside
+from .filters import NOTED, bits_for, filter_of, fits, gathered, has, members, noting, outside, screened
 
 SPACES = SPACE_BYTES.decode()
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -46,12 +47,12 @@ def _keys(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _suspects(packed, least: int):
-    """(r1, r2, key, text) -> a row for each different suspected line."""
+    """(r1, r2, key, text) -> a row for each different line, or each that a filter suspects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4000):
             keys, n = _keys(batch.column(3), least)
-            hit = has(packed.value, keys)
+            hit = has(packed.value, keys) if packed else np.ones(len(keys), bool)
             who = pa.array(np.repeat(np.arange(len(n)), n)[hit])
             lines = [pa.array(np.ascontiguousarray(keys[hit, k]).view(np.int64)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(who) for k in range(3)), *lines], ["r1", "r2", "key", "l1", "l2"])
@@ -119,7 +120,8 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
     with the smallest key column. Rows with the same key column are one document; a null one counts
     as larger than all others. Null and empty texts have one empty line and stay as they are. Input
     columns named like the added ones are replaced. bits: of each filter, a power of two; by default
-    it follows from the number of lines. hot: lines that all tasks are told of at most.
+    it follows from the number of lines, which also decides whether one filter of all lines is sent to
+    tasks or lines are sent to filters of ranges. hot: lines that all tasks are told of at most.
     """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
@@ -127,11 +129,12 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
     plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     if bits is None:
         breaks = F.octet_length("text").cast("long") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
-        bits = bits_for(plain.agg(F.coalesce(F.sum(breaks + 1), F.lit(0)).alias("n")).first()["n"])
-    packed = spark.sparkContext.broadcast(repeated_filter(plain, text="text", least=least, n_bits=bits))
+        n_lines = plain.agg(F.coalesce(F.sum(breaks + 1), F.lit(0)).alias("n")).first()["n"]
+        bits = bits_for(n_lines) if fits(n_lines) else None
+    packed = spark.sparkContext.broadcast(repeated_filter(plain, text="text", least=least, n_bits=bits)) if bits else None
     r1, r2 = F.xxhash64("key", "text"), F.xxhash64(F.lit(1), "text", "key")
     suspects = plain.select(r1.alias("r1"), r2.alias("r2"), "key", "text").mapInArrow(_suspects(packed, least), f"r1 long, r2 long, key {kind}, l1 long, l2 long")
-    suspects = written(suspects, "lines")
+    suspects = written(suspects if bits else screened(suspects, lambda batch: batch.column("l1").to_numpy(), n_lines), "lines")
     held = suspects.groupBy("l1", "l2").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.max(F.col("key").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n"))
     kept = written(held.where((F.col("first") != F.col("last")) | (F.col("first").isNotNull() & F.col("nulls"))).select("l1", "l2", "first", "n"), "kept")
     # lines by how many hold them, in steps of a sixteenth of a power of two

@@ -3,7 +3,8 @@
 A string of ``WINDOW`` bytes is anchored at its 32-byte gram of smallest hash (the rightmost of
 equals), so equal strings have equal anchors. Consecutive strings of one anchor are a fragment.
 
-1. Two Bloom filters over all grams tell which may occur again. Only fragments of these go on: equal
+1. Two Bloom filters over all grams, or two for each range of them where one of bounded size has no
+   room for all, tell which may occur again. Only fragments of these go on: equal
    ones are counted and one of them is kept, and grams that occur once after all are dropped.
 2. Fragments that share a gram meet in one task as bytes. They are cut into blocks of ``BLOCK`` bytes,
    aligned to the gram, and a suffix array over the blocks of many fragments brings suffixes that agree
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, table, written
-from .filters import NOTED, bits_for, filter_of, gathered, has, members, noting, outside, pairs
+from .filters import NOTED, bits_for, filter_of, fits, gathered, has, members, noting, outside, pairs, screened
 from .shingles import mix, parts_of, texts_of
 from .suffix_array import suffix_array
 
@@ -102,12 +103,12 @@ def _grams(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _named(packed):
-    """(r1, r2, text) -> one row for each row and different fragment of it whose gram is in the filter."""
+    """(r1, r2, text) -> one row for each row and different fragment of it whose gram is in the filter, if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, row, gram, first, last, _ in _fragments_of(batch.column(2)):
-                hit = np.flatnonzero(has(packed.value, pairs(gram)))
+                hit = np.flatnonzero(has(packed.value, pairs(gram))) if packed else np.arange(len(gram))
                 if not len(hit):
                     continue
                 f = _digest(memoryview(part), first[hit].tolist(), last[hit].tolist())
@@ -341,11 +342,15 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         F.xxhash64("key", "text").alias("r1"), F.xxhash64(F.lit(1), "text", "key").alias("r2"), "key", "text")
     long = source.where(F.octet_length("text") >= WINDOW)
     strings = long.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
-    n_bits = bits_for(strings * 2 // (WINDOW - GRAM + 2))
-    packed = docs.sparkSession.sparkContext.broadcast(gathered(long.select("text").mapInArrow(noting(_grams, n_bits), NOTED), n_bits, "twice"))
+    n_grams = strings * 2 // (WINDOW - GRAM + 2)
     head = "r1 long, r2 long, gram long, f1 long, f2 long, n long"
-
+    packed = None
+    if fits(n_grams):
+        n_bits = bits_for(n_grams)
+        packed = docs.sparkSession.sparkContext.broadcast(gathered(long.select("text").mapInArrow(noting(_grams, n_bits), NOTED), n_bits, "twice"))
     fragments = long.select("r1", "r2", "text").mapInArrow(_named(packed), head)
+    if not packed:
+        fragments = screened(fragments, lambda batch: batch.column("gram").to_numpy(), n_grams, times="n")
     distinct = written(fragments.groupBy(*NAME).agg(F.sum("n").alias("n"), F.min("r1").alias("r1")), "distinct")
     grams = written(distinct.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1").select("gram", "kinds"), "grams")
     pending = written(distinct.join(grams, "gram"), "pending")
