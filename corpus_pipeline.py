@@ -16,8 +16,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklake.llm.common import drop_path, drop_written, scratch_root, scratch_scope, table
+from ticklake.llm.common import drop_path, drop_written, scratch_root, scratch_scope, table, written
 from ticklake.llm.decontamination import without_items
+from ticklake.llm.filters import filter_of, members
 from ticklake.llm.line_dedup import dedup_lines
 from ticklake.llm.near_dup import near_duplicates
 from ticklake.llm.piece_encoding import encode_texts
@@ -52,9 +53,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component of pairs that share 80 % of their shingles. Rows without an id stay."""
+    """The smallest document of each component of pairs that share 80 % of their shingles. Rows without an id stay.
+
+    The list of the others can outgrow a broadcast, so a Bloom filter of it parts the rows: those outside stay
+    where they are, and only those inside are shuffled, to be told from the list itself."""
     others = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    others = written(others.select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("other")), "others")
+    packed = filter_of(others, "h")
+    rows = docs.select(F.xxhash64("doc_id").alias("h"), F.struct(*docs.columns).alias("doc"))
+    stay, asked = (rows.mapInArrow(members(packed, inside), rows.schema) for inside in (False, True))
+    asked = asked.join(others, (asked["h"] == others["h"]) & (asked["doc.doc_id"] == others["other"]), "left_anti")
+    return stay.unionAll(asked).select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
