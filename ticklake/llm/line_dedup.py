@@ -37,6 +37,8 @@ def line_key(line: str) -> str:
 def _digests(text: str | None, least: int) -> list[bytes | None]:
     """For each line its key's digest, None where the key is short."""
     digest = xxhash.xxh3_128_digest
+    if text and text.isascii():  # as bytes at once
+        return [digest(k) if len(k := x.strip(SPACE_BYTES)) >= least else None for x in text.lower().encode().split(b"\n")]
     return [digest(k.encode()) if len(k := line_key(x)) >= least else None for x in (text or "").split("\n")]
 
 
