@@ -93,7 +93,7 @@ def shuffle_shards(df: DataFrame, n_shards: int, *, text: str = "text", key: str
     shard = F.expr(f"((`__offset` + `{_AT}` + 1) * {n_shards} - 1) div {max(1, n)}")
     first = F.expr(f"(shard * {n}) div {n_shards}")
     return (
-        dealt.mapInArrow(_fisher_yates(seed), schema).join(offsets, _SCATTER)
+        dealt.mapInArrow(_fisher_yates(seed), schema).join(F.broadcast(offsets), _SCATTER)  # no second shuffle of whole rows
         .withColumn("shard", shard.cast("int")).withColumn("slot", at - first).select(*own, "shard", "slot")
     )
 
