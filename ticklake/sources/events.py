@@ -40,8 +40,8 @@ def parse_events(texts: DataFrame, value: str = "value") -> DataFrame:
     return with_kind(texts.withColumn("__e", F.from_json(value, ENVELOPE)).select(*[c for c in texts.columns if c != value], "__e.*"))
 
 
-def with_kind(events: DataFrame) -> DataFrame:
-    return events.withColumn("kind", F.coalesce(*[F.when(F.col(f"payload.{k}").isNotNull(), k) for k in KINDS]))
+def with_kind(events: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    return events.withColumn("kind", F.coalesce(*[F.when(F.col(f"payload.{k}").isNotNull(), k) for k in kinds]))
 
 
 def fixed_text(field: Column) -> Column:
@@ -52,6 +52,18 @@ def fixed_text(field: Column) -> Column:
     return from_parts(low, v["coefficient_hi"], v["scale"])
 
 
+def fixed_value(field: Column) -> Column:
+    """``decimal(18,9)`` of a coefficient and a scale. Short coefficients are scaled as numbers; only what may be
+    rounded or not fit goes by its lexeme, in a lambda, which keeps that long way out of the compiled code."""
+    v = field["value"]
+    low, scale = v["coefficient_lo"], v["scale"]
+    steps = F.array(*[F.lit(f"1e-{k}").cast("decimal(10,9)") for k in range(10)])
+    short = v["coefficient_hi"].eqNullSafe(0) & low.between(0, 999_999_999_999_999_999) & scale.between(0, 9)
+    scaled = F.when(F.coalesce(short, F.lit(False)), low.cast("decimal(18,0)") * F.get(steps, scale))
+    lexeme = F.get(F.transform(F.array(field), lambda f: parse_decimal(fixed_text(f)).cast("decimal(18,9)")), F.lit(0))
+    return F.when(v.isNotNull(), F.when(scaled < 1_000_000_000, scaled.cast("decimal(18,9)")).otherwise(lexeme))
+
+
 def side_name(name: Column) -> Column:
     """buy, sell or unknown of either spelling of the enum."""
     n = F.lower(F.regexp_replace(name, "^AGGRESSOR_SIDE_", ""))
@@ -60,7 +72,7 @@ def side_name(name: Column) -> Column:
 
 def tape_rows(events: DataFrame) -> DataFrame:
     """Trades and quotes of envelopes as tape rows; other kinds are left out."""
-    fixed = lambda name: parse_decimal(fixed_text(F.col(f"payload.{name}"))).cast("decimal(18,9)")
+    fixed = lambda name: fixed_value(F.col(f"payload.{name}"))
     rows = events.where("kind in ('trade', 'quote')").select(
         "kind", F.col("venue_id").alias("venue"), F.col("instrument_id").alias("instrument"), fixed("trade.price").alias("price"), fixed("trade.quantity").alias("quantity"),
         F.when(F.col("kind") == "trade", side_name(F.col("payload.trade.aggressor"))).alias("aggressor"), F.col("payload.trade.trade_id").alias("trade_id"),

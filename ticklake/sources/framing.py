@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a part, and bytes that a task reads at a time (or one record).
 PART, WINDOW = 64 << 20, 4 << 20
+#: Bytes of small parts that share a task, once each core has so many tasks.
+SHARED, ROUNDS = 8 << 20, 4
 #: File systems whose files a task can open. Files of others come whole from Spark, a part each.
 OPENED = {"file", "hdfs", "s3", "gs", "abfs"}
 PARTS = "path string, part long, first long, stop long, records long, fault string"
@@ -202,8 +204,8 @@ def read_framed(spark: SparkSession, path: str, framing: Framing, schema: str, *
         return files.select("path", "content").mapInArrow(whole, f"path string, index long, {schema}")
     last = F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / part_bytes)
     found = files.agg(F.sum(last + 1).alias("parts"), F.sum("length").alias("bytes")).first()
-    at_once = max(spark.sparkContext.defaultParallelism, -(-(found["bytes"] or 0) // part_bytes))
-    tasks = max(1, min(found["parts"] or 0, at_once))  # small files share tasks
+    at_once = max(ROUNDS * spark.sparkContext.defaultParallelism, -(-(found["bytes"] or 0) // max(part_bytes, SHARED)))
+    tasks = max(1, min(found["parts"] or 0, at_once))  # small files and small parts share tasks
     sized = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
     guessed = sized.select("path", "part").repartition(tasks, "path", "part").mapInArrow(_guessed(framing, part_bytes), PARTS)
     lists = guessed.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("part", "first", "stop", "records", "fault"))).alias("parts"))
