@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticklake.llm.sharding import shuffle_shards
 from ticklake.plans import captures
-from ticklake.sources import events, records, wire
+from ticklake.sources import events, records, tables, wire
 from ticklake.sources.tables import tape
 
 
@@ -65,3 +65,13 @@ def test_absent_fields_are_not_needed(spark, sf_dir):
     whole, some = (events.tape_rows(wire.from_protobuf(raw, **o)) for o in ({}, {"kinds": ("trade", "quote")}))
     assert some.exceptAll(whole).isEmpty() and some.count() == whole.count() > 0
     assert set(r.kind for r in wire.from_protobuf(raw, kinds=("quote",)).select("kind").distinct().collect()) == {"quote", None}
+
+
+def test_levels_are_summed_in_tasks_of_bounded_rows(spark, sf_dir, monkeypatch, oracle, rows_of):
+    """As many tasks as the rows ask for, and no task holds the sums of a whole split."""
+    monkeypatch.setattr(tables, "LEVEL_ROWS", 100, raising=False)
+    levels = tables.book_levels(spark, sf_dir)
+    assert plan_of(levels).count("Exchange") == 1 and "partial_sum" not in plan_of(levels).split("Exchange")[1]
+    n = tables.read_table(spark, sf_dir, "lineitem").count()
+    assert levels.rdd.getNumPartitions() == max(8, -(-n // 100)) > 8
+    assert rows_of(levels) == [tuple(r) for r in oracle(f"with {tables.SQL['book']} select * from book", sf_dir)]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a task sums up to levels.
+LEVEL_ROWS = 1 << 19
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,7 +37,10 @@ def book_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("book_id"), F.when(bid, "bid").otherwise("ask").alias("side"),
         F.when(bid, 200_000 - unit).otherwise(200_000 + unit).cast("decimal(18,0)").alias("price"), F.col("l_quantity").cast("decimal(18,0)").alias("quantity"),
     )
-    return rows.groupBy("book_id", "side", "price").agg(F.sum("quantity").cast("decimal(28,0)").alias("quantity"))
+    # few rows share a level, so sums before the shuffle would only hold most of a task's input
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // LEVEL_ROWS))
+    dealt = rows.repartition(tasks, "book_id", "side")  # rankings of a side stay in these tasks
+    return dealt.groupBy("book_id", "side", "price").agg(F.sum("quantity").cast("decimal(28,0)").alias("quantity"))
 
 
 def sequence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
