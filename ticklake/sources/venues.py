@@ -2,13 +2,16 @@
 
 A venue is a list of rules; each rule names its kind of event, the condition that tells its messages,
 and its fields. Prices and quantities are read as text, so lexemes stay exact. A message is parsed once,
-into columns that all rules of its venue read, and only the rule that holds builds an event: no Python,
-no shuffle.
+into columns that all rules of its venue read. It gives the numbers of the rules that hold, one row each, and
+the fields are expressions over such a row, so that Spark compiles them and reads no field that nobody asks
+for: no Python, no shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +25,39 @@ FIELDS = {
 }
 
 
-def event(kind: str | Column, when: Column, **fields: Column) -> Column:
-    """A struct of all FIELDS where ``when`` holds, else null."""
-    fields = {"kind": F.lit(kind) if isinstance(kind, str) else kind, **fields}
-    decimal = lambda c: parse_decimal(c.cast("string"), exponent=True)
-    cols = [(decimal(fields[n]) if t.startswith("decimal") else fields[n].cast(t)).alias(n) if n in fields else F.lit(None).cast(t).alias(n) for n, t in FIELDS.items()]
-    return F.when(F.coalesce(when, F.lit(False)), F.struct(*cols))
+@dataclass(frozen=True)
+class Event:
+    """A rule: its event's kind and fields, of messages where ``when`` holds."""
+
+    kind: Column
+    when: Column
+    fields: dict[str, Column]
+
+
+@dataclass(frozen=True)
+class Each:
+    """Rules of each element of ``rows``, of messages where ``when`` holds. An element's events stand together."""
+
+    rows: Column
+    rule: Callable[[Column], list[Event]]
+    when: Column
+
+
+Rules = list[Event | Each]
+
+
+def event(kind: str | Column, when: Column, **fields: Column) -> Event:
+    return Event(F.lit(kind) if isinstance(kind, str) else kind, F.coalesce(when, F.lit(False)), fields)
+
+
+def each(rows: Column, rule: Callable[[Column], Event | list[Event]], when: Column | None = None) -> Each:
+    listed = lambda x: got if isinstance(got := rule(x), list) else [got]
+    return Each(rows, listed, F.lit(True) if when is None else F.coalesce(when, F.lit(False)))
+
+
+def _typed(name: str, value: Column) -> Column:
+    """A field of FIELDS from what rules give for it."""
+    return parse_decimal(value.cast("string"), exponent=True) if FIELDS[name].startswith("decimal") else value.cast(FIELDS[name])
 
 
 #: What the rules of the venue at hand read of a message, as columns before the rules' own.
@@ -67,12 +97,13 @@ KRAKEN_ROW = "struct<symbol:string,price:string,qty:string,side:string,trade_id:
 COINBASE = "struct<type:string,product_id:string,price:string,size:string,side:string,trade_id:string,time:string,best_bid:string,best_bid_size:string,best_ask:string,best_ask_size:string,bids:array<array<string>>,asks:array<array<string>>,changes:array<array<string>>,sequence:string>"
 
 
-def binance(raw: Column) -> Column:
+def binance(raw: Column) -> Rules:
     j = parsed(raw, KEYED)
     e, k, o = j["e"], parsed(j["k"], KEYED), parsed(F.when(j["e"] == "forceOrder", j["o"]), KEYED)
-    bids, asks = (parsed(F.coalesce(j[a], j[b]), "array<array<string>>") for a, b in (("b", "bids"), ("a", "asks")))
+    book = (e == "depthUpdate") | j["lastUpdateId"].isNotNull()  # b and a are numbers elsewhere
+    bids, asks = (parsed(F.when(book, F.coalesce(j[a], j[b])), "array<array<string>>") for a, b in (("b", "bids"), ("a", "asks")))
     candle = dict(open=k["o"], high=k["h"], low=k["l"], close=k["c"], volume=k["v"], interval=k["i"], start_ns=ms(k["t"]))
-    return F.array(
+    return [
         event("trade", e.isin("trade", "aggTrade"), symbol=j["s"], price=j["p"], quantity=j["q"], side=taker(j["m"] == "true"), trade_id=F.coalesce(j["t"], j["a"]), exchange_ts_ns=ms(j["T"])),
         event("quote", (e.isNull() | (e == "bookTicker")) & j["lastUpdateId"].isNull() & j["A"].isNotNull() & j["b"].isNotNull() & j["s"].isNotNull(), symbol=j["s"], bid_price=j["b"], bid_quantity=j["B"], ask_price=j["a"], ask_quantity=j["A"], exchange_ts_ns=ms(j["T"])),
         event("candle", e == "kline", symbol=j["s"], exchange_ts_ns=ms(j["E"]), **candle),
@@ -85,10 +116,10 @@ def binance(raw: Column) -> Column:
         event("open_interest", j["openInterest"].isNotNull(), symbol=j["symbol"], quantity=j["openInterest"], exchange_ts_ns=ms(j["time"])),
         event("statistics_24h", e == "24hrTicker", symbol=j["s"], open=j["o"], high=j["h"], low=j["l"], close=j["c"], volume=j["v"], quote_volume=j["q"], exchange_ts_ns=ms(j["E"])),
         event("liquidation", e == "forceOrder", symbol=o["s"], price=F.coalesce(o["ap"], o["p"]), quantity=o["q"], side=F.lower(o["S"]), exchange_ts_ns=ms(o["T"])),
-    )
+    ]
 
 
-def okx(raw: Column, *, first_only: bool = False) -> Column:
+def okx(raw: Column, *, first_only: bool = False) -> Rules:
     """All rows of a frame's ``data``; first_only: the first of each frame."""
     j = parsed(raw, OKX)
     channel, symbol = j["arg"]["channel"], j["arg"]["instId"]
@@ -97,11 +128,11 @@ def okx(raw: Column, *, first_only: bool = False) -> Column:
     candle = channel.startswith("candle")
     rows = stored(F.transform(data, lambda t: F.struct(F.from_json(F.when(~candle, t), OKX_ROW).alias("r"), F.from_json(F.when(candle, t), "array<string>").alias("c"))))
 
-    def row(x: Column) -> Column:
+    def row(x: Column) -> list[Event]:
         r, c = x["r"], x["c"]
         at = dict(symbol=F.coalesce(r["instId"], symbol), exchange_ts_ns=ms(r["ts"]))
         first = r["details"][0]
-        return F.array(
+        return [
             event("trade", channel.isin("trades", "trades-all"), price=r["px"], quantity=r["sz"], side=r["side"], trade_id=r["tradeId"], **at),
             event("quote", channel == "tickers", bid_price=r["bidPx"], bid_quantity=r["bidSz"], ask_price=r["askPx"], ask_quantity=r["askSz"], **at),
             event(F.when(j["action"] == "snapshot", "book_snapshot").otherwise("book_delta"), channel.startswith("books"), bids=r["bids"], asks=r["asks"], checksum=r["checksum"], last_seq=r["seqId"], previous_seq=r["prevSeqId"], snapshot=j["action"] == "snapshot", **at),
@@ -109,35 +140,34 @@ def okx(raw: Column, *, first_only: bool = False) -> Column:
             event("funding", channel == "funding-rate", rate=r["fundingRate"], next_funding_ns=ms(r["nextFundingTime"]), **at), event("open_interest", channel == "open-interest", quantity=r["oi"], **at),
             event("liquidation", channel == "liquidation-orders", price=first["bkPx"], quantity=first["sz"], side=first["side"], symbol=at["symbol"], exchange_ts_ns=ms(first["ts"])),
             event("candle", candle, symbol=symbol, start_ns=ms(c[0]), open=c[1], high=c[2], low=c[3], close=c[4], volume=c[5], interval=F.lower(F.substring(channel, 7, 9))),
-        )
+        ]
 
-    return F.flatten(F.transform(rows, row))
+    return [each(rows, row)]
 
 
-def bybit(raw: Column) -> Column:
+def bybit(raw: Column) -> Rules:
     j = parsed(raw, BYBIT)
     topic, at = j["topic"], ms(j["ts"])
     data = lambda name, schema: parsed(F.when(topic.startswith(name), j["data"]), schema)
     book = data("orderbook", BYBIT_BOOK)
     name = F.element_at(F.split(topic, r"\."), -1)
-    trades = F.transform(data("publicTrade", f"array<{KEYED}>"), lambda t: event("trade", topic.startswith("publicTrade"), symbol=t["s"], price=t["p"], quantity=t["v"], side=F.lower(t["S"]), trade_id=t["i"], exchange_ts_ns=ms(t["T"])))
+    trades = each(data("publicTrade", f"array<{KEYED}>"), lambda t: event("trade", topic.startswith("publicTrade"), symbol=t["s"], price=t["p"], quantity=t["v"], side=F.lower(t["S"]), trade_id=t["i"], exchange_ts_ns=ms(t["T"])))
     # the venue gives the side of the position, the forced order has the other
-    forced = F.transform(data("allLiquidation", f"array<{KEYED}>"), lambda t: event("liquidation", topic.startswith("allLiquidation"), symbol=t["s"], price=t["p"], quantity=t["v"], side=taker(t["S"] == "Buy"), exchange_ts_ns=ms(t["T"])))
-    candles = F.transform(data("kline", BYBIT_CANDLE), lambda c: event("candle", topic.startswith("kline"), symbol=name, open=c["open"], high=c["high"], low=c["low"], close=c["close"], volume=c["volume"], interval=c["interval"], start_ns=ms(c["start"]), exchange_ts_ns=at))
+    forced = each(data("allLiquidation", f"array<{KEYED}>"), lambda t: event("liquidation", topic.startswith("allLiquidation"), symbol=t["s"], price=t["p"], quantity=t["v"], side=taker(t["S"] == "Buy"), exchange_ts_ns=ms(t["T"])))
+    candles = each(data("kline", BYBIT_CANDLE), lambda c: event("candle", topic.startswith("kline"), symbol=name, open=c["open"], high=c["high"], low=c["low"], close=c["close"], volume=c["volume"], interval=c["interval"], start_ns=ms(c["start"]), exchange_ts_ns=at))
     snapshot = j["type"] == "snapshot"
     level = event(F.when(snapshot, "book_snapshot").otherwise("book_delta"), topic.startswith("orderbook"), symbol=book["s"], bids=book["b"], asks=book["a"], last_seq=book["u"], snapshot=snapshot, exchange_ts_ns=at)
     t = data("tickers", KEYED)
     tick, now = topic.startswith("tickers"), dict(symbol=t["symbol"], exchange_ts_ns=at)
-    measures = F.array(
+    measures = [
         event("mark_price", tick & t["markPrice"].isNotNull(), price=t["markPrice"], **now), event("index_price", tick & t["indexPrice"].isNotNull(), price=t["indexPrice"], **now),
         event("funding", tick & (F.coalesce(t["fundingRate"], F.lit("")) != ""), rate=t["fundingRate"], next_funding_ns=ms(t["nextFundingTime"]), **now), event("open_interest", tick & t["openInterest"].isNotNull(), quantity=t["openInterest"], **now),
         event("statistics_24h", tick & t["lastPrice"].isNotNull(), open=t["prevPrice24h"], high=t["highPrice24h"], low=t["lowPrice24h"], close=t["lastPrice"], volume=t["volume24h"], quote_volume=t["turnover24h"], **now),
-    )
-    none = F.array().cast(f"array<struct<{', '.join(f'{n}: {t}' for n, t in FIELDS.items())}>>")
-    return F.concat(F.array(level), measures, *[F.coalesce(F.when(topic.startswith(t), x), none) for t, x in (("publicTrade", trades), ("allLiquidation", forced), ("kline", candles))])
+    ]
+    return [level, *measures, trades, forced, candles]
 
 
-def kraken(raw: Column) -> Column:
+def kraken(raw: Column) -> Rules:
     j = parsed(raw, KRAKEN)
     channel = j["channel"]
     micros = lambda t: F.unix_micros(F.try_to_timestamp(t)) * 1000
@@ -145,37 +175,38 @@ def kraken(raw: Column) -> Column:
 
     rows = stored(F.transform(j["data"], lambda t: F.from_json(t, KRAKEN_ROW)))
 
-    def row(r: Column) -> Column:
+    def row(r: Column) -> list[Event]:
         at = dict(symbol=r["symbol"], exchange_ts_ns=micros(r["timestamp"]))
         snapshot = j["type"] == "snapshot"
-        return F.array(
+        return [
             event("trade", channel == "trade", price=r["price"], quantity=r["qty"], side=r["side"], trade_id=r["trade_id"], **at), event("quote", channel == "ticker", bid_price=r["bid"], bid_quantity=r["bid_qty"], ask_price=r["ask"], ask_quantity=r["ask_qty"], **at),
             event(F.when(snapshot, "book_snapshot").otherwise("book_delta"), channel == "book", bids=pairs(r["bids"]), asks=pairs(r["asks"]), checksum=r["checksum"], snapshot=snapshot, **at),
             event("candle", channel == "ohlc", open=r["open"], high=r["high"], low=r["low"], close=r["close"], volume=r["volume"], interval=r["interval"], start_ns=micros(r["interval_begin"]), **at),
-        )
+        ]
 
-    return F.flatten(F.transform(rows, row))
+    return [each(rows, row)]
 
 
-def coinbase(raw: Column) -> Column:
+def coinbase(raw: Column) -> Rules:
     """The side given is the maker's, so the taker's is the other."""
     j = parsed(raw, COINBASE)
     at = dict(symbol=j["product_id"], exchange_ts_ns=F.unix_micros(F.try_to_timestamp(j["time"])) * 1000)
     side = lambda name: F.transform(F.filter(j["changes"], lambda x: x[0] == name), lambda x: F.slice(x, 2, 2))
-    return F.array(
+    return [
         event("trade", j["type"].isin("match", "last_match"), price=j["price"], quantity=j["size"], side=taker(j["side"] == "buy"), trade_id=j["trade_id"], last_seq=j["sequence"], **at),
         event("quote", j["type"] == "ticker", bid_price=j["best_bid"], bid_quantity=j["best_bid_size"], ask_price=j["best_ask"], ask_quantity=j["best_ask_size"], **at),
         event("book_snapshot", j["type"] == "snapshot", bids=j["bids"], asks=j["asks"], snapshot=F.lit(True), **at), event("book_delta", j["type"] == "l2update", bids=side("buy"), asks=side("sell"), snapshot=F.lit(False), **at),
-    )
+    ]
 
 
 def coinbase_candles(rows: Column, symbol: Column) -> Column:
     """The first row of a REST answer: time in seconds, low, high, open, close, volume."""
     c = F.from_json(rows, "array<array<string>>")[0]
-    return event("candle", c.isNotNull(), symbol=symbol, start_ns=c[0].cast("long") * 1_000_000_000, low=c[1], high=c[2], open=c[3], close=c[4], volume=c[5])
+    fields = dict(kind=F.lit("candle"), symbol=symbol, start_ns=c[0].cast("long") * 1_000_000_000, low=c[1], high=c[2], open=c[3], close=c[4], volume=c[5])
+    return F.when(c.isNotNull(), F.struct(*[_typed(n, fields.get(n, F.lit(None))).alias(n) for n in FIELDS]))
 
 
-VENUES: dict[str, Callable[[Column], Column]] = {"binance": binance, "okx": okx, "bybit": bybit, "kraken": kraken, "coinbase": coinbase}
+VENUES: dict[str, Callable[[Column], Rules]] = {"binance": binance, "okx": okx, "bybit": bybit, "kraken": kraken, "coinbase": coinbase}
 
 
 def normalize(raw: DataFrame, venue: str, *, value: str = "value", keep: tuple[str, ...] | None = None, **options) -> DataFrame:
@@ -186,11 +217,52 @@ def normalize(raw: DataFrame, venue: str, *, value: str = "value", keep: tuple[s
 
     _read.append([])
     try:
-        found = (VENUES | MORE)[venue](F.col(value), **options)
+        rules = (VENUES | MORE)[venue](F.col(value), **options)
+        rules = [each(stored(x.rows), x.rule, x.when) if isinstance(x, Each) else x for x in rules]
     finally:
         columns = _read.pop()
     for name, column in columns:  # a later one may read an earlier one
         raw = raw.withColumn(name, column)
-    got = F.array_compact(F.coalesce(found, F.array()))
-    rows = raw.select(*rest, F.posexplode_outer(got).alias("event_index", "__e"))
-    return rows.select(*rest, F.coalesce("event_index", F.lit(0)).alias("event_index"), F.coalesce("__e.kind", F.lit("unknown_message")).alias("kind"), *[f"__e.{n}" for n in FIELDS if n != "kind"])
+    numbers, named = _numbered(rules)
+    rows = raw.select("*", F.posexplode_outer(numbers).alias("__at", "__rule"))
+    rule = F.col("__rule").bitwiseAND(RULES - 1)
+    by_rule = lambda cases: reduce(lambda c, x: c.when(rule == x[0], x[1]), cases, F.when(rule.isNull(), None))
+    out = [F.coalesce(by_rule([(k, e.kind) for k, e in named]), F.lit("unknown_message")).alias("kind")]
+    for name in list(FIELDS)[1:]:
+        text = FIELDS[name].startswith("decimal")  # one number is parsed, whatever rule gives it
+        cases = [(k, e.fields[name].cast("string") if text else _typed(name, e.fields[name])) for k, e in named if name in e.fields]
+        out.append(_typed(name, by_rule(cases) if cases else F.lit(None)).alias(name))
+    return rows.select(*rest, F.coalesce("__at", F.lit(0)).alias("event_index"), *out)
+
+
+#: Rules that a venue has at most; above these bits a number has the place of an element.
+RULES = 64
+
+
+def _numbered(rules: Rules) -> tuple[Column, list[tuple[int, Event]]]:
+    """The numbers of the rules that hold for a message, in their order, and the rules by number, of elements as of the
+    one whose place the number has."""
+    groups, named, single = [], [], []
+
+    def number(rule: Event) -> Column:
+        named.append((len(named), rule))
+        return F.when(rule.when, len(named) - 1).otherwise(-1)
+
+    def close() -> None:
+        if single:
+            groups.append(F.array_remove(F.array(*single), -1))
+            single.clear()
+
+    for x in rules:
+        if isinstance(x, Event):
+            single.append(number(x))
+            continue
+        close()
+        first = len(named)
+        named += [(first + k, e) for k, e in enumerate(x.rule(F.get(x.rows, F.floor(F.col("__rule") / RULES).cast("int"))))]
+        held = lambda t, at: F.array(*[F.when(e.when, at * RULES + first + k).otherwise(-1) for k, e in enumerate(x.rule(t))])  # noqa: B023, E731
+        found = F.array_remove(F.flatten(F.transform(x.rows, held)), -1)
+        groups.append(F.when(x.when & x.rows.isNotNull(), found).otherwise(F.array().cast("array<int>")))
+    close()
+    assert len(named) <= RULES
+    return (F.concat(*groups) if len(groups) > 1 else groups[0]), named
